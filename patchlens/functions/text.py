@@ -86,3 +86,8 @@ def record(**fields) -> Column:
     for name, value in fields.items():
         parts += [F.lit(name), value if isinstance(value, Column) else F.lit(value)]
     return F.named_struct(*parts)
+
+
+def index_substring(c: Column, mark: str, count: Column) -> Column:
+    """``substring_index`` with a column as its count."""
+    return F.call_function("substring_index", c, F.lit(mark), count)

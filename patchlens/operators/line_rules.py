@@ -8,7 +8,7 @@ built only for lines that some rule's gate lets through.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +36,14 @@ HIT_COLUMNS = FILE_KEY + ["line", "check", "detail", "evidence"]
 
 @dataclass(frozen=True)
 class Line:
-    """Columns a rule may use."""
+    """Columns a rule may use. Token columns are null where no gate asked for them."""
 
     content: Column
     path: Column
     facts: Column
+    assigned: Column
+    sensitive: Column
+    literals: Column
     package_main: Column
     loop_defer: Column
     types: Column
@@ -79,13 +82,10 @@ def _secret_gate(x: Line) -> Column:
 
 
 def _secret_hit(x: Line) -> Column:
-    assigned = K.assigned_value(x.facts)
-    name = K.sensitive_identifier(x.facts)
+    assigned, name = x.assigned, x.sensitive
     elsewhere = contains_any(x.content, ["os.Getenv(", "os.LookupEnv(", "secretmanager"])
     literal = F.get(
-        F.filter(
-            K.string_literals(x.facts), lambda s: (unquoted(s) != name) & ~C.likely_not_secret(s)
-        ),
+        F.filter(x.literals, lambda s: (unquoted(s) != name) & ~C.likely_not_secret(s)),
         F.lit(0),
     )
     hard = (
@@ -109,17 +109,15 @@ def _secret_hit(x: Line) -> Column:
 
 
 def _leak_hit(x: Line) -> Column:
-    literals = F.transform(K.string_literals(x.facts), unquoted)
-    found = F.get(
-        F.filter(
-            literals, lambda s: (F.octet_length(s) >= 10) & C.credential_shape(s).isNotNull()
-        ),
-        F.lit(0),
+    shaped = F.transform(
+        F.filter(F.transform(x.literals, unquoted), lambda s: F.octet_length(s) >= 10),
+        lambda s: record(text=s, shape=C.credential_shape(s)),
     )
-    return F.when(
-        found.isNotNull(),
-        hit(F.concat(F.lit("leak_"), C.credential_shape(found)), shorten_secret(x.content, found)),
+    found = F.transform(
+        F.slice(F.filter(shaped, lambda s: s["shape"].isNotNull()), 1, 1),
+        lambda s: hit(F.concat(F.lit("leak_"), s["shape"]), shorten_secret(x.content, s["text"])),
     )
+    return F.get(found, F.lit(0))
 
 
 # Error handling -------------------------------------------------------------------
@@ -293,15 +291,13 @@ def cancel_name(content: Column) -> Column:
     call = F.coalesce(
         *[F.when(content.contains(c), F.substring_index(content, c, 1)) for c in CONTEXT_CALLS]
     )
-    lhs = F.when(call.contains(":="), F.substring_index(call, ":=", _before_last(call, ":="))).when(
-        call.contains("="), F.substring_index(call, "=", _before_last(call, "="))
-    )
-    return F.when(lhs.isNotNull(), trimmed(_after_last(lhs, ",")))
 
+    def up_to_last(mark):
+        pieces = F.split(call, mark)
+        return F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), mark)
 
-def _before_last(c: Column, mark: str) -> Column:
-    """Number of occurrences of ``mark``: substring_index up to it cuts at the last one."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+    lhs = F.when(call.contains(":="), up_to_last(":=")).when(call.contains("="), up_to_last("="))
+    return F.when(lhs.isNotNull(), trimmed(_after_last(lhs, ",")))
 
 
 def _config_gate(x: Line) -> Column:
@@ -374,21 +370,25 @@ def line_hits(
         (F.col("line_type") == "added") & (F.col("content") != "")
     )
     source = source.withColumn("types", F.lit(None).cast("map<int,boolean>"))
-    x = Line(
-        content=F.col("content"), path=F.col("new_path"), facts=F.col("facts"),
-        package_main=F.col("package_main"), loop_defer=F.col("loop_defer"), types=F.col("types"),
-    )
+    x = Line(*[F.col("new_path" if f.name == "path" else f.name) for f in fields(Line)])
     source = source.filter(any_of(r.gate(x) for r in chosen))
     if type_facts is not None:
         source = _with_types(source, type_facts)
-    need = any_of(r.gate(x) for r in chosen if r.uses_facts)
-    staged = source.withColumn(
-        "facts", F.when(need, K.facts(x.content)) if any(r.uses_facts for r in chosen) else F.lit(None)
-    )
+    staged = source
+    if any(r.uses_facts for r in chosen):
+        need = any_of(r.gate(x) for r in chosen if r.uses_facts)
+        staged = source.withColumn("facts", F.when(need, K.facts(x.content))).withColumns(
+            {
+                "assigned": K.assigned_value(x.facts),
+                "sensitive": K.sensitive_identifier(x.facts),
+                "literals": K.string_literals(x.facts),
+            }
+        )
     found = F.array(*[F.when(r.gate(x), r.hit(x)) for r in chosen])
+    # The outer form keeps the optimizer from filtering on, and so repeating, the whole array.
     return (
         staged.select(*FILE_KEY, F.col("new_line").alias("line"), found.alias("found"))
-        .select(*FILE_KEY, "line", F.inline("found"))
+        .select(*FILE_KEY, "line", F.inline_outer("found"))
         .filter(F.col("check").isNotNull())
         .select(*HIT_COLUMNS)
     )

@@ -22,6 +22,7 @@ from ..functions.text import (
     WORD_END,
     WORD_START,
     contains_any,
+    index_substring,
     is_blank,
     is_comment,
     record,
@@ -96,25 +97,23 @@ def _open_site(c: Column) -> Column:
 
 def _closed_names(c: Column) -> Column:
     """``name.Close()`` texts of a line, and handles it returns, in the same form."""
-    closed = [
-        F.transform(
-            F.regexp_extract_all(
-                c, F.lit(r"([\p{L}\p{Nd}_]*)" + call.replace(".", r"\.").replace("()", r"\(\)")),
-                F.lit(1),
-            ),
-            lambda name, call=call: F.concat(name, F.lit(call)),
-        )
-        for call in CLOSE_CALLS
-    ]
+    def closed_by(call):
+        name = r"([\p{L}\p{Nd}_]*)" + call.replace(".", r"\.").replace("()", r"\(\)")
+        found = F.regexp_extract_all(c, F.lit(name), F.lit(1))
+        return F.transform(found, lambda n: F.concat(n, F.lit(call)))
+
+    closed = [closed_by(call) for call in CLOSE_CALLS]
     return F.when(c.contains("Close()"), F.concat(*closed)).otherwise(_nothing())
 
 
 def _returned_names(c: Column) -> Column:
     tail = F.regexp_extract(c, WORD_START + "return" + WORD_END + r"([^\n]*)", 1)
     names = F.regexp_extract_all(tail, F.lit(r"[A-Za-z0-9_]++(?!\.)"), F.lit(0))
-    full = [
-        F.transform(names, lambda n, call=call: F.concat(n, F.lit(call))) for call in CLOSE_CALLS
-    ]
+
+    def returned_as(call):
+        return F.transform(names, lambda n: F.concat(n, F.lit(call)))
+
+    full = [returned_as(call) for call in CLOSE_CALLS]
     return F.when(c.contains("return"), F.concat(*full)).otherwise(_nothing())
 
 
@@ -125,7 +124,7 @@ def _called_names(c: Column) -> Column:
         chains,
         lambda chain: F.transform(
             F.sequence(F.lit(1), F.size(F.split(chain, r"\."))),
-            lambda n: F.substring_index(chain, ".", -n),
+            lambda n: index_substring(chain, ".", -n),
         ),
     )
     return F.when(c.contains("("), F.flatten(ends)).otherwise(_nothing())
@@ -213,7 +212,7 @@ def pair_hits(
 
     sites = used.filter(_is_added()).select(
         *FILE_KEY, "new_line", "content",
-        F.inline(
+        F.inline_outer(
             F.array(
                 *[
                     record(check=rule.check, key=F.when(gate(rule), rule.site(text)))
@@ -251,8 +250,8 @@ def pair_hits(
     if not any(r.all_lines_close for r in closing):
         used = used.filter(_is_added())
     closers = used.select(
-        *FILE_KEY, F.inline(F.concat(*[cleared(rule) for rule in closing]))
-    ).distinct()
+        *FILE_KEY, F.inline_outer(F.concat(*[cleared(rule) for rule in closing]))
+    ).filter(F.col("check").isNotNull()).distinct()
 
     s, c = sites.alias("s"), closers.alias("c")
     same = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in FILE_KEY + ["check", "tail"]]
@@ -494,7 +493,7 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
         F.regexp_extract_all(text, F.lit(r"func Test([A-Z][A-Za-z0-9_]*_)"), F.lit(1)),
         lambda w: F.transform(
             F.sequence(F.lit(1), F.size(F.split(w, "_")) - 1),
-            lambda n: F.substring_index(w, "_", n),
+            lambda n: index_substring(w, "_", n),
         ),
     ))).otherwise(_nothing())
     brace_only = t.isin("}", "{", "} {", "}{")
@@ -510,7 +509,7 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
         scope.alias("scope"),
         F.when(P.is_go_test(path), 0).otherwise(F.col("file_seq")).alias("scope_seq"),
         F.when(P.is_go_test(path), "").otherwise(path).alias("scope_path"),
-        F.inline(
+        F.inline_outer(
             F.concat(
                 keyed(refers, "named"), keyed(grouped, "named"), keyed(call_ends, "called"),
                 keyed(declared, "declared"),
@@ -519,7 +518,7 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
                 ),
             )
         ),
-    ).distinct()
+    ).filter(F.col("kind").isNotNull()).distinct()
     scope_key = ["task_id", "scope", "scope_seq", "scope_path"]
     pick = lambda kind: marks.filter(F.col("kind") == kind).drop("kind")
     tested = (

@@ -146,8 +146,8 @@ def lines_of_arrays(files: DataFrame) -> DataFrame:
         is_generated(path, body).alias("generated"),
         F.when(P.is_go(path), declares_main(body)).otherwise(False).alias("package_main"),
         F.when(P.is_go(path), defer_lines_in_loops(body, False)).alias("defer_lines"),
-        F.posexplode(body).alias("at", "content"),
-    )
+        F.posexplode_outer(body).alias("at", "content"),
+    ).filter(F.col("at").isNotNull())
     line = F.col("at") + 1
     return flagged.select(
         "task_id",
@@ -223,7 +223,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
     files = (
         patches.filter(F.col("diff_text").contains("--- "))
         .select(
-            "task_id", F.posexplode(F.split(_normal_text(F.col("diff_text")), file_start))
+            "task_id", F.posexplode_outer(F.split(_normal_text(F.col("diff_text")), file_start))
         )
         .toDF("task_id", "file_seq", "section")
         .filter(F.col("section").startswith("--- "))
@@ -251,7 +251,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
         is_generated(P.strip_side(new_path), body).alias("generated"),
         F.when(go, declares_main(body)).otherwise(False).alias("package_main"),
         F.when(go, defer_lines_in_loops(raw, True)).alias("defer_lines"),
-        F.posexplode(F.split(section, r"\n(?=@@ )")).alias("hunk_seq", "hunk"),
+        F.posexplode_outer(F.split(section, r"\n(?=@@ )")).alias("hunk_seq", "hunk"),
     ).filter(F.col("hunk").startswith("@@ ") & F.col("hunk").rlike(HUNK_HEADER))
 
     hunk = F.col("hunk")
@@ -309,7 +309,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
 
     blocks = hunks.select(
         *[c for c in hunks.columns if c not in ("blocks", "kinds", "counts")],
-        F.posexplode(
+        F.posexplode_outer(
             F.transform(
                 "blocks",
                 lambda block, b: record(
@@ -327,7 +327,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
         F.col("b.kinds").alias("kinds"),
         F.col("b.old").alias("old"),
         F.col("b.new").alias("new"),
-        F.posexplode("b.rows").alias("at", "row"),
+        F.posexplode_outer("b.rows").alias("at", "row"),
     )
     head = F.substring(F.col("kinds"), F.lit(1), F.col("at"))
     kind = F.substring(F.col("kinds"), F.col("at") + 1, F.lit(1))
