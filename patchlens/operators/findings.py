@@ -11,7 +11,7 @@ from ..functions import paths as P
 from ..functions.masking import mask_sensitive
 from ..functions.text import lookup, trimmed
 from ..sources.lines import FILE_KEY
-from .checks import CHECKS, MULTI_FILE_RULES
+from .checks import CHECKS, MULTI_FILE_RULES, Check
 
 FINDING_SCHEMA = T.StructType(
     [
@@ -51,16 +51,19 @@ def evidence_chain(file: Column, line: Column, rule: Column, fact: Column, conf:
         F.format_string("hunk: %s@L%d", file, line),
         F.concat(F.lit("fact: "), fact),
         F.concat(F.lit("rule: "), rule),
-        F.concat(F.lit("confidence: "), F.format_number(conf, "0.00")),
+        F.concat(F.lit("confidence: "), F.format_string("%.2f", conf)),
     )
 
 
-def findings_of(hits: DataFrame, found_at: Column | None = None) -> DataFrame:
+def findings_of(
+    hits: DataFrame, found_at: Column | None = None, checks: dict[str, Check] | None = None
+) -> DataFrame:
     """Findings of rule hits: static texts by check, evidence and advice masked."""
     check, detail = F.col("check"), F.col("detail")
+    known = CHECKS if checks is None else CHECKS | checks
 
     def static(field):
-        return lookup({k: getattr(c, field) for k, c in CHECKS.items()}, check)
+        return lookup({k: getattr(c, field) for k, c in known.items()}, check)
 
     def text(field):
         return F.replace(static(field), F.lit("{}"), detail)
@@ -76,8 +79,11 @@ def findings_of(hits: DataFrame, found_at: Column | None = None) -> DataFrame:
         line.alias("line"),
         mask_sensitive(F.col("evidence")).alias("evidence"),
         mask_sensitive(text("recommendation")).alias("recommendation"),
-        evidence_chain(
-            F.col("new_path"), line, static("rule_id"), static("fact"), static("confidence")
+        F.when(
+            static("fact") != "",
+            evidence_chain(
+                F.col("new_path"), line, static("rule_id"), static("fact"), static("confidence")
+            ),
         ).alias("evidence_chain"),
         static("confidence").alias("confidence"),
         static("source").alias("source"),

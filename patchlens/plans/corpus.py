@@ -90,7 +90,6 @@ PLANTED = [
     "\t}",
     "\ttick := time.Tick(time.Second)",
     "\ttimer§ := time.NewTimer(delay)",
-    "\ttimer§.Stop()",
     "\trows, err := db.Query(stmt)",
     "\tif rows.Err() != nil {",
     "func Save§(v int) {",
@@ -129,6 +128,7 @@ PLANTED = [
     "2. CONFIRM: real",
     "3. use a §-second timeout",
     '\tcmd := exec.CommandContext(ctx, "ls", dir§)',
+    "\ttimer§.Stop()",
     "func helper§(a, b int) (int, error) {",
     "var limit§ = 0x1F + 3.5e2",
     "\ts := 'single' + `raw §` + \"esc\\\"aped\" /* note */",
