@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import matches_allowed, normal_path
-from ..functions.text import any_of, contains_any, record, trimmed
+from ..functions.text import any_of, contains_any, lookup, trimmed
 
 
 @dataclass
@@ -84,27 +84,28 @@ def denied_pattern(commands: list[str]) -> str:
     return rf"(?:\A|{_EDGE})(?:{'|'.join(words)})"
 
 
+def _path_pattern(paths: list[str]) -> str:
+    words = "|".join(_quote(p.lower()) for p in paths)
+    return r"(?:\A|[ \t\"'=:/])".replace('\\"', '"') + f"(?:{words})"
+
+
 def denied_path(command: Column, paths: list[str]) -> Column:
     """First forbidden path of the list that occurs at a path boundary, else null."""
     low = F.lower(command)
-    edge = r"(?:\A|[ \t\"'=:/])".replace('\\"', '"')
     return F.coalesce(
-        *[
-            F.when(low.contains(p.lower()) & low.rlike(edge + _quote(p.lower())), p)
-            for p in paths
-        ],
-        F.lit(None).cast("string"),
+        *[F.when(low.rlike(_path_pattern([p])), p) for p in paths], F.lit(None).cast("string")
     )
 
 
+def has_injection(command: Column) -> Column:
+    chained = contains_any(command, ["||", "&&"]) & contains_any(F.lower(command), CHAINED)
+    return contains_any(command, [mark for mark, _ in INJECTIONS]) | chained
+
+
 def injection(command: Column) -> Column:
     """Description of the first injection shape, else null."""
-    (mark, name), *others = INJECTIONS
-    out = F.when(command.contains(mark), name)
-    for mark, name in others:
-        out = out.when(command.contains(mark), name)
-    chained = contains_any(command, ["||", "&&"]) & contains_any(F.lower(command), CHAINED)
-    return out.when(chained, "chained shell commands")
+    named = [F.when(command.contains(mark), name) for mark, name in INJECTIONS]
+    return F.coalesce(*named, F.when(has_injection(command), "chained shell commands"))
 
 
 def network_host(command: Column) -> Column:
@@ -138,81 +139,90 @@ def requested_command(arguments: Column) -> Column:
     return F.coalesce(F.get_json_object(arguments, "$.command"), arguments, F.lit(""))
 
 
-def safety_decision(command: Column, config: SafetyConfig | None = None) -> Column:
-    """STRUCT<action, reason, risk_level, rule_id, command>: the first matching check."""
-    cfg = config or SafetyConfig()
-    c = trimmed(command)
-    path, shape, host = denied_path(c, cfg.denied_paths), injection(c), network_host(c)
+# Action and risk level of each check, in the order they are tried.
+DECISIONS = {
+    "EMPTY_CMD": ("deny", "safe"),
+    "DENIED_CMD": ("deny", "high"),
+    "DENIED_PATH": ("deny", "high"),
+    "SHELL_INJECTION": ("ask", "medium"),
+    "NET_ALLOWED": ("allow", "low"),
+    "NET_DENIED": ("deny", "high"),
+    "WHITELIST": ("allow", "safe"),
+}
 
-    def decide(action, reason, level, rule):
-        return record(action=action, reason=reason, risk_level=level, rule_id=rule, command=c)
 
-    def because(text, value):
-        return F.concat(F.lit(text), value)
+def decide_commands(commands: DataFrame, config: SafetyConfig | None = None) -> DataFrame:
+    """Decisions for ``commands(task_id, arguments, ...)``, other columns kept.
 
-    return (
-        F.when(c == "", decide("deny", "command is empty", "safe", "EMPTY_CMD"))
-        .when(
-            F.lower(c).rlike(denied_pattern(cfg.denied_commands)),
-            decide("deny", "command is denied", "high", "DENIED_CMD"),
-        )
-        .when(
-            path.isNotNull(),
-            decide("deny", because("path not allowed: ", path), "high", "DENIED_PATH"),
-        )
-        .when(
-            shape.isNotNull(),
-            decide("ask", because("possible shell injection: ", shape), "medium", "SHELL_INJECTION"),
-        )
-        .when(
-            (host != "") & host_allowed(host, cfg.allowed_domains),
-            decide("allow", because("domain allowed: ", host), "low", "NET_ALLOWED"),
-        )
+    Adds ``command, action, reason, risk_level, rule_id``. Command, host and first matching
+    check are projections of their own, so each is computed once per row; which path or
+    shape it was is looked up only for the rows that need it in their reason.
+    """
+    cfg = config or SafetyConfig()
+    c, host, rule = (F.col(n) for n in ("command", "__host", "rule_id"))
+    pieces = commands.withColumn(
+        "command", trimmed(requested_command(F.col("arguments")))
+    ).withColumn("__host", network_host(c))
+    checked = pieces.withColumn(
+        "rule_id",
+        F.when(c == "", "EMPTY_CMD")
+        .when(F.lower(c).rlike(denied_pattern(cfg.denied_commands)), "DENIED_CMD")
+        .when(F.lower(c).rlike(_path_pattern(cfg.denied_paths)), "DENIED_PATH")
+        .when(has_injection(c), "SHELL_INJECTION")
+        .when((host != "") & host_allowed(host, cfg.allowed_domains), "NET_ALLOWED")
+        .when(host != "", "NET_DENIED")
+        .when(command_allowed(c, cfg.allowed_commands), "WHITELIST")
+        .otherwise("DEFAULT"),
+    )
+    action = lookup({k: v[0] for k, v in DECISIONS.items()}, rule)
+    level = lookup({k: v[1] for k, v in DECISIONS.items()}, rule)
+    reason = (
+        F.when(rule == "EMPTY_CMD", "command is empty")
+        .when(rule == "DENIED_CMD", "command is denied")
         .when(
-            host != "",
-            decide("deny", because("domain not allowed: ", host), "high", "NET_DENIED"),
+            rule == "DENIED_PATH",
+            F.concat(F.lit("path not allowed: "), denied_path(c, cfg.denied_paths)),
         )
         .when(
-            command_allowed(c, cfg.allowed_commands),
-            decide("allow", "command is allowed", "safe", "WHITELIST"),
+            rule == "SHELL_INJECTION",
+            F.concat(F.lit("possible shell injection: "), injection(c)),
         )
-        .otherwise(decide(cfg.default_policy, "no rule matched, default policy", "low", "DEFAULT"))
+        .when(rule == "NET_ALLOWED", F.concat(F.lit("domain allowed: "), host))
+        .when(rule == "NET_DENIED", F.concat(F.lit("domain not allowed: "), host))
+        .when(rule == "WHITELIST", "command is allowed")
+        .otherwise("no rule matched, default policy")
+    )
+    return checked.select(
+        *commands.columns, "command",
+        F.coalesce(action, F.lit(cfg.default_policy)).alias("action"),
+        reason.alias("reason"),
+        F.coalesce(level, F.lit("low")).alias("risk_level"),
+        "rule_id",
     )
 
 
-def with_limits(
-    decision: Column, timeout: Column, output: Column, config: SafetyConfig | None = None
-) -> Column:
+def limit_commands(
+    decisions: DataFrame, timeout: Column, output: Column, config: SafetyConfig | None = None
+) -> DataFrame:
     """Allowed commands are denied when they ask for too much time or output."""
     cfg = config or SafetyConfig()
-
-    def over(text, asked, limit, rule):
-        reason = F.format_string(f"{text} %d above limit {limit}", asked)
-        return record(
-            action="deny", reason=reason, risk_level="medium", rule_id=rule,
-            command=decision["command"],
-        )
-
-    allowed = decision["action"] == "allow"
-    return (
-        F.when(
-            allowed & (timeout > cfg.max_timeout),
-            over("timeout", timeout, cfg.max_timeout, "TIMEOUT_EXCEEDED"),
-        )
-        .when(
-            allowed & (output > cfg.max_output),
-            over("output", output, cfg.max_output, "OUTPUT_EXCEEDED"),
-        )
-        .otherwise(decision)
-    )
-
-
-def decide_commands(commands: DataFrame, config: SafetyConfig | None = None) -> DataFrame:
-    """Decisions for ``commands(task_id, arguments, ...)``, other columns kept."""
-    judged = commands.withColumn(
-        "d", safety_decision(requested_command(F.col("arguments")), config)
+    allowed = F.col("action") == "allow"
+    slow, large = allowed & (timeout > cfg.max_timeout), allowed & (output > cfg.max_output)
+
+    def over(name, asked, limit):
+        return F.format_string(f"{name} %d above limit {limit}", asked)
+
+    return decisions.withColumns(
+        {
+            "reason": F.when(slow, over("timeout", timeout, cfg.max_timeout))
+            .when(large, over("output", output, cfg.max_output))
+            .otherwise(F.col("reason")),
+            "rule_id": F.when(slow, "TIMEOUT_EXCEEDED").when(large, "OUTPUT_EXCEEDED")
+            .otherwise(F.col("rule_id")),
+            "risk_level": F.when(slow | large, "medium").otherwise(F.col("risk_level")),
+            "action": F.when(slow | large, "deny").otherwise(F.col("action")),
+        }
     )
-    return judged.select(*commands.columns, "d.*")
 
 
 def audit_entries(decisions: DataFrame, at: Column) -> DataFrame:

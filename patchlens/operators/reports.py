@@ -184,7 +184,8 @@ def task_states(events: DataFrame) -> DataFrame:
         F.col("last.status").alias("status"),
         "started_at",
         done.alias("completed_at"),
-        (F.unix_millis(done) - F.unix_millis("started_at")).alias("duration_ms"),
+        F.round((F.unix_micros(done) - F.unix_micros("started_at")) / 1000)
+        .cast("bigint").alias("duration_ms"),
         F.col("last.error_msg").alias("error_msg"),
     )
 

@@ -57,9 +57,8 @@ def risk_score(findings: DataFrame, tasks: DataFrame | None = None) -> DataFrame
     parts, total = [], F.lit(0.0)
     for category, (name, share) in DIMENSIONS.items():
         n = F.coalesce(f"n_{category}", F.lit(0))
-        mean = F.coalesce(
-            F.least(F.lit(100.0), F.col(f"w_{category}") / F.nullif(n, F.lit(0)) * 100), F.lit(0.0)
-        )
+        # Not least(100, null): that is 100.
+        mean = F.when(n > 0, F.least(F.lit(100.0), F.col(f"w_{category}") / n * 100)).otherwise(0.0)
         total = total + mean * share
         parts += [F.lit(name), record(weight=share, score=mean, count=n, weighted=mean * share)]
     score = F.round(total, 2)

@@ -696,11 +696,11 @@ q("recent_tasks", """
 SELECT task_id, status, risk_score FROM tasks ORDER BY started_at DESC, task_id LIMIT 10""", TASKS)
 q("task_state", """
 SELECT task_id, status, CASE WHEN status IN ('completed', 'failed')
-       THEN epoch_ms(at) - epoch_ms(started) END AS duration_ms, error_msg FROM (
-  SELECT user_id::VARCHAR AS task_id, ts AS at, CASE WHEN event_type = 'error' THEN props END AS error_msg,
+       THEN round((epoch_us(moment) - epoch_us(begun)) / 1000)::BIGINT END AS duration_ms, error_msg FROM (
+  SELECT user_id::VARCHAR AS task_id, ts AS moment, CASE WHEN event_type = 'error' THEN props END AS error_msg,
          CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running'
               WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
-         min(ts) OVER (PARTITION BY user_id) AS started,
+         min(ts) OVER (PARTITION BY user_id) AS begun,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1""", "x AS (SELECT 1)")
 q("run_summary", """
 SELECT user_id::VARCHAR AS task_id, count(*) AS runs, count(*) FILTER (event_type <> 'error') AS succeeded,
@@ -879,3 +879,7 @@ _LATE = """
 SELECT event_id::VARCHAR AS task_id, 'failed' AS status, ts + INTERVAL 10 MINUTE AS at FROM events
 WHERE (event_type = 'error' OR event_id % 21 > 10)"""
 ORACLE["watchdog"] = _LATE
+# Timers fire up to the watermark: the latest time seen minus the allowed lateness of a day.
+ORACLE["stream_watchdog"] = _LATE + """
+  AND ts + INTERVAL 10 MINUTE <= (SELECT max(greatest(ts, CASE WHEN event_type <> 'error'
+      THEN ts + (event_id % 21) * INTERVAL 1 MINUTE ELSE ts END)) FROM events) - INTERVAL 1 DAY"""

@@ -527,13 +527,8 @@ def command_decisions(spark, sf_dir):
 @query
 def command_limits(spark, sf_dir):
     log = CM.decide_commands(C.event_commands(spark, sf_dir))
-    base = F.struct("action", "reason", "risk_level", "rule_id", "command")
-    judged = log.select(
-        "event_id", CM.with_limits(base, F.col("timeout_ns"), F.col("output_bytes")).alias("d")
-    )
-    return judged.groupBy(F.col("d.rule_id").alias("rule_id"), F.col("d.action").alias("action")).agg(
-        F.count("*").alias("n")
-    )
+    judged = CM.limit_commands(log, F.col("timeout_ns"), F.col("output_bytes"))
+    return judged.groupBy("rule_id", "action").agg(F.count("*").alias("n"))
 
 
 @query

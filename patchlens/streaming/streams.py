@@ -115,8 +115,8 @@ def audit_stream(commands: DataFrame, at: str = "decided_at") -> DataFrame:
 
 # Watchdog ---------------------------------------------------------------------------
 
-WATCHDOG_OUTPUT = "task_id STRING, status STRING, at TIMESTAMP"
-WATCHDOG_STATE = "deadline_ms BIGINT"
+WATCHDOG_OUTPUT = "task_id STRING, status STRING, at_us BIGINT"
+WATCHDOG_STATE = "deadline_us BIGINT"
 
 
 class Watchdog(StatefulProcessor):
@@ -129,47 +129,42 @@ class Watchdog(StatefulProcessor):
         self.handle = handle
         self.deadline = handle.getValueState("deadline", WATCHDOG_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
         # Reduce the whole batch of a task before touching its state: batches are unordered.
-        started, ended = None, None
+        started, ended = [], []
         for frame in rows:
-            begins = frame.loc[frame["status"] == "running", "at"]
-            ends = frame.loc[frame["status"].isin(["completed", "failed"]), "at"]
-            if len(begins):
-                started = begins.min() if started is None else min(started, begins.min())
-            if len(ends):
-                ended = ends.min() if ended is None else min(ended, ends.min())
-        if started is not None and not self.deadline.exists():
-            self._arm(int(started.timestamp() * 1000 + DEADLINE.total_seconds() * 1000))
-        if self.deadline.exists() and ended is not None:
+            begins = frame.loc[frame["status"] == "running", "at_us"]
+            ends = frame.loc[frame["status"].isin(["completed", "failed"]), "at_us"]
+            started += [int(begins.min())] if len(begins) else []
+            ended += [int(ends.min())] if len(ends) else []
+        if started and not self.deadline.exists():
+            limit = min(started) + DEADLINE // timedelta(microseconds=1)
+            self.deadline.update((limit,))
+            self.handle.registerTimer(limit // 1000)
+        if ended and self.deadline.exists():
             limit = self.deadline.get()[0]
-            if ended.timestamp() * 1000 <= limit:
-                self._disarm(limit)
+            if min(ended) <= limit:
+                self.deadline.clear()
+                self.handle.deleteTimer(limit // 1000)
         return iter([])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        limit = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.deadline.exists():
+            limit = self.deadline.get()[0]
             self.deadline.clear()
-            at = pd.Timestamp(limit, unit="ms")
-            yield pd.DataFrame({"task_id": [key[0]], "status": ["failed"], "at": [at]})
+            yield pd.DataFrame({"task_id": [key[0]], "status": ["failed"], "at_us": [limit]})
 
     def close(self) -> None:
         pass
 
-    def _arm(self, limit: int) -> None:
-        self.deadline.update((limit,))
-        self.handle.registerTimer(limit)
-
-    def _disarm(self, limit: int) -> None:
-        self.deadline.clear()
-        self.handle.deleteTimer(limit)
-
 
 def watchdog_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """Failures of tasks that run longer than ten minutes, by event time."""
-    return (
+    failed = (
         events.withWatermark("at", late)
+        .withColumn("at_us", F.unix_micros("at"))
         .groupBy("task_id")
         .transformWithStateInPandas(
             statefulProcessor=Watchdog(),
@@ -178,6 +173,7 @@ def watchdog_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
             timeMode="EventTime",
         )
     )
+    return failed.select("task_id", "status", F.timestamp_micros("at_us").alias("at"))
 
 
 def watchdog(events: DataFrame) -> DataFrame:
