@@ -41,9 +41,9 @@ MASKS = [
 
 # Lower-case substrings without which none of the patterns (but the hex one) can match.
 MASK_HINTS = [
-    "akia", "gh", "glpat-", "aiza", "npm_", "sg.", "bearer", "k_live_", "k_test_", "xox", "eyj",
-    "private key", "://", "passw", "pwd", "secret", "token", "api", "private", "credential",
-    "dsn",
+    "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "aiza", "npm_", "sg.", "bearer", "k_live_", "k_test_", "xox", "eyj",
+    "private key", "://", "passw", "pwd", "secret", "token", "apikey", "api_key",
+    "privatekey", "private_key", "credential", "dsn",
 ]
 
 

@@ -61,9 +61,21 @@ def ends_any(c: Column, words) -> Column:
     return any_of(c.endswith(w) for w in words)
 
 
+def sql_literal(value) -> str:
+    """A Python value as a Spark SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def literal_array(values) -> Column:
+    """A constant array; one expression text instead of one call per element."""
+    return F.expr("array(" + ", ".join(map(sql_literal, values)) + ")")
+
+
 def lookup(mapping: dict, key: Column) -> Column:
-    """Value of a literal map, null when the key is absent."""
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[key]
+    """Value of a constant map, null when the key is absent."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for kv in mapping.items() for x in kv) + ")")[key]
 
 
 def cut_bytes(c: Column, n: int, tail: str = "") -> Column:

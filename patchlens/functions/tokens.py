@@ -52,6 +52,8 @@ SENSITIVE_WORDS = [
 ]
 SENSITIVE_NAME_WORDS = SENSITIVE_WORDS + ["signing_key", "encryption_key", "master_key"]
 
+_SIGNS = "\"'`.0123456789/:=!<>+-*%&|^"
+
 
 def tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(token_pattern()), F.lit(0))
@@ -59,16 +61,17 @@ def tokens(line: Column) -> Column:
 
 def token_kind(t: Column) -> Column:
     """Kind of one token, null for operators, char literals and silent keywords."""
+    # The first character tells the kind; what is neither sign nor digit is a word.
     first = F.substring(t, 1, 1)
     return (
-        F.when(t.isin("=", ":="), "assignment")
+        F.when(
+            ~first.isin(list(_SIGNS)),
+            F.when(t.isin(FACT_KEYWORDS), t).when(~t.isin(SILENT_KEYWORDS), "identifier"),
+        )
         .when(first.isin('"', "`"), "string_literal")
-        .when(first == "'", None)
+        .when(t.isin("=", ":="), "assignment")
+        .when(first.isin(list(".0123456789")), F.when(~t.endswith("i"), "int_literal"))
         .when(t.startswith("//") | t.startswith("/*"), "comment")
-        .when(t.isin(FACT_KEYWORDS), t)
-        .when(t.isin(SILENT_KEYWORDS), None)
-        .when(t.rlike(r"^\.?[0-9]"), F.when(~t.endswith("i"), "int_literal"))
-        .when(t.rlike(r"^[\p{L}_]"), "identifier")
     )
 
 

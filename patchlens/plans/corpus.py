@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import literal_array
 from ..sources.lines import lines_of_arrays, split_lines
 
 CYCLE = 211
@@ -135,11 +136,20 @@ PLANTED = [
 ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer pieces than cores.
+
+    A large input has many more pieces and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_path() -> Column:
     doc = F.col("doc_id")
-    directory = F.get(F.array(*map(F.lit, DIRECTORIES)), (doc % len(DIRECTORIES)).cast("int"))
+    directory = F.get(literal_array(DIRECTORIES), (doc % len(DIRECTORIES)).cast("int"))
     ending = F.get(
-        F.array(*map(F.lit, ENDINGS)), (F.floor(doc / 20) % len(ENDINGS)).cast("int")
+        literal_array(ENDINGS), (F.floor(doc / 20) % len(ENDINGS)).cast("int")
     )
     ending = F.when(doc % 41 == 0, ".pb.go").otherwise(ending)
     return F.concat(directory, F.col("source"), F.lit("/f"), doc.cast("string"), ending)
@@ -147,8 +157,8 @@ def document_path() -> Column:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(task_id, path, lines, doc_id)``: the planted documents, one row each."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    planted = F.array(*map(F.lit, PLANTED))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    planted = literal_array(PLANTED)
 
     def line(raw, i):
         place = ((F.col("doc_id") * STEP + i) % CYCLE).cast("int")
@@ -227,7 +237,7 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = F.col("event_id")
-    plain = F.get(F.array(*map(F.lit, COMMANDS)), (e % len(COMMANDS)).cast("int"))
+    plain = F.get(literal_array(COMMANDS), (e % len(COMMANDS)).cast("int"))
     wrapped = F.concat(F.lit('{"command": "'), plain, F.lit('"}'))
     return events.select(
         F.col("user_id").cast("string").alias("task_id"),

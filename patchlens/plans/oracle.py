@@ -883,3 +883,20 @@ ORACLE["watchdog"] = _LATE
 ORACLE["stream_watchdog"] = _LATE + """
   AND ts + INTERVAL 10 MINUTE <= (SELECT max(greatest(ts, CASE WHEN event_type <> 'error'
       THEN ts + (event_id % 21) * INTERVAL 1 MINUTE ELSE ts END)) FROM events) - INTERVAL 1 DAY"""
+
+# The line rules over patches: only added lines count, numbered on the new side.
+_PATCH_LINES = """patch_added AS (
+  SELECT 'd' || doc_id AS task_id, path, content, (line - 1) % 4 AS k,
+         8 + sum(CASE WHEN (line - 1) % 4 <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS n
+  FROM raw_lines),
+lines AS (
+  SELECT task_id, path, n::BIGINT AS line, content FROM patch_added
+  WHERE k >= 2 AND path NOT IN (SELECT path FROM generated))"""
+_LINE_RULE_QUERIES = _RULE_QUERIES[:10]
+_PATCH_UNION = "\nUNION ALL\n".join(
+    f'SELECT task_id, file, line, "check" FROM ({ORACLE[n].replace(S.LINES, _PATCH_LINES)})'
+    for n in _LINE_RULE_QUERIES
+)
+ORACLE["stream_line_findings"] = with_role(_PATCH_UNION).replace(
+    f"{ROLE} <> 'production' AND", "false AND"
+)

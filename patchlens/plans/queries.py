@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import masking as M
 from ..functions import paths as P
 from ..functions import tokens as K
+from ..functions.text import literal_array
 from ..operators import artifacts as A
 from ..operators import commands as CM
 from ..operators import findings as FD
@@ -639,7 +640,7 @@ def link_parse(spark, sf_dir):
 
 @query
 def artifact_admission(spark, sf_dir):
-    endings = F.array(*map(F.lit, [".json", ".HTML", ".exe", ".log", "", ".txt"]))
+    endings = literal_array([".json", ".HTML", ".exe", ".log", "", ".txt"])
     pages = table(spark, sf_dir, "pages").select(
         F.concat(F.lit("a"), (F.col("page_id") % 7).cast("string")).alias("task_id"),
         F.col("page_id").alias("seq"),
@@ -786,7 +787,7 @@ def stream_audit(spark, sf_dir):
     events = _event_stream(spark, sf_dir)
     e = F.col("event_id")
     commands = events.select(
-        e, F.get(F.array(*map(F.lit, C.COMMANDS)), (e % len(C.COMMANDS)).cast("int")).alias("arguments"),
+        e, F.get(literal_array(C.COMMANDS), (e % len(C.COMMANDS)).cast("int")).alias("arguments"),
         F.col("ts").cast("timestamp").alias("decided_at"),
     )
     rows = _rows_of(ST.audit_stream(commands), "audit")

@@ -139,6 +139,7 @@ def split_lines(content: Column) -> Column:
 def lines_of_arrays(files: DataFrame) -> DataFrame:
     """``files(task_id, path, lines ARRAY<STRING>)`` to the line table, all lines added."""
     path, body = F.col("path"), F.col("lines")
+    # Flags get a projection of their own: next to a generator they would be computed per line.
     flagged = files.select(
         "task_id",
         path.alias("new_path"),
@@ -146,7 +147,11 @@ def lines_of_arrays(files: DataFrame) -> DataFrame:
         is_generated(path, body).alias("generated"),
         F.when(P.is_go(path), declares_main(body)).otherwise(False).alias("package_main"),
         F.when(P.is_go(path), defer_lines_in_loops(body, False)).alias("defer_lines"),
-        F.posexplode_outer(body).alias("at", "content"),
+        body.alias("body"),
+    )
+    flagged = flagged.select(
+        *[c for c in flagged.columns if c != "body"],
+        F.posexplode_outer("body").alias("at", "content"),
     ).filter(F.col("at").isNotNull())
     line = F.col("at") + 1
     return flagged.select(
@@ -251,7 +256,11 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
         is_generated(P.strip_side(new_path), body).alias("generated"),
         F.when(go, declares_main(body)).otherwise(False).alias("package_main"),
         F.when(go, defer_lines_in_loops(raw, True)).alias("defer_lines"),
-        F.posexplode_outer(F.split(section, r"\n(?=@@ )")).alias("hunk_seq", "hunk"),
+        F.split(section, r"\n(?=@@ )").alias("hunks"),
+    )
+    files = files.select(
+        *[c for c in files.columns if c != "hunks"],
+        F.posexplode_outer("hunks").alias("hunk_seq", "hunk"),
     ).filter(F.col("hunk").startswith("@@ ") & F.col("hunk").rlike(HUNK_HEADER))
 
     hunk = F.col("hunk")
