@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, contains_any, ends_any, starts_any, trimmed, unquoted
+from .text import any_of, ends_any, mentions_any, starts_any, trimmed, unquoted
 
 # Prefixes of template references, format verbs and placeholder words.
 TEMPLATE_PREFIXES = ["${{", "${", "{{", "<%", "%{"]
@@ -47,10 +47,10 @@ def likely_not_secret(value: Column) -> Column:
     v = unquoted(value)
     return (
         starts_any(v, TEMPLATE_PREFIXES)
-        | contains_any(v, FORMAT_VERBS)
+        | mentions_any(v, FORMAT_VERBS)
         | (F.octet_length(v) < 8)
         | (trimmed(v) == "")
-        | contains_any(F.lower(v), PLACEHOLDER_WORDS)
+        | mentions_any(F.lower(v), PLACEHOLDER_WORDS)
     )
 
 
@@ -65,7 +65,7 @@ def bearer_token(s: Column) -> Column:
     rest = F.when(s.contains("Bearer"), F.substring(s, F.instr(s, "Bearer") + 6, F.length(s)))
     rest = F.trim(trimmed(rest), F.lit("\"'"))
     token = F.coalesce(F.regexp_extract(rest, r"^[A-Za-z0-9._/+\-]{25,}", 0), F.lit(""))
-    return F.when(contains_any(F.lower(token), BEARER_PLACEHOLDERS), "").otherwise(token)
+    return F.when(mentions_any(F.lower(token), BEARER_PLACEHOLDERS), "").otherwise(token)
 
 
 def credential_shape(s: Column) -> Column:
@@ -115,9 +115,9 @@ def config_value_is_real(key: Column, value: Column) -> Column:
     return ~(
         (F.octet_length(value) < 6)
         | starts_any(value, ["${", "<", "%%", "{{"])
-        | contains_any(F.lower(value), CONFIG_PLACEHOLDERS)
+        | mentions_any(F.lower(value), CONFIG_PLACEHOLDERS)
         | quoted
-        | contains_any(value, ["(", " | ", " = "])
+        | mentions_any(value, ["(", " | ", " = "])
         | value.rlike(DOTTED_NAME)
         | ends_any(F.lower(key), DESCRIPTIVE_ENDINGS)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import contains_any, cut_bytes, ends_any, lookup, record, starts_any, trimmed
+from .text import cut_bytes, ends_any, lookup, mentions_any, record, starts_any, trimmed
 
 # Language by lower-case extension; other extensions name themselves.
 LANGUAGES = {
@@ -72,13 +72,13 @@ def code_role(path: Column) -> Column:
     wrapped = F.concat(F.lit("/"), low, F.lit("/"))
     base = base_name(low)
     return (
-        F.when(contains_any(wrapped, TEST_DIRECTORIES), "test")
+        F.when(mentions_any(wrapped, TEST_DIRECTORIES), "test")
         .when(
             ends_any(base, TEST_ENDINGS) | (base.startswith("test_") & base.endswith(".py")),
             "test",
         )
         .when(ends_any(low, EXAMPLE_ENDINGS) | starts_any(base, EXAMPLE_STARTS), "example")
-        .when(contains_any(wrapped, EXAMPLE_DIRECTORIES), "example")
+        .when(mentions_any(wrapped, EXAMPLE_DIRECTORIES), "example")
         .otherwise("production")
     )
 

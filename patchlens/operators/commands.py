@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import matches_allowed, normal_path
-from ..functions.text import any_of, contains_any, lookup, trimmed
+from ..functions.text import any_of, lookup, mentions_any, quoted, trimmed
 
 
 @dataclass
@@ -74,18 +73,14 @@ CHAINED = ["rm ", "curl ", "wget ", "sudo ", "chmod ", "chown "]
 SCHEMES = ["http://", "https://", "ftp://"]
 
 
-def _quote(text: str) -> str:
-    return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)
-
-
 def denied_pattern(commands: list[str]) -> str:
     """Any denied command standing by itself; one that ends in a space needs no edge after it."""
-    words = [_quote(c.lower()) + ("" if c.endswith(" ") else rf"(?:{_EDGE}|\z)") for c in commands]
+    words = [quoted(c.lower()) + ("" if c.endswith(" ") else rf"(?:{_EDGE}|\z)") for c in commands]
     return rf"(?:\A|{_EDGE})(?:{'|'.join(words)})"
 
 
 def _path_pattern(paths: list[str]) -> str:
-    words = "|".join(_quote(p.lower()) for p in paths)
+    words = "|".join(quoted(p.lower()) for p in paths)
     return r"(?:\A|[ \t\"'=:/])".replace('\\"', '"') + f"(?:{words})"
 
 
@@ -98,8 +93,8 @@ def denied_path(command: Column, paths: list[str]) -> Column:
 
 
 def has_injection(command: Column) -> Column:
-    chained = contains_any(command, ["||", "&&"]) & contains_any(F.lower(command), CHAINED)
-    return contains_any(command, [mark for mark, _ in INJECTIONS]) | chained
+    chained = mentions_any(command, ["||", "&&"]) & mentions_any(F.lower(command), CHAINED)
+    return mentions_any(command, [mark for mark, _ in INJECTIONS]) | chained
 
 
 def injection(command: Column) -> Column:
@@ -130,7 +125,7 @@ def host_allowed(host: Column, domains: list[str]) -> Column:
 
 
 def command_allowed(command: Column, commands: list[str]) -> Column:
-    words = "|".join(_quote(c.lower()) for c in commands)
+    words = "|".join(quoted(c.lower()) for c in commands)
     return F.lower(command).rlike(rf"\A(?:{words})(?:[ \t\n|&;]|\z)")
 
 

@@ -24,6 +24,7 @@ from ..functions.text import (
     any_of,
     contains_any,
     is_comment,
+    mentions_any,
     record,
     starts_any,
     trimmed,
@@ -83,7 +84,7 @@ def _secret_gate(x: Line) -> Column:
 
 def _secret_hit(x: Line) -> Column:
     assigned, name = x.assigned, x.sensitive
-    elsewhere = contains_any(x.content, ["os.Getenv(", "os.LookupEnv(", "secretmanager"])
+    elsewhere = mentions_any(x.content, ["os.Getenv(", "os.LookupEnv(", "secretmanager"])
     literal = F.get(
         F.filter(x.literals, lambda s: (unquoted(s) != name) & ~C.likely_not_secret(s)),
         F.lit(0),
@@ -97,7 +98,7 @@ def _secret_hit(x: Line) -> Column:
     soft = (
         name.isNotNull()
         & ~K.has_kind(x.facts, "assignment")
-        & ~contains_any(x.content, ["`", "=="])
+        & ~mentions_any(x.content, ["`", "=="])
         & literal.isNotNull()
     )
     return F.when(
@@ -157,7 +158,7 @@ def _error_hit(x: Line) -> Column:
     )
     some, every = F.size(blanks) > 0, F.size(blanks) == F.size(names)
     call = _after_last(x.content, "=").contains("(")
-    quiet = text.startswith("var ") | ~call | contains_any(x.content, SAFE_TO_IGNORE)
+    quiet = text.startswith("var ") | ~call | mentions_any(x.content, SAFE_TO_IGNORE)
     asserted = x.content.contains("=") & F.concat(
         F.lit("="), _after_last(x.content, "=")
     ).rlike(TYPE_ASSERTION)
@@ -371,12 +372,13 @@ def line_hits(
     )
     source = source.withColumn("types", F.lit(None).cast("map<int,boolean>"))
     x = Line(*[F.col("new_path" if f.name == "path" else f.name) for f in fields(Line)])
-    source = source.filter(any_of(r.gate(x) for r in chosen))
+    gates = [r.gate(x) for r in chosen]
+    source = source.filter(any_of(gates))
     if type_facts is not None:
         source = _with_types(source, type_facts)
     staged = source
     if any(r.uses_facts for r in chosen):
-        need = any_of(r.gate(x) for r in chosen if r.uses_facts)
+        need = any_of(g for g, r in zip(gates, chosen) if r.uses_facts)
         staged = source.withColumn("facts", F.when(need, K.facts(x.content))).withColumns(
             {
                 "assigned": K.assigned_value(x.facts),
@@ -384,7 +386,7 @@ def line_hits(
                 "literals": K.string_literals(x.facts),
             }
         )
-    found = F.array(*[F.when(r.gate(x), r.hit(x)) for r in chosen])
+    found = F.array(*[F.when(g, r.hit(x)) for g, r in zip(gates, chosen)])
     # The outer form keeps the optimizer from filtering on, and so repeating, the whole array.
     return (
         staged.select(*FILE_KEY, F.col("new_line").alias("line"), found.alias("found"))

@@ -120,16 +120,17 @@ def _returned_names(c: Column) -> Column:
 def _called_names(c: Column) -> Column:
     """Names in front of an opening bracket: ``a.b.stop(`` gives the chain and its ends."""
     chains = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_.\[\]]+)\s*\("), F.lit(1))
-    ends = F.transform(
-        chains,
-        lambda chain: F.transform(
-            F.sequence(F.lit(1), F.size(F.split(chain, r"\."))),
-            lambda n: index_substring(chain, ".", -n),
-        ),
-    )
+    ends = F.transform(chains, lambda chain: _endings(F.split(chain, r"\."), "."))
     return F.when(c.contains("("), F.flatten(ends)).otherwise(_nothing())
 
 
+def _endings(parts: Column, mark: str) -> Column:
+    """All joined endings of a list of parts, the whole first."""
+    return F.transform(
+        parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts) - i), mark)
+    )
+
+
 def _extract(c: Column, hint: str, pattern: str) -> Column:
     found = F.regexp_extract(c, pattern, 1)
     return F.when(c.contains(hint) & (found != "") & ~is_comment(c), found)
@@ -471,68 +472,80 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
 
     code = ~t.startswith("//")
     body = code & ~t.startswith("func ")
-    # Names a line refers to, names it ends a call with, and test functions it declares.
-    refers = F.when(body, F.regexp_extract_all(
-        text, F.lit(WORD_START + r"[A-Z][A-Za-z0-9_]*+"), F.lit(0))).otherwise(_nothing())
-    called = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+)\("), F.lit(1))
-    call_ends = F.when(body, F.flatten(F.transform(
-        called,
-        lambda w: F.filter(
-            F.transform(
-                F.sequence(F.lit(1), F.length(w)),
-                lambda i: F.when(
-                    F.substring(w, i, F.lit(1)).rlike("[A-Z]"), F.substring(w, i, F.length(w))
-                ),
+
+    def found(when, pattern):
+        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.when(when, names).otherwise(_nothing())
+
+    # Capitalised words a line refers to, capitalised endings of longer names it calls, and
+    # the subjects of the test functions it declares.
+    refers = found(body, WORD_START + r"([A-Z][A-Za-z0-9_]*+)")
+    longer = F.filter(
+        found(body & text.contains("("), r"([A-Za-z0-9_]+)\("), lambda w: w.rlike(".[A-Z]")
+    )
+    call_ends = F.flatten(
+        F.transform(longer, lambda w: _endings(F.split(w, "(?=[A-Z])"), ""))
+    )
+    declares = code & text.contains("func Test")
+    declared = found(declares, r"func Test([A-Z][A-Za-z0-9_]*)\(")
+    grouped = F.flatten(
+        F.transform(
+            found(declares, r"func Test([A-Z][A-Za-z0-9_]*_)"),
+            lambda w: F.transform(
+                F.sequence(F.lit(1), F.size(F.split(w, "_")) - 1),
+                lambda n: index_substring(w, "_", n),
             ),
-            lambda v: v.isNotNull(),
-        ),
-    ))).otherwise(_nothing())
-    declared = F.when(code, F.regexp_extract_all(
-        text, F.lit(r"func Test([A-Z][A-Za-z0-9_]*)\("), F.lit(1))).otherwise(_nothing())
-    grouped = F.when(code, F.flatten(F.transform(
-        F.regexp_extract_all(text, F.lit(r"func Test([A-Z][A-Za-z0-9_]*_)"), F.lit(1)),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.size(F.split(w, "_")) - 1),
-            lambda n: index_substring(w, "_", n),
-        ),
-    ))).otherwise(_nothing())
-    brace_only = t.isin("}", "{", "} {", "}{")
-    works = (t != "") & ~is_comment(text) & ~brace_only & ~t.contains("t.Skip")
+        )
+    )
 
-    def keyed(names, kind):
-        return F.transform(names, lambda n: record(kind=F.lit(kind), name=n))
+    def keyed(names, **flags):
+        given = {f: flags.get(f, False) for f in ("named", "called", "declared")}
+        return F.transform(names, lambda n: record(name=n, **given))
 
     # Test files serve their whole task; other files serve themselves.
-    scope = F.when(P.is_go_test(path), "task").otherwise("file")
-    marks = used.select(
-        "task_id",
-        scope.alias("scope"),
-        F.when(P.is_go_test(path), 0).otherwise(F.col("file_seq")).alias("scope_seq"),
-        F.when(P.is_go_test(path), "").otherwise(path).alias("scope_path"),
-        F.inline_outer(
-            F.concat(
-                keyed(refers, "named"), keyed(grouped, "named"), keyed(call_ends, "called"),
-                keyed(declared, "declared"),
-                F.when(works, F.array(record(kind="works", name=""))).otherwise(
-                    F.array().cast("array<struct<kind:string,name:string>>")
-                ),
-            )
-        ),
-    ).filter(F.col("kind").isNotNull()).distinct()
+    in_test = P.is_go_test(path)
+    scope = [
+        F.col("task_id"),
+        F.when(in_test, "task").otherwise("file").alias("scope"),
+        F.when(in_test, 0).otherwise(F.col("file_seq")).alias("scope_seq"),
+        F.when(in_test, "").otherwise(path).alias("scope_path"),
+    ]
     scope_key = ["task_id", "scope", "scope_seq", "scope_path"]
-    pick = lambda kind: marks.filter(F.col("kind") == kind).drop("kind")
-    tested = (
-        pick("declared")
-        .join(pick("called"), scope_key + ["name"], "left_semi")
-        .join(pick("works").drop("name"), scope_key, "left_semi")
+    names = F.concat(
+        keyed(F.concat(refers, grouped), named=True), keyed(call_ends, called=True),
+        keyed(declared, declared=True),
     )
-    known = pick("named").unionByName(tested)
-    own = known.filter(F.col("scope") == "file").select(
-        "task_id", F.col("scope_seq").alias("file_seq"), F.col("scope_path").alias("new_path"), "name"
+    marks = (
+        used.select(*scope, F.inline_outer(names))
+        .filter(F.col("name").isNotNull())
+        .groupBy(*scope_key, "name")
+        .agg(*[F.max(f).alias(f) for f in ("named", "called", "declared")])
     )
-    shared = known.filter(F.col("scope") == "task").select("task_id", "name")
-    left = functions.join(own, FILE_KEY + ["name"], "left_anti").join(
-        shared, ["task_id", "name"], "left_anti"
+    # A test body counts only in a scope with code that is not skipped.
+    brace_only = t.isin("}", "{", "} {", "}{")
+    works = (t != "") & ~is_comment(text) & ~brace_only & ~t.contains("t.Skip")
+    working = used.filter(works).select(*scope).distinct().withColumn("works", F.lit(True))
+    tested = F.col("named") | (F.col("declared") & F.col("called") & F.col("works"))
+    known = (
+        marks.filter(F.col("named") | (F.col("declared") & F.col("called")))
+        .join(working, scope_key, "left")
+        .filter(tested)
+        .select(*scope_key, "name", F.lit(True).alias("tested"))
+    )
+    asked = functions.withColumn(
+        "ask",
+        F.explode(
+            F.array(
+                record(scope="file", scope_seq=F.col("file_seq"), scope_path=path),
+                record(scope="task", scope_seq=0, scope_path=""),
+            )
+        ),
+    ).select(*functions.columns, "ask.*")
+    left = (
+        asked.join(known, scope_key + ["name"], "left")
+        .groupBy(*functions.columns)
+        .agg(F.max("tested").alias("tested"))
+        .filter(F.col("tested").isNull())
     )
     return _hits(left, "missing_test", F.col("name"))
 

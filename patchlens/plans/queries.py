@@ -29,7 +29,7 @@ from ..streaming import streams as ST
 from . import corpus as C
 from .review import review
 from .review import review_scores as scored_review
-from .workspace import shared_folder
+from .workspace import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,12 +292,13 @@ def masked_evidence(spark, sf_dir):
 
 @query
 def review_findings(spark, sf_dir):
-    return brief(review(C.document_lines(spark, sf_dir)), "bucket", "copies")
+    lines = written(C.document_lines(spark, sf_dir), "lines")
+    return brief(review(lines), "bucket", "copies")
 
 
 @query
 def review_scores(spark, sf_dir):
-    scores = scored_review(C.document_lines(spark, sf_dir))
+    scores = scored_review(written(C.document_lines(spark, sf_dir), "lines"))
     return scores.select("task_id", "score", "grade", "finding_count", "warning_count")
 
 
