@@ -232,7 +232,7 @@ def canonical_repository(link: Column) -> Column:
 
 
 def hide_link_token(link: Column) -> Column:
-    return F.regexp_replace(link, r"^([^\n]*?x-access-token:)[^@]*@", "$1***@")
+    return F.regexp_replace(link, r"(?s)\A(.*?x-access-token:)[^@]*@", "$1***@")
 
 
 def last_error_line(text: Column) -> Column:

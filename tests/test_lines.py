@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -88,7 +88,7 @@ def expected_rows(kinds):
 
 
 @settings(
-    max_examples=8, deadline=None,
+    max_examples=8, deadline=None, phases=[Phase.generate],
     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
 )
 @given(st.lists(st.sampled_from(" +-"), min_size=1, max_size=400))

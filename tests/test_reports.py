@@ -23,7 +23,7 @@ def test_risk_score(spark):
     tasks = spark.createDataFrame([("t",), ("none",)], "task_id string")
     got = {r.task_id: r for r in S.risk_score(found(spark, rows), tasks).collect()}
     assert (got["t"].score, got["t"].grade, got["t"].finding_count) == (19.5, "A", 3)
-    assert got["t"].breakdown["security"].count == 2
+    assert got["t"].breakdown["security"]["count"] == 2
     assert (got["none"].score, got["none"].grade, got["none"].warning) == (0.0, "A", None)
     text = S.risk_score(found(spark, rows)).select(S.score_text().alias("s")).first().s
     assert "Risk 19.50 (A)" in text and "security [██████░░░░] 65.0" in text
@@ -71,7 +71,7 @@ def test_task_detail(spark):
 def test_commands(spark, tmp_path):
     want = {
         "": "EMPTY_CMD", "rm -rf /x": "DENIED_CMD", "pseudo x; sudo y": "DENIED_CMD", "pseudo x": "DEFAULT",
-        "cat /etc/hosts": "DENIED_PATH", "cat x/etc/y": "DEFAULT", "cat a=/root/y": "DENIED_PATH",
+        "cat /etc/hosts": "DENIED_PATH", "cat x/etc/y": "WHITELIST", "cat a=/root/y": "DENIED_PATH",
         "echo $(x)": "SHELL_INJECTION", "a && chmod 1 x": "SHELL_INJECTION", "a && b": "DEFAULT",
         "x http://GitHub.com:80/a": "NET_ALLOWED", "x https://evil.io": "NET_DENIED", "go test ./...": "WHITELIST",
         "go testing": "DEFAULT", "LS -l": "WHITELIST", "curling x": "DEFAULT", "run curl x": "DENIED_CMD",
@@ -79,7 +79,6 @@ def test_commands(spark, tmp_path):
     df = spark.createDataFrame([("t", c) for c in want], "task_id string, arguments string")
     got = {r.command: r.rule_id for r in C.decide_commands(df).collect()}
     got = {c: got.get(c, "DEFAULT") for c in want}
-    want["cat x/etc/y"] = "DEFAULT"
     assert got == want
     wrapped = spark.createDataFrame(
         [("t", '{"command": ""}'), ("t", '{"command": "ls"}'), ("t", '{"other": 1}')],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,8 +25,13 @@ def number_end(s, i):
     j = i
     if s[i : i + 2].lower() == "0x":
         j += 2
-        while j < len(s) and (s[j] in "0123456789abcdefABCDEF_"):
+        hexes = "0123456789abcdefABCDEF_"
+        while j < len(s) and s[j] in hexes:
             j += 1
+        if s[j : j + 1] == ".":
+            j += 1
+            while j < len(s) and s[j] in hexes:
+                j += 1
         return j
     while j < len(s) and s[j] in "0123456789_":
         j += 1
@@ -92,7 +97,7 @@ PIECES = st.sampled_from(
 
 
 @settings(
-    max_examples=6, deadline=None,
+    max_examples=6, deadline=None, phases=[Phase.generate],
     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
 )
 @given(st.lists(st.lists(PIECES, max_size=12).map("".join), min_size=60, max_size=60))
