@@ -73,9 +73,11 @@ def ends_any(c: Column, words) -> Column:
 
 
 def sql_literal(value) -> str:
-    """A Python value as a Spark SQL literal."""
+    """A Python value as a Spark SQL literal. A dollar sign would start a variable."""
     if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        for char, escaped in (("\\", "\\\\"), ("'", "\\'"), ("$", "\\u0024")):
+            value = value.replace(char, escaped)
+        return f"'{value}'"
     return f"{value!r}D" if isinstance(value, float) else repr(value)
 
 

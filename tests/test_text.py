@@ -106,6 +106,13 @@ def test_links(spark):
     ]
 
 
+def test_literals_survive_as_text(spark):
+    odd = ["${x}", "it's", "back\\slash \\u0041", 'two\nlines "q"', "é§", "%{a}"]
+    row = spark.range(1).select(X.literal_array(odd), X.lookup({o: o for o in odd}, F.lit(odd[0]))).first()
+    assert row[0] == odd and row[1] == odd[0]
+    assert spark.range(1).select(X.lookup({1: 0.5}, F.lit(1))).first()[0] == 0.5
+
+
 def test_small_helpers(spark):
     assert values(spark, [" \t x\n"], X.trimmed) == ["x"]
     assert values(spark, ["ab", "éé", "abcdef"], lambda s: X.cut_bytes(s, 3, "…")) == ["ab", "é…", "abc…"]
