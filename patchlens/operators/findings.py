@@ -221,20 +221,20 @@ def compare_runs(
 def previous_task(tasks: DataFrame) -> DataFrame:
     """For each task the last completed one of the same input that started before it.
 
-    Ordered inside days first and then over one row per day, so an input with very many
+    Ordered inside hours first and then over one row per hour, so an input with very many
     tasks is not ordered by a single worker.
     """
     order = ["started_at", "task_id"]
     done = F.when(F.col("status") == "completed", F.col("task_id"))
-    day = tasks.withColumn("__day", F.to_date("started_at")).withColumn("__done", done)
-    part = ["input_path", "__day"]
+    timed = tasks.withColumn("__hour", F.date_trunc("hour", "started_at")).withColumn("__done", done)
+    part = ["input_path", "__hour"]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    near = day.withColumn("__near", F.last("__done", ignorenulls=True).over(inside))
-    ends = day.groupBy(*part).agg(
+    near = timed.withColumn("__near", F.last("__done", ignorenulls=True).over(inside))
+    ends = timed.groupBy(*part).agg(
         F.max_by("__done", F.when(F.col("__done").isNotNull(), F.struct(*order))).alias("__end")
     )
-    days = W.partitionBy("input_path").orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*part, F.last("__end", ignorenulls=True).over(days).alias("__carry"))
+    hours = W.partitionBy("input_path").orderBy("__hour").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("__end", ignorenulls=True).over(hours).alias("__carry"))
     return near.join(carried, part, "left").select(
         *tasks.columns, F.coalesce("__near", "__carry").alias("previous_task_id")
     )

@@ -235,7 +235,7 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every third command comes wrapped in JSON.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     e = F.col("event_id")
     plain = F.get(literal_array(COMMANDS), (e % len(COMMANDS)).cast("int"))
     wrapped = F.concat(F.lit('{"command": "'), plain, F.lit('"}'))
@@ -250,7 +250,10 @@ def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large findings table from ``lineitem`` and ``orders``."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
+        "l_returnflag",
+    ))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     joined = items.join(orders, items.l_orderkey == orders.o_orderkey)
     flag, category = F.col("l_returnflag"), F.col("l_partkey") % 7
