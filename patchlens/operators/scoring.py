@@ -16,7 +16,8 @@ DIMENSIONS = {
     "testing": ("test coverage", 0.15),
     "concurrency": ("concurrency", 0.05),
 }
-SEVERITY_WEIGHT = {"high": 1.0, "medium": 0.6, "low": 0.3, "info": 0.1}
+# Severity weights are in tenths: whole numbers add up alike in any order.
+SEVERITY_TENTHS = {"high": 10, "medium": 6, "low": 3, "info": 1}
 GRADES = [(80, "F"), (60, "D"), (40, "C"), (20, "B")]
 
 
@@ -40,7 +41,7 @@ def risk_score(findings: DataFrame, tasks: DataFrame | None = None) -> DataFrame
     ``tasks`` table is given.
     """
     formal = F.col("bucket") == "finding"
-    weight = F.coalesce(lookup(SEVERITY_WEIGHT, F.col("severity")), F.lit(0.0))
+    weight = F.coalesce(lookup(SEVERITY_TENTHS, F.col("severity")), F.lit(0))
     aggregates = [
         F.count_if(formal).alias("finding_count"),
         F.count_if(~formal).alias("warning_count"),
@@ -58,10 +59,11 @@ def risk_score(findings: DataFrame, tasks: DataFrame | None = None) -> DataFrame
     for category, (name, share) in DIMENSIONS.items():
         n = F.coalesce(f"n_{category}", F.lit(0))
         # Not least(100, null): that is 100.
-        mean = F.when(n > 0, F.least(F.lit(100.0), F.col(f"w_{category}") / n * 100)).otherwise(0.0)
+        mean = F.when(n > 0, F.least(F.lit(100.0), F.col(f"w_{category}") * 10 / n)).otherwise(0.0)
         total = total + mean * share
         parts += [F.lit(name), record(weight=share, score=mean, count=n, weighted=mean * share)]
-    score = F.round(total, 2)
+    # Scaled before rounding: rounding to two places would go by the decimal text of the sum.
+    score = F.round(total * 100) / 100
     warnings = F.coalesce("warning_count", F.lit(0))
     return scored.select(
         "task_id",

@@ -531,14 +531,12 @@ _DIMENSIONS = {
     "security": 0.30, "sensitive_leak": 0.15, "resource": 0.20, "error_handling": 0.15,
     "testing": 0.15, "concurrency": 0.05,
 }
-_WEIGHT = "CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.3 WHEN 'info' THEN 0.1 ELSE 0 END"
+_TENTHS = "CASE severity WHEN 'high' THEN 10 WHEN 'medium' THEN 6 WHEN 'low' THEN 3 WHEN 'info' THEN 1 ELSE 0 END"
 
 
 def mean_of(category: str) -> str:
-    return (
-        f"least(100, coalesce(avg(({_WEIGHT})::DOUBLE) FILTER (bucket = 'finding' AND category = "
-        f"'{category}'), 0) * 100)"
-    )
+    here = f"FILTER (bucket = 'finding' AND category = '{category}')"
+    return f"least(100, coalesce(sum({_TENTHS}) {here} * 10 / nullif(count(*) {here}, 0), 0))"
 
 
 TOTAL = " + ".join(f"{mean_of(c)} * {w}" for c, w in _DIMENSIONS.items())
