@@ -89,8 +89,10 @@ def key_hint(key: Column) -> Column:
     )
 
 
-def masked_output(text: Column, limit: Column) -> Column:
-    """STRUCT<output, truncated>: mask first, then cut to ``limit`` bytes."""
+def masked_output(text: Column, limit: Column, timed_out: Column | None = None) -> Column:
+    """STRUCT<output, truncated>: note a time-out, mask, then cut to ``limit`` bytes."""
+    if timed_out is not None:
+        text = F.when(timed_out, F.concat(text, F.lit("\n[timed out]"))).otherwise(text)
     masked = mask_sensitive(text)
     over = (limit > 0) & (F.octet_length(masked) > limit)
     raw = F.encode(masked, "UTF-8")

@@ -18,7 +18,6 @@ from ..functions import paths as P
 from ..functions import tokens as K
 from ..functions.masking import shorten_secret
 from ..functions.text import (
-    QUOTES,
     WORD_END,
     WORD_START,
     any_of,
@@ -409,4 +408,4 @@ def _with_types(source: DataFrame, type_facts: DataFrame) -> DataFrame:
     return joined.withColumn("types", F.when(blank, F.col("known"))).drop("known")
 
 
-__all__ = ["LineRule", "Line", "LINE_RULES", "line_hits", "hit", "HIT_COLUMNS", "QUOTES"]
+__all__ = ["LineRule", "Line", "LINE_RULES", "line_hits", "hit", "HIT_COLUMNS"]

@@ -29,7 +29,7 @@ from ..functions.text import (
     trimmed,
 )
 from ..sources.lines import FILE_KEY, reviewable
-from .line_rules import HIT_COLUMNS, cancel_name
+from .line_rules import cancel_name
 
 CHUNK = 4096
 # Longest name compared by equality when any ending of a longer name may match.
@@ -551,6 +551,6 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "HIT_COLUMNS", "pair_hits", "goroutine_hits", "swallowed_error_hits", "context_root_hits",
+    "pair_hits", "goroutine_hits", "swallowed_error_hits", "context_root_hits",
     "large_delete_hits", "missing_test_hits", "last_before",
 ]

@@ -15,9 +15,12 @@ from ..functions.credentials import (
 from ..functions.masking import MASKS
 from ..functions.paths import LANGUAGES
 from ..functions.tokens import SENSITIVE_NAME_WORDS, SENSITIVE_WORDS, TYPE_NAMES
+from ..operators.checks import CHECKS
+from ..operators.commands import CHAINED, INJECTIONS, SafetyConfig
 from ..operators.line_rules import SAFE_TO_IGNORE
 from ..operators.pair_rules import EXIT_NAMES, NO_TEST_NEEDED, OPEN_CALLS
 from . import oracle_parts as S
+from .corpus import COMMANDS
 
 ORACLE: dict[str, str] = {}
 T = S.trim("content")
@@ -438,9 +441,6 @@ made AS (
 
 # Findings ---------------------------------------------------------------------------
 
-from ..operators.checks import CHECKS  # noqa: E402
-from ..operators.commands import CHAINED, INJECTIONS, SafetyConfig  # noqa: E402
-
 
 def sub(name: str) -> str:
     return f"({ORACLE[name]})"
@@ -707,8 +707,6 @@ SELECT user_id::VARCHAR AS task_id, count(*) AS runs, count(*) FILTER (event_typ
 
 # Commands ---------------------------------------------------------------------------
 
-from .corpus import COMMANDS  # noqa: E402
-
 CFG = SafetyConfig()
 LOG = f"""log AS (
   SELECT event_id, user_id::VARCHAR AS task_id, {S.lst(COMMANDS)}[(event_id % {len(COMMANDS)}) + 1] AS command,

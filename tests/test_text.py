@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from patchlens.functions import masking as M
 from patchlens.functions import paths as P
 from patchlens.functions import text as X
+from patchlens.functions.sql_names import register_functions
 
 KEY = "pass" + "word"
 
@@ -121,3 +122,18 @@ def test_small_helpers(spark):
     assert values(spark, ["/r/x/a.go", "/other"], lambda s: P.relative_to(s, "/r/x")) == ["a.go", "/other"]
     labels = values(spark, ["pr_url", "odd"], P.input_type_label)
     assert labels == ["pull request", "odd"]
+
+
+def test_sql_functions(spark):
+    register_functions(spark)
+    df = spark.createDataFrame([(s,) for s in SAMPLES], "s string")
+    df.createOrReplaceTempView("samples")
+    out = spark.sql("SELECT s, mask_sensitive(s) AS m FROM samples").withColumn(
+        "same", F.col("m") == M.mask_sensitive(F.col("s"))
+    )
+    assert out.filter("NOT same").count() == 0
+    paths = ["a/b.go", ".env.x", "Makefile", "x.rs", "p/q.YML"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    df.createOrReplaceTempView("paths")
+    out = spark.sql("SELECT p, detect_language(p) AS l FROM paths").withColumn("x", P.language(F.col("p")))
+    assert out.filter("l <> x").count() == 0 and out.count() == 5
