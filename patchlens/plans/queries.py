@@ -751,12 +751,11 @@ def negative_rate(spark, sf_dir):
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return ST.table_stream(spark, sf_dir, "events.parquet", schema)
+    return ST.table_stream(ST.stream_session(spark), sf_dir, "events.parquet", schema)
 
 
-def _rows_of(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def _rows_of(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a stream into files and read them back."""
-    spark = stream.sparkSession
     out = shared_folder(spark, name)
     ST.run_to_files(stream, out, mode)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -768,7 +767,7 @@ def stream_trend(spark, sf_dir):
         F.col("ts").cast("timestamp").alias("started_at"),
         F.least(F.lit(100.0), F.col("value")).alias("risk_score"),
     )
-    rows = _rows_of(ST.trend_stream(events, "0 seconds"), "trend")
+    rows = _rows_of(spark, ST.trend_stream(events, "0 seconds"), "trend")
     return rows.withColumn("avg_risk", F.round("avg_risk", 6))
 
 
@@ -779,7 +778,7 @@ def stream_distinct(spark, sf_dir):
         F.lit(1).alias("line"), F.col("event_type").alias("category"),
         F.lit("R-1").alias("rule_id"), F.col("ts").cast("timestamp").alias("found_at"),
     )
-    rows = _rows_of(ST.distinct_findings(found, "60 days"), "distinct")
+    rows = _rows_of(spark, ST.distinct_findings(found, "60 days"), "distinct")
     return rows.select("task_id", "file", "category")
 
 
@@ -791,7 +790,7 @@ def stream_audit(spark, sf_dir):
         e, F.get(literal_array(C.COMMANDS), (e % len(C.COMMANDS)).cast("int")).alias("arguments"),
         F.col("ts").cast("timestamp").alias("decided_at"),
     )
-    rows = _rows_of(ST.audit_stream(commands), "audit")
+    rows = _rows_of(spark, ST.audit_stream(commands), "audit")
     return rows.groupBy("decision", "rule_id").agg(F.count("*").alias("n"))
 
 
@@ -802,7 +801,7 @@ def stream_line_findings(spark, sf_dir):
     patches = C.document_patches(spark, sf_dir)
     patches.write.parquet(folder)
     stream = ST.table_stream(spark, folder, "*.parquet", patches.schema)
-    return brief(_rows_of(ST.line_findings(stream), "line-findings"))
+    return brief(_rows_of(spark, ST.line_findings(stream), "line-findings"))
 
 
 def _running(spark, sf_dir, events):
@@ -831,6 +830,5 @@ def watchdog(spark, sf_dir):
 
 @query
 def stream_watchdog(spark, sf_dir):
-    ST.use_state_store(spark)
     late = ST.watchdog_stream(_running(spark, sf_dir, _event_stream(spark, sf_dir)), "1 day")
-    return _rows_of(late, "watchdog").select("task_id", "status", "at")
+    return _rows_of(spark, late, "watchdog").select("task_id", "status", "at")

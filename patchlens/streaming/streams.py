@@ -26,6 +26,20 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for a stateful stream.
+
+    The number of state partitions is fixed when a stream first starts: one per core of the
+    cluster. Settings of the caller's session stay as they are.
+    """
+    session = spark.newSession()
+    use_state_store(session)
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    for name in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+        session.conf.set(name, spark.conf.get(name))
+    return session
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
     """A growing folder of Parquet files as a stream; ``name`` picks its files."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
