@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    A local temporary folder is used only where that setting is missing, as in tests.
+    A temporary folder of this machine is used only by a session that has no other machine
+    and lacks that setting, as in tests; a cluster without it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         base = tempfile.mkdtemp(prefix="patchlens-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
