@@ -2,4 +2,29 @@
 
 from __future__ import annotations
 
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SHINGLES = f"""
+    SELECT DISTINCT {{key}}, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT {{key}}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+          FROM (SELECT {{key}}, regexp_extract_all({LOWER.format("text")}, '{WORD}') AS w
+                FROM {{source}} WHERE text IS NOT NULL) WHERE len(w) > 0)"""
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op8_near_duplicates"] = f"""
+WITH RECURSIVE s AS ({SHINGLES.format(key="doc_id", source="documents")}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+        FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL)
+    JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id,
+       d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import feistel_shards, packing, token_codes
+from patchlens.llm import feistel_shards, near_dedup, packing, token_codes
 from patchlens.llm.common import shared_folder, table
 from patchlens.llm.piece_cache import tokenizer_path
 
@@ -46,3 +46,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, places = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return places.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are three quarters alike."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
