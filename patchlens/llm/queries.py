@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import feistel_shards, near_dedup, packing, token_codes
+from patchlens.llm import decontaminate, feistel_shards, near_dedup, packing, quality_rules, token_codes
 from patchlens.llm.common import shared_folder, table
 from patchlens.llm.piece_cache import tokenizer_path
 
@@ -53,3 +53,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingles are three quarters alike."""
     return near_dedup.near_duplicates(documents(spark, sf_dir)).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then thresholds from quantile sketches of each language and source."""
+    return quality_rules.judged(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+@query
+def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain: all items against all documents."""
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
