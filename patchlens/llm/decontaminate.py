@@ -11,6 +11,9 @@ probability ``(1 - (1 - e^-load) / load)^n``; the load is the largest power of t
 that stays below ``MISS`` for the smallest item, or none, where every hash is kept. A kept hash
 that belongs to an item makes a candidate; candidates are verified on the shingles themselves.
 
+Arrays are exploded with ``explode_outer``: for ``explode`` Spark adds a filter on the array, which
+it moves below and there builds the array's expressions into one another.
+
 Defined results: null or blank texts and items have no shingles and are never found; a null doc_id
 is a document like others; of rows with the same doc_id the best counts; repeated items are found
 each under its id; no items or no documents give no rows; other columns aren't read by ``found``
@@ -91,7 +94,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def item_shingles(items: DataFrame) -> DataFrame:
     """Written (item_id, shingle, hash, n_shingles) of each distinct item and shingle."""
     rows = _texts(items, "item_id").select(
-        "item_id", F.explode(F.arrays_zip(_shingles().alias("shingle"), _hashes().alias("hash")))
+        "item_id", F.explode_outer(F.arrays_zip(_shingles().alias("shingle"), _hashes().alias("hash")))
         .alias("s")).select("item_id", "s.shingle", "s.hash").distinct()
     sizes = rows.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     return written(rows.join(sizes, "item_id"), "items")
@@ -111,7 +114,7 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
         kept = hashed.select("doc_id", "text_key", F.sort_array("hashes").alias("sorted"),
                              shift.alias("shift")).select(
             "doc_id", "text_key", minima.alias("minima"))
-    met = kept.select("doc_id", "text_key", F.explode("minima").alias("hash")).join(
+    met = kept.select("doc_id", "text_key", F.explode_outer("minima").alias("hash")).join(
         _small(index.select("hash", "item_id").distinct(), n_rows), "hash")
     candidates = written(met.select("doc_id", "text_key", "item_id").distinct(), "candidates")
     texts = candidates.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
@@ -119,7 +122,7 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
         _small(texts, texts.count()),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi")
     inside = _texts(asked, "doc_id", "text_key").select(
-        "doc_id", "text_key", F.explode(F.array_distinct(_shingles())).alias("shingle"))
+        "doc_id", "text_key", F.explode_outer(F.array_distinct(_shingles())).alias("shingle"))
     counted = inside.join(
         _small(index.select("shingle", "item_id", "n_shingles"), n_rows), "shingle").groupBy(
         "doc_id", "text_key", "item_id").agg(

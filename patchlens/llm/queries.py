@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm import decontaminate, feistel_shards, near_dedup, packing, quality_rules, token_codes
+from patchlens.llm import (
+    decontaminate,
+    feistel_shards,
+    near_dedup,
+    packing,
+    quality_rules,
+    token_codes,
+    toxicity_fm,
+)
 from patchlens.llm.common import shared_folder, table
 from patchlens.llm.piece_cache import tokenizer_path
 
@@ -67,3 +75,14 @@ def op2_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents contain: all items against all documents."""
     return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factorization machine fitted on four fifths of the labels scores all documents."""
+    docs = documents(spark, sf_dir)
+    machine = toxicity_fm.trained(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return toxicity_fm.scored(rows, machine, "doc_id").select(
+        "doc_id", toxicity_fm.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
