@@ -112,3 +112,21 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
        NOT base_failed AND id NOT IN (SELECT id FROM outside) AS kept
 FROM r
 """
+
+ORACLE["op7_chat_template"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok'
+              FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+           AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(14 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'),
+                                       '</turn>', '\</turn>'), ':', '\:'))
+           + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'))
+       )::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm import (
+    chat_format,
     decontaminate,
     feistel_shards,
     near_dedup,
@@ -86,3 +87,15 @@ def op9_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fm.scored(rows, machine, "doc_id").select(
         "doc_id", toxicity_fm.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, by the template and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)],
+        "conv_id long, turn long, role string, text string")
+    records = chat_format.message_records(rows.unionByName(added))
+    return chat_format.digests(chat_format.format_records(records, "conv_id"), "conv_id")
