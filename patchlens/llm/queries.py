@@ -11,6 +11,7 @@ from patchlens.llm import (
     feistel_shards,
     near_dedup,
     packing,
+    page_text,
     quality_rules,
     token_codes,
     toxicity_fm,
@@ -99,3 +100,11 @@ def op7_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string")
     records = chat_format.message_records(rows.unionByName(added))
     return chat_format.digests(chat_format.format_records(records, "conv_id"), "conv_id")
+
+
+@query
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by content marginals of their elements."""
+    pages = table(spark, sf_dir, "pages")
+    return page_text.extracted(pages, page_text.trained(pages)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
