@@ -12,6 +12,7 @@ from patchlens.llm import (
     near_dedup,
     packing,
     page_text,
+    pii_spans,
     quality_rules,
     token_codes,
     toxicity_fm,
@@ -108,3 +109,17 @@ def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return page_text.extracted(pages, page_text.trained(pages)).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of fixed patterns and of a character model in all documents; counts are the base's."""
+    docs = documents(spark, sf_dir)
+    found = pii_spans.spotted(docs, pii_spans.trained(docs))
+    named = lambda c: F.array_join(F.transform(
+        c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in pii_spans.KINDS),
+        F.sha2(named("base").cast("binary"), 256).alias("base_sha256"),
+        named("spans").alias("spans"))

@@ -4,8 +4,8 @@ Words of a text are hashed to slots; a text's score is a logistic of a bias, a w
 slot and, for each pair of slots, the product of their factor vectors. Pairs such as an insult
 with the mention of a group get a weight of their own although each may be harmless.
 
-Document frequencies of slots, by label, are counted over all labelled rows by Spark; the
-``SLOTS`` slots that tell labels apart best (chi square) are the model's inputs. Weights are
+Document frequencies of slots, by label, are counted over all labelled rows by Spark; at
+most ``SLOTS`` slots, those that tell labels apart best (chi square), are the model's inputs. Weights are
 fitted on at most ``ROWS`` labelled rows, in the order of a hash of doc_id.
 
 Defined results: a null or empty text has no terms and scores the bias alone; labels other than
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import slices
+from patchlens.llm.common import slices, written
 
 BITS = 20
 SLOTS = 1024
+#: A slot's least document frequency and chi square: weaker ones are chance among so many.
+LEAST_DOCS, LEAST_CHI = 5, 30
 ROWS = 6000
 FACTORS = 4
 EPOCHS = 30
@@ -145,30 +147,31 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
         known, "doc_id").select(F.xxhash64("doc_id").alias("place"), "label", "text")
-    counted = _slot_counts(texts).persist()
-    try:
-        totals = {r["label"]: r["n"] for r in
-                  counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        pos, neg = totals.get(1, 0), totals.get(0, 0)
-        # chi square of the two-by-two table of slot and label, in whole counts
-        seen = counted.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(
-            F.sum("label").alias("a"), F.count("*").alias("n")).filter("n >= 3")
-        a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
-        c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
-        chi = (a * d - b * c) ** 2 / ((a + c) * (b + d) * (a + b) * (c + d) + 1e-9)
-        best = seen.select("slot", chi.alias("chi")).orderBy(F.desc("chi"), "slot").limit(n_slots)
-        kept = np.array(sorted(r["slot"] for r in best.collect()), dtype=np.int64)
-        place = {int(s): i for i, s in enumerate(kept)}
-        wanted = F.array(*(F.lit(int(s)) for s in kept)) if len(kept) else F.array().cast(
-            "array<long>")
-        pairs = F.arrays_zip("slots", "counts")
-        sample = counted.orderBy("place", "label").limit(rows).select(
-            "label", F.filter(pairs, lambda p: F.array_contains(wanted, p["slots"])).alias("p"))
-        own = sample.collect()
-    finally:
-        counted.unpersist()
-    counts = [(np.array([place[q["slots"]] for q in r["p"]], dtype=np.int64),
-               np.array([q["counts"] for q in r["p"]], dtype=np.int64)) for r in own]
+    counted = written(_slot_counts(texts), "terms")
+    totals = {r["label"]: r["n"] for r in
+              counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    pos, neg = totals.get(1, 0), totals.get(0, 0)
+    # chi square of the two-by-two table of slot and label, in whole counts
+    seen = counted.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(
+        F.sum("label").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
+    c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
+    chi = float(pos + neg) * (a * d - b * c) ** 2 / ((a + c) * (b + d) * (a + b) * (c + d) + 1e-9)
+    best = seen.select("slot", chi.alias("chi")).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "slot").limit(n_slots)
+    kept = np.array(sorted(r["slot"] for r in best.collect()), dtype=np.int64)
+    place = {int(s): i for i, s in enumerate(kept)}
+    # only the chosen slots of the bounded sample come to the driver
+    sample = counted.orderBy("place", "label").limit(rows).withColumn(
+        "row", F.monotonically_increasing_id())
+    sample = written(sample, "sample")
+    wanted = docs.sparkSession.createDataFrame([(int(s),) for s in kept], "slot long")
+    terms = sample.select("row", F.explode(F.arrays_zip("slots", "counts")).alias("p")).select(
+        "row", F.col("p.slots").alias("slot"), F.col("p.counts").alias("n")).join(
+        F.broadcast(wanted), "slot")  # n_slots rows
+    own = sample.select("row", "label").join(terms.groupBy("row").agg(
+        F.collect_list(F.struct("slot", "n")).alias("p")), "row", "left").orderBy("row").collect()
+    counts = [(np.array([place[q["slot"]] for q in r["p"] or ()], dtype=np.int64),
+               np.array([q["n"] for q in r["p"] or ()], dtype=np.int64)) for r in own]
     y = np.array([r["label"] for r in own], dtype=np.float64)
     return fitted(inputs(counts, len(kept)), y, kept)
 
