@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from patchlens.plans.workspace import shared_folder, written
 
-__all__ = ["byte_words", "crc_of_ids", "dropped", "fresh_name", "numbered", "part_offsets",
+__all__ = ["bounded_sample", "byte_words", "crc_of_ids", "dropped", "fresh_name", "numbered", "part_offsets",
            "shared_folder", "slices", "table", "written"]
 
 #: Texts of about this many characters are worked on together inside a task.
@@ -109,6 +109,18 @@ def numbered(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
     )
 
 
+def bounded_sample(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Texts of at most ``n`` different rows, the first by hashes of key and text.
+
+    Only hashes are ordered; the chosen ones (``n`` short rows) are sent to where texts are read.
+    """
+    hashes = {"h": F.xxhash64(key), "t": F.xxhash64(text)}
+    chosen = df.select(*(c.alias(k) for k, c in hashes.items())).orderBy("h", "t").limit(n)
+    rows = df.select(text, *(c.alias(k) for k, c in hashes.items()))
+    return rows.join(F.broadcast(chosen.distinct()), ["h", "t"], "left_semi").dropDuplicates(
+        ["h", "t"]).orderBy("h", "t").select(text)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete tables written by this subpackage that no result reads any more."""
     for path in paths:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import slices
+from patchlens.llm.common import bounded_sample, slices
 
 ROWS = 150
 WIDTH = 1024
@@ -120,6 +120,13 @@ def parsed(source: str | None) -> Page:
                              if page.tags[i] == other or page.tags[i] in HOLDS[tag])
                 if inner == other:
                     close_to(other)
+        if tag in RAW:  # nothing in it is text of the page
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            if end is None:
+                break
+            at = source.find(">", end.end())
+            at = len(source) if at < 0 else at + 1
+            continue
         names = label = ""
         if token[3]:
             found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in
@@ -131,13 +138,6 @@ def parsed(source: str | None) -> Page:
         own = opened(tag, names.strip(), label)
         if tag in VOID or token[3].endswith("/"):
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-            if end is None:
-                break
-            at = source.find(">", end.end())
-            at = len(source) if at < 0 else at + 1
-            continue
         push(own)
     return page
 
@@ -325,16 +325,17 @@ LABELLED = [
     f'<div class="related"><h3>Related</h3>{_LINKS}</div><div class="comments"><p>{_FILL}</p></div></body></html>',
     f'<html><body><nav>{_LINKS}</nav><article data-label="1"><h1>Short</h1><p>One line.</p></article>'
     f'<footer><p>{_FILL}</p></footer></body></html>',
-    f'<html><body><header><h1>The Paper</h1><p>{_FILL}</p></header><nav>{_LINKS}</nav>'
+    '<html><body><article data-label="1"><p>Note</p><p>a, <i>b</i><br>c</p></article></body></html>',
+    f'<html><body data-label="0"><header><h1>The Paper</h1><p>{_FILL}</p></header><nav>{_LINKS}</nav>'
     f'<aside class="promo banner"><p>{_FILL}</p></aside><form class="search"><p>Find</p></form></body></html>',
 ]
 
 
 def trained(pages: DataFrame, rows: int = ROWS) -> TreeModel:
     """A model from the layouts above and at most ``rows`` pages, by a hash of page_id."""
-    sample = pages.select("page_id", F.col("html").cast("string").alias("html")).filter(
-        F.length("html") < 50_000).orderBy(
-        F.xxhash64("page_id"), F.xxhash64("html")).limit(rows)
+    short = pages.select("page_id", F.col("html").cast("string").alias("html")).filter(
+        F.length("html") < 50_000)
+    sample = bounded_sample(short, "page_id", "html", rows)
     own = [parsed(r["html"]) for r in sample.collect()]
     known = [parsed(h) for h in LABELLED] * 3 + own
     return fitted([(p, y) for p in known if (y := labelled(p)) is not None])

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import slices
+from patchlens.llm.common import bounded_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labelled rows of the table that the model is fitted on, at most.
 ROWS = 300
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBEDDING = 12, 8
-STEPS = 350
+STEPS = 400
 Span = tuple[int, int, str]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -239,8 +239,8 @@ def fitted(texts: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int =
     with_spans, without = [], []
     for text, spans in texts:
         for a, b in runs(text):
-            for start in range(a, max(b - WINDOW, a) + 1, STRIDE):
-                own = text[start: start + WINDOW]
+            for start in window_starts(a, b):
+                own = text[start: min(start + WINDOW, b)]
                 y = labels_of(len(own), spans, start)
                 (with_spans if y.any() else without).append((own, y))
     tagger = Tagger.fresh(seed)
@@ -264,7 +264,7 @@ def fitted(texts: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int =
             v = v * min(1, 5 / (norm + 1e-9))
             m[k] = 0.9 * m[k] + 0.1 * v
             s[k] = 0.999 * s[k] + 0.001 * v * v
-            tagger.p[k] = tagger.p[k] - 0.01 * (m[k] / (1 - 0.9 ** step)) / (
+            tagger.p[k] = tagger.p[k] - 0.015 * (1.05 - step / steps) * (m[k] / (1 - 0.9 ** step)) / (
                 np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)
     return tagger
 
@@ -284,14 +284,18 @@ def runs(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def window_starts(a: int, b: int) -> range:
+    """Overlapping windows that cover the whole stretch."""
+    return range(a, max(b - STRIDE, a + 1), STRIDE)
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Spans of the model alone, for whole texts; windows of many texts are scored together."""
     places, jobs = [], []
     for t, text in enumerate(texts):
         for a, b in runs(text):
             places.append((t, a, b))
-            starts = range(a, max(b - STRIDE, a + 1), STRIDE)
-            jobs += [(len(places) - 1, s, text[s: min(s + WINDOW, b)]) for s in starts]
+            jobs += [(len(places) - 1, s, text[s: min(s + WINDOW, b)]) for s in window_starts(a, b)]
     sums = [np.zeros((b - a, N_LABELS)) for _, a, b in places]
     weights = [np.zeros((b - a, 1)) for _, a, b in places]
     for at in range(0, len(jobs), 2048):
@@ -366,9 +370,9 @@ def trained(docs: DataFrame, rows: int = ROWS) -> Tagger:
     read are brought together.
     """
     triggers = F.col("text").rlike("[0-9@]")
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(
-        triggers & (F.length("text") < 20_000)).orderBy(
-        F.xxhash64("doc_id"), F.xxhash64("text")).limit(rows).select("text").collect()
+    short = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(
+        triggers & (F.length("text") < 20_000))
+    sample = bounded_sample(short, "doc_id", "text", rows).collect()
     return fitted(written_spans() + [(r["text"], base_spans(r["text"])) for r in sample])
 
 
