@@ -112,7 +112,7 @@ ASSIGNED = f"""assigned AS (
         WHERE p IS NOT NULL))"""
 q("assigned_values", """
 SELECT task_id, path AS file, line, name, value FROM assigned""", S.RAW, f"""lines_in AS (
-  SELECT * FROM raw_lines WHERE contains(content, '=') AND contains(content, '"')),
+  SELECT * FROM raw_lines WHERE contains(content, '=')),
 {ASSIGNED}""")
 
 WORDS = "|".join(SENSITIVE_WORDS)
@@ -579,14 +579,15 @@ SELECT rule_id, count(*) AS n, round(sum(c), 3) AS confidence, count(*) FILTER (
   SELECT 'R-' || (p_partkey % 17) AS rule_id,
          'dir' || (p_partkey % 29) || '/f' || p_partkey || '.go' AS file, p_partkey % 5 AS line FROM part)""")
 q("run_comparison", """
-SELECT task_id, status, count(*) AS n, sum(line)::BIGINT AS lines FROM (
-  SELECT c.task_id, c.line, CASE WHEN (c.task_id, c.rule_id, c.file, trim(c.evidence)) IN
-           (SELECT (task_id, rule_id, file, trim(evidence)) FROM ofind WHERE year = 1997)
-         THEN 'recurred' ELSE 'new' END AS status FROM ofind c WHERE year = 1998
+SELECT task_id, year, status, count(*) AS n, sum(line)::BIGINT AS lines FROM (
+  SELECT c.task_id, c.year, c.line,
+         CASE WHEN (c.task_id, c.year - 1, c.rule_id, c.file, trim(c.evidence)) IN
+           (SELECT (task_id, year, rule_id, file, trim(evidence)) FROM ofind)
+         THEN 'recurred' ELSE 'new' END AS status FROM ofind c
   UNION ALL
-  SELECT p.task_id, p.line, 'gone' FROM ofind p WHERE year = 1997
-    AND (p.task_id, p.rule_id, p.file, trim(p.evidence)) NOT IN
-        (SELECT (task_id, rule_id, file, trim(evidence)) FROM ofind WHERE year = 1998))
+  SELECT p.task_id, p.year + 1, p.line, 'gone' FROM ofind p
+  WHERE (p.task_id, p.year + 1, p.rule_id, p.file, trim(p.evidence)) NOT IN
+        (SELECT (task_id, year, rule_id, file, trim(evidence)) FROM ofind))
 GROUP BY ALL""", OFIND)
 
 TASKS = """tasks AS (
@@ -856,17 +857,16 @@ q("leak_check", """
 SELECT task_id AS case_id, 'RAW' AS rule_id, count(*) AS leaks FROM raw_lines
 WHERE regexp_matches(content, 'hunter-Winter-[0-4]042') GROUP BY ALL""", S.RAW)
 q("negative_rate", """
-SELECT count(*) AS negatives, count(*) FILTER (coalesce(fp, 0) > 0) AS flagged,
-       count(*) FILTER (coalesce(fp, 0) > 0) / count(*) AS negative_rate
+SELECT count(*) AS negatives, count(*) FILTER (coalesce(tp, 0) + coalesce(fp, 0) > 0) AS flagged,
+       count(*) FILTER (coalesce(tp, 0) + coalesce(fp, 0) > 0) / count(*) AS negative_rate
 FROM (SELECT DISTINCT task_id AS case_id FROM docs) LEFT JOIN tally USING (case_id)
 WHERE regexp_extract(case_id, '(\\d+)', 1)::INT % 2 = 1""", S.RAW, TALLY)
 
 # Streams ----------------------------------------------------------------------------
 
-# A day is written once the watermark, the latest time seen, has passed its end.
 q("stream_trend", """
 SELECT started_at::DATE AS day, count(*) AS tasks, round(avg(risk_score), 6) AS avg_risk FROM tasks
-WHERE started_at::DATE + 1 <= (SELECT max(started_at) FROM tasks) GROUP BY ALL""", TASKS)
+GROUP BY ALL""", TASKS)
 ORACLE["stream_distinct"] = """
 SELECT DISTINCT user_id::VARCHAR AS task_id, props AS file, event_type AS category FROM events"""
 q("stream_audit", """
@@ -875,10 +875,7 @@ _LATE = """
 SELECT event_id::VARCHAR AS task_id, 'failed' AS status, ts + INTERVAL 10 MINUTE AS at FROM events
 WHERE (event_type = 'error' OR event_id % 21 > 10)"""
 ORACLE["watchdog"] = _LATE
-# Timers fire up to the watermark: the latest time seen minus the allowed lateness of a day.
-ORACLE["stream_watchdog"] = _LATE + """
-  AND ts + INTERVAL 10 MINUTE <= (SELECT max(greatest(ts, CASE WHEN event_type <> 'error'
-      THEN ts + (event_id % 21) * INTERVAL 1 MINUTE ELSE ts END)) FROM events) - INTERVAL 1 DAY"""
+ORACLE["stream_watchdog"] = _LATE
 
 # The line rules over patches: only added lines count, numbered on the new side.
 _PATCH_LINES = """patch_added AS (

@@ -194,13 +194,26 @@ def _normal_text(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _has_bad_hunk(text: Column) -> Column:
+    headers = F.filter(F.split(_normal_text(text), "\n"), lambda x: x.startswith("@@ "))
+    return F.exists(headers, lambda x: ~x.rlike(HUNK_HEADER))
+
+
 def patch_problem(text: Column) -> Column:
     """Why a patch cannot be reviewed, null when it can."""
-    headers = F.filter(F.split(_normal_text(text), "\n"), lambda x: x.startswith("@@ "))
+    # header, hunk, added line, in this order: one pass over the lines
+    found = F.aggregate(
+        F.split(_normal_text(text), "\n"),
+        F.lit(0),
+        lambda seen, x: F.when((seen == 0) & x.startswith("--- "), 1)
+        .when((seen == 1) & x.startswith("@@ "), 2)
+        .when((seen == 2) & x.startswith("+") & ~x.startswith("+++ "), 3)
+        .otherwise(seen),
+    )
     return (
         F.when(F.coalesce(is_blank(text), F.lit(True)), "empty")
-        .when(F.exists(headers, lambda x: ~x.rlike(HUNK_HEADER)), "bad_hunk_header")
-        .when(~text.rlike(r"(?s)(?:\A|\n)--- .*?\n@@ .*?\n\+(?!\+\+ )"), "no_added_lines")
+        .when(_has_bad_hunk(text), "bad_hunk_header")
+        .when(found < 3, "no_added_lines")
     )
 
 
@@ -220,13 +233,15 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
     the count of earlier lines per side: counts of whole blocks of about sqrt(n) lines
     are summed in the hunk row, the rest comes from the block's string of line kinds.
 
+    A patch with a malformed hunk header gives no rows; ``split_patches`` tells why.
+
     By default a file begins at a ``---`` / ``+++`` / ``@@`` triple, and remarks (``\\ No
     newline``) and the lines between files are left out. ``strict`` takes every ``--- ``
     as a file and keeps those lines as context.
     """
     file_start = r"\n(?=--- )" if strict else r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*(?:\n@@ |\z))"
     files = (
-        patches.filter(F.col("diff_text").contains("--- "))
+        patches.filter(F.col("diff_text").contains("--- ") & ~_has_bad_hunk(F.col("diff_text")))
         .select(
             "task_id", F.posexplode_outer(F.split(_normal_text(F.col("diff_text")), file_start))
         )

@@ -15,7 +15,7 @@ from ..operators.commands import audit_entries, decide_commands
 from ..operators.findings import KEY, findings_of
 from ..operators.line_rules import line_hits
 from ..plans.review import review
-from ..sources.lines import lines_of_patches
+from ..sources.lines import lines_of_patches, split_patches
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DEADLINE = timedelta(minutes=10)
@@ -40,9 +40,13 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A growing folder of Parquet files as a stream; ``name`` picks its files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored table as a stream: one Parquet file, or a growing folder of part files.
+
+    The path is read as a pattern that matches itself, since a stream takes a single file only so.
+    """
+    head, _, last = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(schema).parquet(f"{head}/[{last[0]}]{last[1:]}")
 
 
 def run_to_files(stream: DataFrame, out: str, mode: str = "append") -> StreamingQuery:
@@ -59,6 +63,23 @@ def run_to_files(stream: DataFrame, out: str, mode: str = "append") -> Streaming
     return query
 
 
+def run_to_table(stream: DataFrame, out: str) -> StreamingQuery:
+    """Keep a small aggregate below ``out`` up to date: each batch replaces the whole table."""
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows")
+
+    return run_batches(stream, out, replace, "complete")
+
+
+def closing_row(events: DataFrame, at: str, after: str = "INTERVAL 3650 DAYS") -> DataFrame:
+    """One row without content, long after all others: it moves the watermark past them."""
+    last = events.agg((F.max(at) + F.expr(after)).alias(at))
+    return last.select(*(
+        F.col(at) if c == at else F.lit("" if kind == "string" else None).cast(kind).alias(c)
+        for c, kind in events.dtypes))
+
+
 def run_batches(
     stream: DataFrame, out: str, work: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> StreamingQuery:
@@ -88,10 +109,13 @@ def review_stream(patches: DataFrame, out: str) -> StreamingQuery:
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        found = review(lines_of_patches(batch))
-        found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
-        batch.unpersist()
+        good, _ = split_patches(batch)
+        lines = lines_of_patches(good).persist()
+        try:
+            found = review(lines)
+            found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
+        finally:
+            lines.unpersist()
 
     return run_batches(patches, out, work)
 
@@ -99,11 +123,16 @@ def review_stream(patches: DataFrame, out: str) -> StreamingQuery:
 # Tasks ------------------------------------------------------------------------------
 
 
-def trend_stream(tasks: DataFrame, late: str = "1 day") -> DataFrame:
-    """Tasks and mean risk per day; a day is final once the watermark has passed it."""
+def trend_stream(tasks: DataFrame, late: str | None = None) -> DataFrame:
+    """Tasks and mean risk per day.
+
+    Without ``late`` the state is one row a day and no row is ever too late: run it in complete
+    or update mode. With ``late`` a day is final, and its state goes, once the watermark has
+    passed it: run it in append mode.
+    """
     day = F.window("started_at", "1 day")
     return (
-        tasks.withWatermark("started_at", late)
+        (tasks.withWatermark("started_at", late) if late else tasks)
         .groupBy(day.alias("w"))
         .agg(F.count("*").alias("tasks"), F.avg("risk_score").alias("avg_risk"))
         .select(F.to_date("w.start").alias("day"), "tasks", "avg_risk")
@@ -131,17 +160,20 @@ def audit_stream(commands: DataFrame, at: str = "decided_at") -> DataFrame:
 
 WATCHDOG_OUTPUT = "task_id STRING, status STRING, at_us BIGINT"
 WATCHDOG_STATE = "deadline_us BIGINT"
+ENDED_STATE = "at_us BIGINT"
 
 
 class Watchdog(StatefulProcessor):
     """Reports a task as failed when no end arrives within the deadline after its start.
 
-    One timer and one number per running task; both go away when the task ends.
+    One timer and one number per running task; both go away when the task ends. An end that
+    arrives before its start is remembered until the start could no longer be in time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.deadline = handle.getValueState("deadline", WATCHDOG_STATE)
+        self.ended = handle.getValueState("ended", ENDED_STATE)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
@@ -157,15 +189,28 @@ class Watchdog(StatefulProcessor):
             limit = min(started) + DEADLINE // timedelta(microseconds=1)
             self.deadline.update((limit,))
             self.handle.registerTimer(limit // 1000)
-        if ended and self.deadline.exists():
+        if ended and self.ended.exists():
+            ended.append(self.ended.get()[0])
+        known = self.ended.get()[0] if not ended and self.ended.exists() else None
+        end = min(ended) if ended else known
+        if end is not None and self.deadline.exists():
             limit = self.deadline.get()[0]
-            if min(ended) <= limit:
+            if end <= limit:
                 self.deadline.clear()
                 self.handle.deleteTimer(limit // 1000)
+                if self.ended.exists():
+                    self.ended.clear()
+        elif ended:
+            # the start may still come; a start so late that it matters is gone by then
+            self.ended.update((end,))
+            self.handle.registerTimer((end + DEADLINE // timedelta(microseconds=1)) // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.deadline.exists():
+        expired = expiredTimerInfo.getExpiryTimeInMs()
+        if self.ended.exists():
+            self.ended.clear()
+        if self.deadline.exists() and self.deadline.get()[0] // 1000 <= expired:
             limit = self.deadline.get()[0]
             self.deadline.clear()
             yield pd.DataFrame({"task_id": [key[0]], "status": ["failed"], "at_us": [limit]})

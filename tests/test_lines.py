@@ -151,3 +151,23 @@ def test_selections(patch_lines):
     assert L.deleted(df).count() == 2
     assert L.go_files(df).select("new_path").distinct().count() == 1
     assert L.added_text(df.withColumn("content", F.lit(" "))).count() == 0
+
+
+def test_a_bad_hunk_rejects_the_whole_patch(spark):
+    good = "--- a/x.go\n+++ b/x.go\n@@ -1,1 +1,2 @@\n a\n+b := 1\n"
+    bad = good + "@@ broken @@\n+c := 2\n"
+    df = spark.createDataFrame([("g", good), ("b", bad)], "task_id string, diff_text string")
+    assert {r["task_id"] for r in L.lines_of_patches(df).select("task_id").collect()} == {"g"}
+    _, rejected = L.split_patches(df)
+    assert [tuple(r) for r in rejected.collect()] == [("b", "bad_hunk_header")]
+
+
+def test_large_patches_without_additions_are_judged_in_one_pass(spark):
+    import time
+
+    one = "--- a/f.go\n+++ /dev/null\n" + "".join(f"@@ -{k},2 +0,0 @@\n-a\n-b\n" for k in range(1, 11))
+    df = spark.createDataFrame([("t", one * 5000)], "task_id string, diff_text string")
+    start = time.perf_counter()
+    _, rejected = L.split_patches(df)
+    assert [tuple(r) for r in rejected.collect()] == [("t", "no_added_lines")]
+    assert time.perf_counter() - start < 30

@@ -74,3 +74,54 @@ def test_states_trend_and_audit(spark, tmp_path):
     ST.run_to_files(trend, str(tmp_path / "t"))
     got = spark.read.parquet(str(tmp_path / "t" / "rows")).collect()
     assert [(str(r.day), r.tasks, r.avg_risk) for r in got] == [("2024-01-01", 2, 20.0)]
+
+
+def test_tables_are_read_whatever_their_layout(spark, tmp_path):
+    """A folder of part files and a single file give all rows."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40).withColumn("at", F.timestamp_seconds(F.col("id") * 3600 * 30))
+    folder = str(tmp_path / "events.parquet")
+    rows.repartition(4).write.parquet(folder)
+    single = next((tmp_path / "events.parquet").glob("part-*.parquet"))
+    for path, n in ((folder, 40), (str(single), spark.read.parquet(str(single)).count())):
+        stream = ST.table_stream(spark, path, rows.schema)
+        out = str(tmp_path / f"out{n}")
+        ST.run_to_files(stream, out)
+        assert spark.read.parquet(f"{out}/rows").count() == n
+
+
+def test_trend_counts_rows_of_all_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(
+        F.timestamp_seconds(F.col("id") * 7919 % 400 * 3600).alias("started_at"),
+        F.col("id").cast("double").alias("risk_score"))
+    folder = str(tmp_path / "in")
+    rows.repartition(5).write.parquet(folder)
+    stream = ST.stream_session(spark).readStream.schema(rows.schema).option(
+        "maxFilesPerTrigger", 1).parquet(folder)
+    ST.run_to_table(ST.trend_stream(stream), str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out" / "rows"))
+    assert got.agg(F.sum("tasks")).first()[0] == 400
+
+
+def test_watchdog_keeps_an_end_that_comes_first(spark, tmp_path):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    minute = datetime.timedelta(minutes=1)
+    schema = "task_id string, status string, at timestamp"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[("a", "completed", at + 5 * minute), ("b", "completed", at + 15 * minute)],
+             [("a", "running", at), ("b", "running", at), ("c", "running", at)]]
+    (tmp_path / "in").mkdir()
+    stream = ST.watchdog_stream(
+        ST.stream_session(spark).readStream.schema(schema).parquet(folder), "1 hour")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        ST.run_to_files(stream, out)
+    ST.closing_row(spark.read.schema(schema).parquet(folder), "at").write.mode("append").parquet(folder)
+    ST.run_to_files(stream, out)
+    got = {r["task_id"] for r in spark.read.parquet(f"{out}/rows").collect()}
+    assert got == {"b", "c"}
