@@ -137,3 +137,33 @@ def test_sql_functions(spark):
     df.createOrReplaceTempView("paths")
     out = spark.sql("SELECT p, detect_language(p) AS l FROM paths").withColumn("x", P.language(F.col("p")))
     assert out.filter("l <> x").count() == 0 and out.count() == 5
+
+
+def test_addresses_are_masked_like_the_patterns_and_in_one_pass(spark):
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from patchlens.functions import masking as M
+
+    rng = random.Random(7)
+    bits = ["redis://", "https://", "http://", "MySQL://", "a", "b1", ":", "@", "/", " ", "\n", "é", "xhttp:"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(3000)]
+    want = []
+    for t in texts:
+        for pattern in (M.DATABASE_ADDRESS, M.WEB_ADDRESS):
+            t = re.sub(pattern, lambda m: m[1] + M.MARK + "@", t, flags=re.ASCII)
+        want.append(t)
+    c = F.col("text")
+    for mask in M._ADDRESSES.values():
+        c = M._in_addresses(c, mask)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [r[0] for r in df.select(c.alias("m"), "id").orderBy("id").collect()]
+    assert got == want
+    long = spark.createDataFrame([("redis://" + "a:" * 500_000,), ("https://u:p@" + ":" * 500_000,)], "text string")
+    start = time.perf_counter()
+    rows = [r[0] for r in long.select(M.mask_sensitive(F.col("text"))).collect()]
+    assert time.perf_counter() - start < 20
+    assert rows[1].startswith("https://u:" + M.MARK + "@")
