@@ -113,7 +113,7 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 20) -> Non
     number = fresh_name(docs, "row_number")
     if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns are called like the placement: {sorted(clash)}")
-    rows = numbered(docs, [F.col("doc_id"), F.col("text")], number)
+    rows = numbered(docs, [F.col("doc_id"), F.xxhash64("text")], number)
     out = shuffled(rows, rows.count(), shards, seed, number)
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard").parquet(path)

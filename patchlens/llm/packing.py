@@ -227,8 +227,8 @@ def sequences(own: DataFrame, places: DataFrame) -> DataFrame:
                          (places.doc_id.eqNullSafe(keyed.doc_id))
                          & (places.piece == keyed.piece) & (places.length == keyed.length)
                          & (places.ids_crc32 == keyed.ids_crc32))
-    parts = F.array_sort(F.collect_list(F.struct(places.offset, "ids")))
+    parts = F.array_sort(F.collect_list(F.struct(places["offset"], "ids")))
     return joined.groupBy("sequence_id").agg(
-        F.sum(places.length).alias("length"), parts.alias("parts")).select(
+        F.sum(places["length"]).alias("length"), parts.alias("parts")).select(
         "sequence_id", "length", F.concat_ws("", F.transform("parts", lambda p: F.hex(p["ids"])))
         .alias("hex")).select("sequence_id", "length", F.unhex("hex").alias("ids"))

@@ -9,7 +9,7 @@ A table of tokens is a folder of segments, written by Spark to any store it know
 one segment: its place in the order, the documents it holds and its codes as one binary value.
 
 Defined results: a null text is an empty one, which has the end id alone; equal doc_ids are
-ordered by their texts; repeated rows stay apart; no documents give no segments; columns other
+ordered by a hash of their texts; repeated rows stay apart; no documents give no segments; columns other
 than the two named ones aren't read.
 """
 
@@ -57,7 +57,7 @@ def encoded(ids: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
         blocks = -(-len(chunk) // RANK_BLOCK)
         padded = np.zeros(blocks * RANK_BLOCK, dtype=bool)
         padded[: len(chunk)] = goes_on
-        ranks = np.concatenate([[0], np.cumsum(padded.reshape(blocks, -1).sum(1))])
+        ranks = np.concatenate([[0], np.cumsum(padded.reshape(blocks, RANK_BLOCK).sum(1))])
         out += [np.packbits(padded, bitorder="little").tobytes(), ranks.astype("<u4").tobytes()]
         rest = rest[goes_on]
     return b"".join(out)
@@ -114,7 +114,7 @@ class Codes:
             own = np.unpackbits(
                 bits.reshape(-1, RANK_BLOCK // 8)[block], axis=1, bitorder="little")
             before = np.arange(RANK_BLOCK) < (places % RANK_BLOCK)[:, None]
-            places = ranks[block].astype(np.int64) + (own & before).sum(1)
+            places = ranks[block].astype(np.int64) + (own & before).sum(1, dtype=np.int64)
         return value.astype(np.uint32)
 
 
@@ -157,8 +157,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
     names = [c.split()[0] for c in SEGMENTS.split(", ")]
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        # range bounds come from a sample of keys on the driver: short ones, no texts
+        .repartitionByRange("doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(coded, SEGMENTS)
         .write.parquet(path)
     )
@@ -218,11 +219,11 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame, place: str = "p
         if left.empty or right.empty:
             return pd.DataFrame({"place": [], "token": []})
         codes = Codes(right["codes"].iloc[0])
-        at = left["place"].to_numpy() - right["first_token"].iloc[0]
+        at = left["place"].to_numpy() - right["begins"].iloc[0]
         return pd.DataFrame({"place": left["place"], "token": codes.at(at).astype("int64")})
 
     return (
         found.groupBy("first_token")
-        .cogroup(segments.select("first_token", "codes").groupBy("first_token"))
+        .cogroup(segments.select(F.col("first_token").alias("begins"), "codes").groupBy("begins"))
         .applyInPandas(read, "place long, token long")
     )
