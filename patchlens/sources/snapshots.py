@@ -10,16 +10,22 @@ from ..functions import paths as P
 SNIFF_BYTES = 8000
 
 
+def _source_path() -> Column:
+    """The path of the file a row was read from; Spark reports it as an encoded address."""
+    plain = F.regexp_replace(F.input_file_name(), "^file:/*/", "/")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """Patch files, one row each: ``patches(task_id, diff_text)``, named by their path."""
     return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("task_id"), F.col("value").alias("diff_text")
+        _source_path().alias("task_id"), F.col("value").alias("diff_text")
     )
 
 
 def read_files(spark: SparkSession, path: str, task_id: str, root: str | None = None) -> DataFrame:
     """Text files, one row each: ``files(task_id, path, content)``."""
-    name = F.regexp_replace(F.input_file_name(), "^file:/*/", "/")
+    name = _source_path()
     return spark.read.text(path, wholetext=True).select(
         F.lit(task_id).alias("task_id"),
         (P.relative_to(name, root) if root else name).alias("path"),
@@ -32,28 +38,45 @@ def in_skipped_directory(relative: Column) -> Column:
     return relative.rlike(f"(?:^|/)(?:{parts})/")
 
 
-def scan_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root``: ``(path, length, content, reason)``.
-
-    ``reason`` is null for files to review. Path and size decide without reading the
-    content, so a plan that keeps only small files outside skipped directories prunes
-    the rest at the source.
-    """
+def _binary_files(spark: SparkSession, root: str) -> tuple[DataFrame, Column]:
+    """All files below ``root``, and their path inside it."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .load(root)
     )
-    relative = P.relative_to(F.regexp_replace("path", "^file:/*/", "/"), root)
+    return raw, P.relative_to(F.regexp_replace("path", "^file:/*/", "/"), root)
+
+
+def _small_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of files whose size and directory let them be read.
+
+    Both filters are plain conjuncts, so the size reaches the source before any content is read.
+    """
+    raw, relative = _binary_files(spark, root)
+    kept = raw.filter(F.col("length") <= P.MAX_FILE_BYTES).filter(~in_skipped_directory(relative))
+    return kept.select(relative.alias("path"), "content")
+
+
+def scan_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """Every file under ``root``: ``(path, length, reason)``; reason is null for files to review.
+
+    Paths and sizes come from the listing. Contents are read, and reduced to whether they are
+    binary, only where path and size don't decide; a file that can't be read then is missing
+    there and counts as ``unreadable``.
+    """
+    raw, relative = _binary_files(spark, root)
     head = F.substring("content", 1, SNIFF_BYTES)
-    return raw.select(
-        relative.alias("path"),
+    sniffed = _small_files(spark, root).select(
+        "path", F.contains(head, F.lit(bytearray(b"\x00"))).alias("binary"))
+    return raw.select(relative.alias("path"), "length").join(sniffed, "path", "left").select(
+        "path",
         "length",
-        "content",
-        F.when(in_skipped_directory(relative), "skipdir")
+        F.when(in_skipped_directory(F.col("path")), "skipdir")
         .when(F.col("length") > P.MAX_FILE_BYTES, "oversized")
-        .when(F.contains(head, F.lit(bytearray(b"\x00"))), "binary")
+        .when(F.col("binary").isNull(), "unreadable")
+        .when(F.col("binary"), "binary")
         .alias("reason"),
     )
 
@@ -65,7 +88,8 @@ def snapshot_files(
 
     With ``max_files`` a larger snapshot is refused as a whole; nothing is cut off.
     """
-    kept = scan_snapshot(spark, root).filter(F.col("reason").isNull())
+    head = F.substring("content", 1, SNIFF_BYTES)
+    kept = _small_files(spark, root).filter(~F.contains(head, F.lit(bytearray(b"\x00"))))
     if max_files is not None:
         found = kept.select("path").count()
         if found > max_files:

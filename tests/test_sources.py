@@ -36,6 +36,17 @@ def test_snapshot(spark, tmp_path):
     assert [tuple(r) for r in files.collect()] == [("t", "d/vendored.go", "x")]
 
 
+def test_snapshot_reads_no_large_contents_and_plain_paths(spark, tmp_path):
+    for name in ("a b.go", "c#1.go", "p+q%41.go"):
+        (tmp_path / name).write_text("x")
+    files = SN.snapshot_files(spark, str(tmp_path), "t")
+    assert "LessThanOrEqual(length," in files._jdf.queryExecution().executedPlan().toString()
+    names = {"a b.go", "c#1.go", "p+q%41.go"}
+    assert {r.path for r in files.collect()} == names
+    assert {r.path for r in SN.read_files(spark, str(tmp_path), "t", str(tmp_path)).collect()} == names
+    assert {r.path for r in SN.scan_snapshot(spark, str(tmp_path)).collect()} == names
+
+
 def test_patch_files_and_cases(spark, tmp_path):
     case = {"id": "c1", "expected_findings": [{"rule_id": "RES-AST-001", "file": "a.go", "line": 1}],
             "expected_warnings": [], "sensitive_literals": []}
