@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, record
+from .text import record
 
 # {p} is "+" (possessive) for Java and empty for engines without backtracking.
 _TOKEN_PARTS = [
@@ -156,13 +156,3 @@ def assigned_value(f: Column) -> Column:
 def quoted_pieces(line: Column) -> Column:
     """Text between pairs of double quotes, without regard to escapes."""
     return F.regexp_extract_all(line, F.lit('"([^"]*)"'), F.lit(1))
-
-
-def words(line: Column) -> Column:
-    """ASCII words of a line."""
-    return F.regexp_extract_all(line, F.lit("[A-Za-z0-9_]+"), F.lit(0))
-
-
-def mentions(line: Column, names) -> Column:
-    """Cheap gate: the raw line contains one of the names."""
-    return any_of(line.contains(n) for n in names)

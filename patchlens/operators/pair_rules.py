@@ -449,7 +449,6 @@ NO_TEST_NEEDED = [
     "main", "init", "String", "Error", "Unwrap", "Is", "As", "ServeHTTP", "Close", "Setup",
     "Teardown",
 ]
-EXPORTED = r"^func ([A-Z][\p{L}\p{Nd}_]*)"
 
 
 def missing_test_hits(lines: DataFrame) -> DataFrame:
@@ -480,6 +479,11 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
     # Capitalised words a line refers to, capitalised endings of longer names it calls, and
     # the subjects of the test functions it declares.
     refers = found(body, WORD_START + r"([A-Z][A-Za-z0-9_]*+)")
+    # names with other letters inside; word borders are those of ASCII words
+    accented = found(
+        body & text.rlike(r"[A-Za-z0-9_][^\x00-\x7f]"),
+        WORD_START + r"([A-Z][A-Za-z0-9_]*+[^\x00-\x7f][\p{L}\p{Nd}_]*[A-Za-z0-9_])(?![A-Za-z0-9_])",
+    )
     longer = F.filter(
         found(body & text.contains("("), r"([A-Za-z0-9_]+)\("), lambda w: w.rlike(".[A-Z]")
     )
@@ -512,12 +516,14 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
     ]
     scope_key = ["task_id", "scope", "scope_seq", "scope_path"]
     names = F.concat(
-        keyed(F.concat(refers, grouped), named=True), keyed(call_ends, called=True),
+        keyed(F.concat(refers, accented, grouped), named=True), keyed(call_ends, called=True),
         keyed(declared, declared=True),
     )
     marks = (
         used.select(*scope, F.inline_outer(names))
         .filter(F.col("name").isNotNull())
+        # most words name no function of the task: drop them before they are grouped
+        .join(functions.select("task_id", "name").distinct(), ["task_id", "name"], "left_semi")
         .groupBy(*scope_key, "name")
         .agg(*[F.max(f).alias(f) for f in ("named", "called", "declared")])
     )

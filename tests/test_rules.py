@@ -254,3 +254,13 @@ def test_large_deletes(patch_lines, found):
     )
     got = found(PR.large_delete_hits(patch_lines(text)))
     assert got == [("large_delete", "x.md", 22), ("large_delete", "y.md", 4)]
+
+
+def test_names_with_other_letters_are_found_in_tests(spark, file_lines, found):
+    from patchlens.operators.pair_rules import missing_test_hits
+
+    lines = file_lines({
+        "a.go": "package a\nfunc LoadÜberX() int {\n\treturn 1\n}\nfunc OpenÜber2() int {\n\treturn 2\n}\n",
+        "a_test.go": "package a\nfunc TestIt(t *testing.T) {\n\tx := LoadÜberX()\n}\n",
+    })
+    assert [r[2] for r in found(missing_test_hits(lines))] == [5]
