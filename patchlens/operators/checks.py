@@ -28,117 +28,117 @@ CHECKS: dict[str, Check] = {
     "secret_assigned": Check(
         "SEC-AST-001", "high", "security", 0.90, "Hard-coded secret",
         "Move the secret to the environment or a secret manager",
-        "token:hardcoded_secret", "sensitive identifier + assignment + string literal"),
+        "token:hardcoded_secret", "a literal is given to a name that sounds secret"),
     "secret_passed": Check(
         "SEC-AST-001", "medium", "security", 0.70, "Sensitive value passed as a literal",
         "Check whether {} holds sensitive information",
-        "token:sensitive_param", "sensitive identifier in non-assignment context"),
+        "token:sensitive_param", "a literal stands beside a name that sounds secret"),
     "goroutine_leak": Check(
         "GOR-AST-001", "high", "resource", 0.85, "Goroutine may leak",
         "Give the goroutine a way to stop: context.WithCancel and select",
-        "token:goroutine_leak", "go statement without exit markers (select/ctx/done)"),
+        "token:goroutine_leak", "nothing in the goroutine's lines can end it"),
     "goroutine_qualified": Check(
         "GOR-AST-001", "low", "resource", 0.65, "Goroutine start to be confirmed (qualified call)",
         "Confirm that the goroutine is a one-time action, or give it a way to stop",
-        "token:goroutine_leak", "qualified go call, leak not provable at lexical level"),
+        "token:goroutine_leak", "the started function belongs to another package or value"),
     "resource_open": Check(
         "RES-AST-001", "medium", "resource", 0.80, "Resource may stay open",
         "Add defer {}",
-        "token:resource_leak", "open call without matching close in file"),
+        "token:resource_leak", "opened here, closed nowhere in this file"),
     "discard_all": Check(
         "ERR-AST-001", "medium", "error_handling", 0.55, "Error may be discarded with _",
         "Check the returned error and handle it",
-        "token:error_ignored", "error return value discarded via blank identifier"),
+        "token:error_ignored", "the blank name takes what may be an error"),
     "discard_final": Check(
         "ERR-AST-001", "medium", "error_handling", 0.80, "Error may be discarded with _",
         "Check the returned error and handle it",
-        "token:error_ignored", "error return value discarded via blank identifier"),
+        "token:error_ignored", "the blank name takes what may be an error"),
     "discard_typed": Check(
         "ERR-AST-001", "medium", "error_handling", 0.85, "Error may be discarded with _",
         "Check the returned error and handle it",
-        "token:error_ignored", "error return value discarded via blank identifier"),
+        "token:error_ignored", "the blank name takes what may be an error"),
     "panic": Check(
         "ERR-AST-001", "low", "error_handling", 0.65, "panic instead of a returned error",
         "Library code should return an error instead of panicking",
-        "token:panic_usage", "panic in non-test library code"),
+        "token:panic_usage", "a library file panics"),
     "log_fatal": Check(
         "ERR-AST-001", "medium", "error_handling", 0.80, "log.Fatal in library code",
         "Library code should return an error instead of calling log.Fatal",
-        "token:log_fatal", "log.Fatal in non-main non-test code"),
+        "token:log_fatal", "a library file ends the program"),
     "error_swallowed": Check(
         "ERR-AST-001", "low", "error_handling", 0.75, "Error swallowed: nil returned instead",
         "Return the error, with context added",
-        "token:error_swallowed", "if err != nil followed by return nil"),
+        "token:error_swallowed", "an error is tested for, and nil goes back"),
     "missing_test": Check(
         "TST-AST-001", "low", "testing", 0.65, "Exported function added without a test",
         "Add a test function Test{} for normal and error paths",
-        "token:missing_test", "exported function added without matching test"),
+        "token:missing_test", "no test of this change uses the new function"),
     "transaction_open": Check(
         "DB-AST-001", "medium", "lifecycle", 0.80, "Transaction begun, never finished",
         "Make sure the transaction is committed or rolled back",
-        "token:db_lifecycle", "call=Begin/BeginTx, no Commit/Rollback in added lines"),
+        "token:db_lifecycle", "begun here; no added line commits or rolls back"),
     "cancel_unused": Check(
         "CTX-AST-001", "medium", "lifecycle", 0.75, "Cancel function of a context may leak",
         "Call {}() when done, usually with defer",
-        "token:context_cancel", "call=context.With*, no cancel call in added lines"),
+        "token:context_cancel", "the cancel function is kept and no added line calls it"),
     "cancel_discarded": Check(
         "CTX-AST-001", "high", "lifecycle", 0.85, "Cancel function of a context discarded",
         "Keep the cancel function and call it, usually with defer",
-        "token:context_cancel", "call=context.With*, cancel discarded"),
+        "token:context_cancel", "the cancel function goes to the blank name"),
     "sql_concat": Check(
         "SEC-AST-003", "high", "security", 0.75, "SQL statement built by concatenation",
         "Use a parameterized query instead of joining values into SQL",
-        "token:sql_injection", "sql literal + concat/sprintf with non-literal, no placeholder"),
+        "token:sql_injection", "values are joined into a statement without placeholders"),
     "command_injection": Check(
         "SEC-AST-004", "high", "security", 0.80, "Command built from external input",
         "Do not hand external input to a shell; check it or pass an argument list",
-        "token:command_injection", "exec family call with non-literal argument"),
+        "token:command_injection", "a started command takes more than fixed texts"),
     "tls_off": Check(
         "SEC-AST-005", "high", "security", 0.85, "TLS certificate check turned off",
         "Do not skip certificate checks in production code",
-        "token:insecure_tls", "InsecureSkipVerify = true in tls config"),
+        "token:insecure_tls", "the setting that skips certificate checks is on"),
     "context_root": Check(
         "CTX-AST-002", "low", "concurrency", 0.70, "Context root replaced inside a ctx function",
         "Use the ctx parameter to keep cancellation connected",
-        "token:context_root", "context.Background/TODO inside func with context.Context param"),
+        "token:context_root", "a new root although the function is given a context"),
     "mutex_pair": Check(
         "CON-AST-001", "medium", "concurrency", 0.80, "Lock without Unlock",
         "Make sure {}.Unlock() runs on every path",
-        "token:mutex_pair", "Lock() without Unlock() in added lines"),
+        "token:mutex_pair", "locked here; no added line unlocks it"),
     "defer_in_loop": Check(
         "RES-AST-002", "medium", "resource", 0.75, "defer inside a for loop",
         "Release in each iteration, or move the loop body into a function",
-        "token:defer_in_loop", "defer inside for loop body"),
+        "token:defer_in_loop", "a loop defers on each turn"),
     "time_tick": Check(
         "RES-AST-002", "low", "resource", 0.70, "time.Tick cannot be stopped",
         "Use time.NewTicker and defer ticker.Stop()",
-        "token:time_tick", "time.Tick cannot be stopped"),
+        "token:time_tick", "the ticker behind time.Tick has no handle"),
     "timer_leak": Check(
         "RES-AST-002", "medium", "resource", 0.75, "Timer or ticker never stopped",
         "Call {}.Stop() when no longer needed",
-        "token:timer_leak", "NewTimer/NewTicker without Stop() in added lines"),
+        "token:timer_leak", "made here; no added line stops it"),
     "rows_err": Check(
         "DB-AST-002", "medium", "lifecycle", 0.75, "rows.Err() not checked",
         "Check rows.Err() after the iteration",
-        "token:rows_err", "rows from Query without rows.Err() check in added lines"),
+        "token:rows_err", "rows are read; no added line asks for their error"),
     "config_url": Check(
         "SEC-GEN-001", "high", "sensitive_leak", 0.85, "URL with credentials in configuration",
         "Move connection credentials to a secret manager",
-        "token:gen_url_cred", "URL with embedded credentials"),
+        "token:gen_url_cred", "an address holds a name and a password"),
     "config_secret": Check(
         "SEC-GEN-001", "high", "sensitive_leak", 0.80, "Unquoted credential in configuration",
         "Move the credential to a secret manager",
-        "token:gen_unquoted_secret", "key with unquoted value"),
+        "token:gen_unquoted_secret", "a secret-sounding key has a bare value"),
     "large_delete": Check(
         "DEL-GEN-001", "low", "quality", 0.60, "Large deletion ({} lines)",
         "Confirm that the deletion is intended",
-        "token:large_delete", "deleted lines >= threshold in single file"),
+        "token:large_delete", "one file loses at least as many lines as the limit"),
 }
 for _name, (_title, _confidence) in SHAPES.items():
     CHECKS["leak_" + _name] = Check(
         "SEC-AST-002", "high", "sensitive_leak", _confidence, "Leaked " + _title,
         "Rotate the credential now and remove it from the code",
-        "token:sensitive_leak", "string literal matches known leak pattern")
+        "token:sensitive_leak", "a literal has the form of an issued credential")
 
 MULTI_FILE_RULES = ["TST-AST-001"]
 

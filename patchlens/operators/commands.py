@@ -63,7 +63,7 @@ def save_config(config: SafetyConfig, path: str) -> None:
 
 
 # Characters around a command word, and shapes of shell injection.
-_EDGE = r"[ \t\n|&;(){}\[\]<>\"'`$#]".replace('\\"', '"')
+_EDGE = r"""[ \t\n|&;(){}\[\]<>"'`$#]"""
 INJECTIONS = [
     ("$(", "command substitution"), ("`", "backtick substitution"),
     ("> /", "redirection to absolute path"), ("| sh", "pipe to sh"), ("| bash", "pipe to bash"),
@@ -81,7 +81,7 @@ def denied_pattern(commands: list[str]) -> str:
 
 def _path_pattern(paths: list[str]) -> str:
     words = "|".join(quoted(p.lower()) for p in paths)
-    return r"(?:\A|[ \t\"'=:/])".replace('\\"', '"') + f"(?:{words})"
+    return r"""(?:\A|[ \t"'=:/])""" + f"(?:{words})"
 
 
 def denied_path(command: Column, paths: list[str]) -> Column:
@@ -109,7 +109,7 @@ def network_host(command: Column) -> Column:
         *[
             F.when(
                 F.lower(command).contains(s),
-                F.regexp_extract(command, f"(?i){s}" + r"([^ /\"'\n\t]*)".replace('\\"', '"'), 1),
+                F.regexp_extract(command, f"(?i){s}" + r"""([^ /"'\n\t]*)""", 1),
             )
             for s in SCHEMES
         ],

@@ -189,12 +189,12 @@ def _error_hit(x: Line) -> Column:
 
 # Injection and transport ----------------------------------------------------------
 
+# Forms of statements, of joined texts and of placeholders.
 SQL_STATEMENT = (
-    r"(?i)(?:select{e}[^\"]{0,200}?{s}from{e}|insert\s+into{e}|update{e}\s+\S+\s+set{e}"
+    r'(?i)(?:select{e}[^"]{0,200}?{s}from{e}|insert\s+into{e}|update{e}\s+\S+\s+set{e}'
     r"|delete\s+from{e}|drop\s+(?:table|database){e}|truncate\s+table{e})"
 )
 SQL_STATEMENT = SQL_STATEMENT.replace("{e}", WORD_END).replace("{s}", WORD_START)
-SQL_STATEMENT = SQL_STATEMENT.replace('\\"', '"')
 SQL_JOINED = r'"\s*\+\s*[A-Za-z_(]|[A-Za-z_)\d]\s*\+\s*"|fmt\.Sprintf\('
 SQL_PLACEHOLDER = r"\?|\$\d"
 SHELLS = ["sh", "bash", "zsh", "ksh", "cmd", "cmd.exe", "powershell", "powershell.exe"]
