@@ -173,8 +173,11 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 
     own = bounds(sketches, "own", "lang", "source")
     of_lang = bounds(merged(sketches, "lang"), "lang", "lang").withColumnRenamed("lang", "_lang")
+    # the thresholds of all documents are one row of numbers
     of_all = bounds(merged(sketches), "all")
-    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(of_all)
+    numbers = of_all.first()
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumns(
+        {c: F.lit(numbers[c] if numbers else None).cast("long") for c in of_all.columns})
     pick = lambda m, c: F.when(F.col("own_n") >= LEAST, F.col(f"own_{m}_{c}")).when(
         F.col("lang_n") >= LEAST, F.col(f"lang_{m}_{c}")).otherwise(F.col(f"all_{m}_{c}"))
     return joined.select("lang", "source", *(
