@@ -19,6 +19,8 @@ from patchlens.plans.workspace import shared_folder, written
 __all__ = ["bounded_sample", "byte_words", "crc_of_ids", "dropped", "fresh_name", "numbered", "part_offsets",
            "shared_folder", "slices", "table", "written"]
 
+#: What a Python worker keeps from task to task, as long as it goes on with the same work.
+CACHES: dict = {}
 #: Texts of about this many characters are worked on together inside a task.
 SLICE_CHARS = 4_000_000
 
@@ -43,9 +45,15 @@ def crc_of_ids(ids) -> int:
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
-           chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text length, so that memory stays bounded."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS,
+           keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text length, so that memory stays bounded.
+
+    Spark gives workers to one operator after another: caches of the one before are dropped
+    unless the task says that it uses them.
+    """
+    if not keep_caches:
+        CACHES.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = shared_cache(tokenizer, keeps_space)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, keep_caches=True):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(),
                                 cache.encode(batch.column("text").to_pylist()), strict=True):

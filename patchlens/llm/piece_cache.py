@@ -15,6 +15,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from patchlens.llm.common import CACHES
+
 #: Stretches kept by each Python worker, of either kind, in two generations.
 CACHE_SIZE = 400_000
 #: Longer stretches aren't kept.
@@ -152,11 +154,10 @@ class PieceCache:
         return b"".join(parts)
 
 
-_CACHES: dict[tuple[str, bool], PieceCache] = {}
-
-
 def shared_cache(path: str, keeps_space: bool) -> PieceCache:
     """This worker's cache, kept from task to task."""
-    if (path, keeps_space) not in _CACHES:
-        _CACHES[path, keeps_space] = PieceCache(path, keeps_space)
-    return _CACHES[path, keeps_space]
+    key = (path, keeps_space)
+    if key not in CACHES:
+        CACHES.clear()  # one vocabulary at a time
+        CACHES[key] = PieceCache(path, keeps_space)
+    return CACHES[key]

@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
                 pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([encoded(ids)], pa.binary())], names=names)
 
-        for batch in slices(batches):
+        for batch in slices(batches, keep_caches=True):
             texts = batch.column("text").to_pylist()
             for key, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(texts),
                                 strict=True):
