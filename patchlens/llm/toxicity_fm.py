@@ -4,9 +4,9 @@ Words of a text are hashed to slots; a text's score is a logistic of a bias, a w
 slot and, for each pair of slots, the product of their factor vectors. Pairs such as an insult
 with the mention of a group get a weight of their own although each may be harmless.
 
-Document frequencies of slots, by label, are counted over all labelled rows by Spark; at
-most ``SLOTS`` slots, those that tell labels apart best (chi square), are the model's inputs. Weights are
-fitted on at most ``ROWS`` labelled rows, in the order of a hash of doc_id.
+The machine is fitted on at most ``ROWS`` labelled rows, the first by a hash of doc_id. Document
+frequencies of slots, by label, are counted over them by Spark; at most ``SLOTS`` slots, those
+that tell labels apart best (chi square), are the model's inputs.
 
 Defined results: a null or empty text has no terms and scores the bias alone; labels other than
 0 and 1 and labels of unknown documents are left out; repeated rows are scored each; without
@@ -30,11 +30,12 @@ from patchlens.llm.common import slices, written
 
 BITS = 20
 SLOTS = 1024
+#: Labelled rows that the machine is fitted on, at most.
+ROWS = 12_000
 #: A slot's least document frequency and chi square: weaker ones are chance among so many.
 LEAST_DOCS, LEAST_CHI = 5, 30
-ROWS = 6000
 FACTORS = 4
-EPOCHS = 30
+EPOCHS = 20
 _TERM = re.compile(r"[^\W\d_]+")
 _CACHE_TERMS = 200_000
 
@@ -142,12 +143,15 @@ def _slot_counts(rows: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS,
             n_slots: int = SLOTS) -> Machine:
-    """A machine from the labelled rows that aren't held out."""
+    """A machine from at most ``rows`` labelled rows that aren't held out."""
     known = labels.select("doc_id", F.col(label).cast("long").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    # at most ``rows`` short rows are sent out; texts stay where they are read
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(
-        known, "doc_id").select(F.xxhash64("doc_id").alias("place"), "label", "text")
-    counted = written(_slot_counts(texts), "terms")
+        F.broadcast(known), "doc_id").select(F.xxhash64("doc_id").alias("place"), "label", "text")
+    counted = written(
+        _slot_counts(texts).withColumn("row", F.monotonically_increasing_id()), "terms")
     totals = {r["label"]: r["n"] for r in
               counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
@@ -161,15 +165,12 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
     kept = np.array(sorted(r["slot"] for r in best.collect()), dtype=np.int64)
     place = {int(s): i for i, s in enumerate(kept)}
     # only the chosen slots of the bounded sample come to the driver
-    sample = counted.orderBy("place", "label").limit(rows).withColumn(
-        "row", F.monotonically_increasing_id())
-    sample = written(sample, "sample")
     wanted = docs.sparkSession.createDataFrame([(int(s),) for s in kept], "slot long")
-    terms = sample.select("row", F.explode(F.arrays_zip("slots", "counts")).alias("p")).select(
+    terms = counted.select("row", F.explode(F.arrays_zip("slots", "counts")).alias("p")).select(
         "row", F.col("p.slots").alias("slot"), F.col("p.counts").alias("n")).join(
         F.broadcast(wanted), "slot")  # n_slots rows
-    own = sample.select("row", "label").join(terms.groupBy("row").agg(
-        F.collect_list(F.struct("slot", "n")).alias("p")), "row", "left").orderBy("row").collect()
+    own = counted.select("row", "place", "label").join(terms.groupBy("row").agg(
+        F.collect_list(F.struct("slot", "n")).alias("p")), "row", "left").orderBy("place", "label", "row").collect()
     counts = [(np.array([place[q["slot"]] for q in r["p"] or ()], dtype=np.int64),
                np.array([q["n"] for q in r["p"] or ()], dtype=np.int64)) for r in own]
     y = np.array([r["label"] for r in own], dtype=np.float64)
