@@ -7,11 +7,11 @@ case), each as a 64-bit hash; a shorter text is one shingle. Two documents are l
 1. Equal sets make one class, whatever their number; all that follows is about classes.
 2. 128 universal hash minima a class, in 32 bands of 4. A link at the threshold shares a band
    but for 5 in a million cases, above it almost always.
-3. Each class of a bucket is compared with the least class of it: signatures first, then
-   the full sets. Links make components by alternating large-star and small-star.
-4. Where a bucket still holds several components, every class outside its least class's component
-   is compared with all the others in it, in blocks, so no pair of a bucket is left out and no
-   bucket is expanded into all its pairs. New links join the components.
+3. Each class of a bucket is compared with its leader, the class that meets most others:
+   signatures first, then the full sets. Links make components by alternating large-star and small-star.
+4. Where a bucket still holds several components, every class outside its leader's component
+   is compared with all the others in it, signatures and full sets in blocks, so no pair of a
+   bucket is left out and none is written down but links. These join the components.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and kept;
 a null doc_id belongs to its text's component but never names it; equal doc_ids with different
@@ -153,10 +153,10 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(close, "a binary, b binary")
 
 
-def _needed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Written sets of the classes that occur in these pairs: digest, shingles."""
-    digests = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "digest")
-    wanted = written(classes.join(digests, "digest").select("doc_id", "text_key"), "wanted")
+def _needed(docs: DataFrame, classes: DataFrame, digests: DataFrame) -> DataFrame:
+    """Written sets of these classes: digest, shingles."""
+    wanted = written(
+        classes.join(digests.distinct(), "digest").select("doc_id", "text_key"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
@@ -179,7 +179,8 @@ def _needed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Written pairs (a, b), a < b, whose full sets are alike enough."""
-    sets = _needed(docs, classes, pairs)
+    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b"))
+    sets = _needed(docs, classes, ends)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,12 +233,13 @@ def components(links: DataFrame) -> DataFrame:
     return now.withColumnsRenamed({"a": "node", "b": "root"})
 
 
-def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame,
-               seen: DataFrame) -> DataFrame:
-    """Pairs of buckets that still hold several components, compared in blocks.
+def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates of buckets that still hold several components, found in blocks.
 
-    Every class outside the component of the bucket's least class meets all others there that
-    are in another component than its own.
+    Every class outside the component of the bucket's leader meets all others there that are in
+    another component than its own. Rows: block (band, o, m), digest of a class that has a
+    candidate, and the others it may be linked with; a pair is named once, in the first band that
+    it shares.
     """
     placed = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "root", F.coalesce("root", "digest"))
@@ -251,31 +253,79 @@ def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame,
         F.ceil(F.col("n_out") / BLOCK).alias("o_blocks"))
     rows = placed.join(mixed, "band").join(classes.select("digest", "signature"), "digest")
     hashed = F.abs(F.xxhash64("digest", F.lit(1)) % (1 << 40))
-    every = rows.select("band", "digest", "root", "signature", F.lit(False).alias("out"),
-                        (hashed % F.col("m_blocks")).alias("m"),
+    columns = ("band", "digest", "root", "signature", "outside")
+    every = rows.select(*columns, F.lit(False).alias("asks"), (hashed % F.col("m_blocks")).alias("m"),
                         F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)).alias("o"))
     out = rows.filter("outside").select(
-        "band", "digest", "root", "signature", F.lit(True).alias("out"),
+        *columns, F.lit(True).alias("asks"),
         F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m"),
         (hashed % F.col("o_blocks")).alias("o"))
 
-    def met(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["out"]], block[~block["out"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        x, y = (np.frombuffer(b"".join(s["signature"]), "<u4").reshape(len(s), -1)
-                for s in (left, right))
+    def met(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        left, right = block[block["asks"]], block[~block["asks"]]
         found = []
-        names, roots = right["digest"].to_numpy(), right["root"].to_numpy()
-        for mark, name, root in zip(x, left["digest"], left["root"], strict=True):
-            near = np.flatnonzero((y == mark).mean(1) >= LEAST_ESTIMATE)
-            found += [sorted((bytes(name), bytes(names[i]))) for i in near
-                      if bytes(roots[i]) != bytes(root)]
-        return pd.DataFrame(found, columns=["a", "b"])
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(s["signature"]), "<u4").reshape(len(s), -1)
+                    for s in (left, right))
+            kx, ky = band_keys(x), band_keys(y)
+            names = [bytes(d) for d in right["digest"]]
+            roots, outside = [bytes(r) for r in right["root"]], right["outside"].tolist()
+            named = set()
+            for mark, keys, name, root in zip(x, kx, left["digest"], left["root"], strict=True):
+                shared = ky == keys
+                here = keys[shared.argmax(1)] == key[0]
+                near = np.flatnonzero(here & ((y == mark).mean(1) >= LEAST_ESTIMATE))
+                name, root = bytes(name), bytes(root)
+                own = [names[i] for i in near
+                       if roots[i] != root and not (outside[i] and names[i] < name)]
+                if own:
+                    found.append((*key, name, own))
+                    named.update(own)
+            found += [(*key, name, []) for name in named]
+        return pd.DataFrame(found, columns=["band", "o", "m", "digest", "others"])
+
+    return out.unionByName(every).groupBy("band", "o", "m").applyInPandas(
+        met, "band long, o long, m long, digest binary, others array<binary>")
+
+
+def _confirmed_blocks(lists: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Written links (a, b) that join the classes of each block which full sets confirm.
+
+    Sets are compared inside the block, so pairs that aren't links are nowhere written down,
+    and links inside a part that others already join aren't either.
+    """
+    key = ("band", "o", "m")
+    inside = lists.select(*key, "digest").distinct()
+    sets = _needed(docs, classes, inside.select("digest"))
+
+    def confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = {bytes(d): np.frombuffer(s, np.uint64)
+               for d, s in zip(right["digest"], right["shingles"], strict=True)}
+        above = {d: d for d in own}
+
+        def top(d: bytes) -> bytes:
+            while above[d] != d:
+                above[d] = d = above[above[d]]
+            return d
+
+        links = []
+        for a, others in zip(left["digest"], left["others"], strict=True):
+            x = own[bytes(a)]
+            for b in map(bytes, others):
+                i, j = top(bytes(a)), top(b)
+                if i == j:
+                    continue
+                y = own[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    above[i] = j
+                    links.append((bytes(a), b))
+        return pd.DataFrame(links, columns=["a", "b"])
 
-    pairs = out.unionByName(every).groupBy("band", "o", "m").applyInPandas(
-        met, "a binary, b binary")
-    return pairs.distinct().join(seen, ["a", "b"], "left_anti")
+    own_key = [f"own_{k}" for k in key]
+    held = inside.join(sets, "digest").toDF("digest", *own_key, "shingles")
+    return written(lists.groupBy(*key).cogroup(held.groupBy(*own_key)).applyInPandas(
+        confirm, "a binary, b binary"), "more")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -288,16 +338,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.first("signature").alias("signature")).select(
         "digest", "least.doc_id", "least.text_key", "signature"), "classes")
     buckets = written(_buckets(classes), "buckets")
-    several = buckets.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("digest").alias("leader")).filter("n > 1")
-    members = written(buckets.join(several.drop("n"), "band"), "members")
+    several = buckets.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(buckets.join(several, "band"), "members")
+    # the class that meets most others leads: an original rather than one of its variants
+    degrees = members.groupBy("digest").agg(F.sum("n").alias("degree"))
+    leaders = members.join(degrees, "digest").groupBy("band").agg(
+        F.max(F.struct("degree", "digest")).alias("top")).select(
+        "band", F.col("top.digest").alias("leader"))
+    members = written(members.drop("n").join(leaders, "band"), "led")
     stars = written(members.filter("digest <> leader").select(
-        F.col("leader").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
+        F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b")).distinct(),
+        "pairs")
     links = _confirmed(written(_alike(stars, classes), "alike"), docs, classes)
     roots = components(links)
-    more = written(_left_over(members, roots, classes, stars), "more")
+    more = written(_left_over(members, roots, classes), "lists")
     if not more.isEmpty():
-        roots = components(links.union(_confirmed(more, docs, classes)))
+        roots = components(links.union(_confirmed_blocks(more, docs, classes)))
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(
         "digest", F.coalesce("root", "digest").alias("root"), F.col("doc_id").alias("own"))
     least = named.groupBy("root").agg(F.min("own").alias("component_id"))
