@@ -8,8 +8,10 @@ by gradients of the likelihood on labelled pages: ``LABELLED`` layouts below, wh
 carry ``data-label``, and at most ``rows`` pages of the table whose landmarks label them.
 
 Defined results: a null or empty page, or one without content, has the empty text; tags that the
-end of a page cuts off are dropped; unclosed elements end with their parent; repeated rows give
-equal rows; no pages give no rows; other columns aren't read.
+end of a page cuts off are dropped; unclosed elements end with their parent, and what an unclosed
+svg, template, title, textarea or iframe holds is judged like any other text; a script or style
+without an end is code up to the end of its page, as in HTML; repeated rows give equal rows; no
+pages give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,11 @@ EPOCHS = 12
 LABEL = "data-label"
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe svg template".split())
+#: Elements whose contents hold no tags, and those of them that are code.
+RAW = frozenset("script style textarea title iframe".split())
+CODE = frozenset("script style".split())
+#: Start tags inside these end no element outside of them.
+SCOPES = frozenset("svg template".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol "
@@ -42,11 +48,14 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("br html head body".split())
 #: A start tag that ends an open element of these names.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
-            "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+            "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",),
+            "body": ("head",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",),
-         "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
+         "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": (), "body": ()}
 #: Elements whose contents are no text of the page whatever they hold.
-NEVER = RAW | frozenset("head button select option".split())
+NEVER = RAW | SCOPES | frozenset("head button select option".split())
+#: The tag of those that never end: what follows them isn't theirs.
+UNCLOSED = "#unclosed"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)"
                     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)|<(?:/[^>]*>)?|[^<]+", re.S)
@@ -71,6 +80,15 @@ def parsed(source: str | None) -> Page:
     page, source = Page(), source or ""
     stack: list[int] = []
     held: dict[str, int] = {}
+    near: list[dict[str, int]] = [{}]  # of held, those inside the innermost scope
+    ahead: dict[str, int] = {}
+
+    def following(name: str, at: int) -> int:
+        """Where the next tag of this name begins, or -1; what was searched isn't searched again."""
+        if name not in ahead or 0 <= ahead[name] < at:
+            found = re.compile(rf"<{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+            ahead[name] = found.start() if found else -1
+        return ahead[name]
 
     def opened(tag: str, names: str = "", label: str = "") -> int:
         page.tags.append(tag)
@@ -82,15 +100,25 @@ def parsed(source: str | None) -> Page:
     def close_to(tag: str) -> None:
         while stack:
             at = stack.pop()
-            held[page.tags[at]] -= 1
-            if page.tags[at] in BLOCK:
+            own = page.tags[at]
+            if own in SCOPES:
+                near.pop()
+            held[own] -= 1
+            near[-1][own] -= 1
+            if own in BLOCK:
                 page.texts.append((-1, ""))
-            if page.tags[at] == tag:
+            if own == tag:
                 return
+            if own in RAW or own in SCOPES:
+                page.tags[at] = UNCLOSED
 
     def push(at: int) -> None:
         stack.append(at)
-        held[page.tags[at]] = held.get(page.tags[at], 0) + 1
+        own = page.tags[at]
+        held[own] = held.get(own, 0) + 1
+        near[-1][own] = near[-1].get(own, 0) + 1
+        if own in SCOPES:
+            near.append({})
 
     push(opened("#page"))
     at = 0
@@ -112,21 +140,24 @@ def parsed(source: str | None) -> Page:
             if held.get(tag):
                 close_to(tag)
             continue
-        if tag in CLOSES_P and held.get("p"):
+        if tag in CLOSES_P and near[-1].get("p"):
             close_to("p")
         for other in SIBLINGS.get(tag, ()):
-            if held.get(other):
+            if near[-1].get(other):
                 inner = next(page.tags[i] for i in reversed(stack)
                              if page.tags[i] == other or page.tags[i] in HOLDS[tag])
                 if inner == other:
                     close_to(other)
+        empty = tag in VOID or token[3].endswith("/")
         if tag in RAW:  # nothing in it is text of the page
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-            if end is None:
+            end = following(f"/{tag}", at)
+            # after '/>', an end belongs to it only when no other such element begins before
+            if end >= 0 and not (empty and 0 <= following(tag, at) < end):
+                at = source.find(">", end)
+                at = len(source) if at < 0 else at + 1
+                continue
+            if tag in CODE and not empty:
                 break
-            at = source.find(">", end.end())
-            at = len(source) if at < 0 else at + 1
-            continue
         names = label = ""
         if token[3]:
             found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in
@@ -136,9 +167,11 @@ def parsed(source: str | None) -> Page:
         if tag in BLOCK:
             page.texts.append((-1, ""))
         own = opened(tag, names.strip(), label)
-        if tag in VOID or token[3].endswith("/"):
-            continue
-        push(own)
+        if not empty:
+            push(own)
+    for at in stack:
+        if page.tags[at] in RAW or page.tags[at] in SCOPES:
+            page.tags[at] = UNCLOSED
     return page
 
 

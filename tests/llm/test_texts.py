@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -271,6 +272,44 @@ PAGES = [
 ]
 
 
+_LONG = "The council met on Tuesday to discuss the new bridge and its cost. " * 3
+_ARTICLE = f"<article><h1>A bridge</h1><p>{_LONG}</p></article>"
+_BRIDGE = f"A bridge {_LONG}".strip()
+#: Pages whose raw tags have no end, or end in themselves.
+UNENDED = [
+    (f'<html><head><svg class="icon"/></head><body>{_ARTICLE}</body></html>', _BRIDGE),
+    (f'<body><nav><svg class="icon"/></nav>{_ARTICLE}<footer><svg><title>t</title></svg></footer>', _BRIDGE),
+    (f"<body><noscript><p>No script.</p>{_ARTICLE}</body>", _BRIDGE),
+    (f"<head><noscript><link rel=x></head><body>{_ARTICLE}", _BRIDGE),
+    (f"<head><title>Bridges</head><body>{_ARTICLE}", _BRIDGE),
+    (f"<head><title>Bridges<body>{_ARTICLE}", _BRIDGE),
+    (f"<body><div><template><i></div>{_ARTICLE}", _BRIDGE),
+    (f"<body><template>{_ARTICLE}", _BRIDGE), (f"<body><svg><path d=x>{_ARTICLE}", _BRIDGE),
+    (f'<body><iframe src="x"/>{_ARTICLE}<iframe src="y">z</iframe>', _BRIDGE),
+    (f'<head><script src="x"/><style/></head><body>{_ARTICLE}', _BRIDGE),
+    (f"<body><form><textarea></form>{_ARTICLE}", _BRIDGE),
+    (f"<article><h1>A bridge</h1><p>{_LONG}<noscript>Seen.</noscript></p></article>", f"{_BRIDGE} Seen."),
+    (f"<article><h1>A bridge</h1><p>{_LONG}<svg><style/><foreignObject><div>x<p>y</div></foreignObject>"
+     f"</svg><template><p>z</template>end</p></article>", f"{_BRIDGE} end"),
+    (f"<body>{_ARTICLE}<script>var t = '<p>x</p>';", _BRIDGE),
+    (f"<body>{_ARTICLE}<script src=x/>var t;</script>", _BRIDGE),
+]
+
+
+@pytest.mark.parametrize("source, want", UNENDED)
+def test_raw_tags_without_an_end(page_model, source, want):
+    page = page_text.parsed(source)
+    got = page_text.main_text(page, page_model.marginals(page))
+    # what stands before the article may be judged either way
+    assert got.removeprefix("No script.").strip() == want
+
+
+def test_raw_tags_are_searched_once():
+    began = time.process_time()
+    page_text.parsed("<title>" * 40_000 + "<iframe/>" * 40_000 + "<svg><p>" * 40_000)
+    assert time.process_time() - began < 10
+
+
 @pytest.fixture(scope="module")
 def page_model():
     pages = [page_text.parsed(h) for h in page_text.LABELLED]
