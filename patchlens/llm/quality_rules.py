@@ -9,6 +9,10 @@ half is used because junk lies in the upper one: up to half of a group may be ju
 moving its threshold. Mean word length is bounded on both sides by the 25th and 75th percentile.
 A group of fewer than ``LEAST`` documents takes its language's thresholds, or those of all.
 
+Symbols, duplicate lines and repeats are zero in most documents; where at least half of a group
+has none, the spread is 0 and the allowance alone is the threshold, a fixed cutoff. That is so in
+all groups of the given tables. Upper quantiles and non-zero bins do worse (figures in the README).
+
 Thresholds are joined to the documents on language and source; a document outside any of them
 isn't kept. Documents that fail the fixed base rules are left out of the sketches.
 
