@@ -2,8 +2,9 @@
 
 The model is a bidirectional LSTM over character classes with CRF transitions between the
 labels begin and inside of each kind, trained here in numpy from labelled spans. A document is
-read in overlapping windows around characters that personal data can't do without (a digit or
-``@``; without one no span has a kind). Scores of a character from several windows are averaged,
+read in overlapping windows around what personal data can't do without: a digit, ``@``, a word for
+``@`` with one for a dot after it, or four number words in a row. Common spelled-out forms ('name
+at host dot org', seven number words or more) are added by patterns of their own. Scores of a character from several windows are averaged,
 by its distance from the window's ends, and each run of joined windows is then decoded as a
 whole, so windows can't disagree. Added spans overlap neither each other nor those of patterns.
 
@@ -31,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROWS = 300
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBEDDING = 12, 8
-STEPS = 400
+STEPS = 900
 Span = tuple[int, int, str]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -270,13 +271,87 @@ def fitted(texts: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int =
 
 
 _TRIGGER = re.compile(r"[0-9@]")
+#: Number words and spellings of '@' and '.' in the languages of the given tables.
+NUMBERS = {
+    "en": "zero one two three four five six seven eight nine oh double triple",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun zwo",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve"}
+AT, DOT = "at|ät|arobase|arroba", "dot|punkt|point|punto"
+_NUMBER = r"\b(?:" + "|".join(sorted({w for k in NUMBERS.values() for w in k.split()})) + r"|[0-9])\b"
+#: 'at' as a word or in brackets, and a spelled dot, or one with a letter on both sides, soon after it.
+_AT_DOT = (rf"(?:\b(?:{AT})\b|[\[(]{{1,2}}\s?(?:{AT})\s?[\])]{{1,2}})[^\n]{{1,64}}?"
+           rf"(?:\b(?:{DOT})\b|(?<=[^\W_])\.(?=[^\W\d_]))")
+_SPELLED = re.compile(rf"(?i)[\[(]{{1,2}}\s?(?:{AT})\s?[\])]{{1,2}}|{_AT_DOT}|(?:{_NUMBER}[\s,./()-]{{0,3}}){{4,}}+")
+#: What an added span holds at least: a digit or '@', or a spelled address or number.
+_EVIDENT = re.compile(rf"(?i)[0-9@]|{_AT_DOT}|(?:{_NUMBER}[\s,./()-]{{0,3}}){{7}}")
+
+
+_BORDERS = tuple(",./()-[]{}<>:;\"'!?_")
+_NUMBER_WORDS = frozenset(w for k in NUMBERS.values() for w in k.split()) | frozenset("0123456789")
+_AT_WORDS, _DOT_WORDS = frozenset(AT.split("|")), frozenset(DOT.split("|"))
+_DOTTED = re.compile(r"\.(?=[^\W\d_])")
+
+
+def _may_spell(text: str) -> bool:
+    """Whether the words of a text allow a spelled form; most texts are told by this alone."""
+    low = text.lower()
+    dotted = _DOTTED.search(low) is not None
+    brackets = "(" in low or "[" in low
+    for c in _BORDERS:
+        low = low.replace(c, " ")
+    words = low.split()
+    own = set(words)
+    if not own.isdisjoint(_AT_WORDS) and (dotted or brackets or not own.isdisjoint(_DOT_WORDS)):
+        return True
+    return not own.isdisjoint(_NUMBER_WORDS) and b"\1\1\1\1" in bytes(
+        map(_NUMBER_WORDS.__contains__, words))
+
+
+_LABEL = r"[^\W_][\w-]{0,62}"
+_DOTS = rf"(?:\s?[\[(]\s?(?:{DOT})\s?[\])]\s?|\s(?:{DOT})\s|\.)"
+_NAME = rf"(?<![\w.%+-])(?:{_LABEL}{_DOTS}){{0,3}}[\w%+-]{{1,64}}"
+#: Spelled addresses: with 'at' in brackets, or as a word before a known ending after a spelled dot.
+_ADDRESS = re.compile(
+    rf"(?i){_NAME}(?:\s?[\[(]{{1,2}}\s?(?:{AT})\s?[\])]{{1,2}}\s?{_LABEL}(?:{_DOTS}{_LABEL}){{1,4}}"
+    rf"|\s(?:{AT})\s{_LABEL}(?:{_DOTS}{_LABEL}){{0,3}}(?:\s?[\[(]\s?(?:{DOT})\s?[\])]\s?|\s(?:{DOT})\s)"
+    r"(?:com|org|net|edu|gov|info|biz|io|eu|de|at|ch|fr|be|es|mx|ar|it|nl|uk|us|ca))\b")
+_DIALLED = re.compile(rf"(?i)(?:{_NUMBER}[\s,./()-]{{1,3}}){{6,}}{_NUMBER}")
+
+
+def spelled_spans(text: str) -> list[Span]:
+    """Addresses and numbers spelled in words; digits alone are left to the fixed patterns."""
+    if not _may_spell(text):
+        return []
+    found = [(*m.span(), "email") for m in _ADDRESS.finditer(text)]
+    found += [(*m.span(), "phone") for m in _DIALLED.finditer(text)
+              if sum(c.isalpha() for c in m[0]) > 2 * len(_TRIGGER.findall(m[0]))]
+    return sorted(found)
+
+
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Places of digits, ``@`` and spelled forms, in order."""
+    patterns = (_TRIGGER, _SPELLED) if _may_spell(text) else (_TRIGGER,)
+    return sorted(m.span() for own in patterns for m in own.finditer(text))
+
+
+def whole_words(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without marks after it, and with the rest of words that it cuts, up to ``STRIDE``."""
+    while end > start and text[end - 1] in " \n.,;:":
+        end -= 1
+    a, b = start, end
+    while a > 0 and start - a <= STRIDE and text[a - 1].isalnum() and text[a].isalnum():
+        a -= 1
+    while 0 < b < len(text) and b - end <= STRIDE and text[b].isalnum() and text[b - 1].isalnum():
+        b += 1
+    return a if start - a <= STRIDE else start, b if b - end <= STRIDE else end
 
 
 def runs(text: str) -> list[tuple[int, int]]:
-    """Stretches within half a window of a digit or ``@``, joined where they overlap."""
+    """Stretches within half a window of a trigger, joined where they overlap."""
     found: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - STRIDE), min(len(text), m.start() + STRIDE)
+    for start, end in triggers(text):
+        a, b = max(0, start - STRIDE), min(len(text), end - 1 + STRIDE)
         if found and a <= found[-1][1]:
             found[-1][1] = max(b, found[-1][1])
         else:
@@ -315,39 +390,64 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
         for i, label in enumerate([*y.tolist(), 0]):
             if start is not None and not (label and label % 2 == 0):
                 own = texts[t][start: a + i]
-                left = len(own) - len(own.lstrip())
-                own = own.strip()
-                if _TRIGGER.search(own) and len(own) >= 7:
-                    out[t].append((start + left, start + left + len(own), KINDS[kind]))
+                first, last = whole_words(texts[t], a + i - len(own.lstrip()), a + i)
+                first = max(first, out[t][-1][1] if out[t] else 0)
+                if last - first >= 7 and _EVIDENT.search(texts[t][first:last]):
+                    out[t].append((first, last, KINDS[kind]))
                 start = None
             if label % 2:
                 start, kind = a + i, (label - 1) // 2
     return out
 
 
+def _free(added: list[Span], taken: list[Span]) -> list[Span]:
+    return [s for s in added if all(s[1] <= b[0] or s[0] >= b[1] for b in taken)]
+
+
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Spans of the patterns, and all spans, of each text."""
     texts = [t or "" for t in texts]
     out = []
     for text, added in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
-        free = [s for s in added if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
+        spelled = _free(spelled_spans(text), base)
+        free = spelled + _free(added, base + spelled)
         out.append((base, sorted(base + free, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
 
 #: Labelled spans of forms that the table may lack: text before, span, kind, text after.
-def written_spans(seed: int = 4, n: int = 240) -> list[tuple[str, list[Span]]]:
+def written_spans(seed: int = 4, n: int = 1200) -> list[tuple[str, list[Span]]]:
     rng = np.random.default_rng(seed)
     d = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), int(rng.integers(2, 9))))
-    forms = {
+
+    def spelled() -> str:
+        at, dot = (("at", "dot"), ("at", "dot"), *zip(AT.split("|"), DOT.split("|"), strict=True))[
+            int(rng.integers(2 + len(AT.split("|"))))]
+        if rng.random() < 0.2:
+            at, dot = at.upper(), dot.upper()
+        a, b = rng.choice(["()", "[]", "  "])
+        at = f"{a}{at}{b}" if rng.random() < 0.5 and a != " " else f" {a}{at}{b} ".replace("  ", " ")
+        dot = "." if rng.random() < 0.4 else f" {a}{dot}{b} ".replace("  ", " ")
+        local = word() + (dot + word() if rng.random() < 0.3 else "")
+        return f"{local}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es'])}"
+
+    def in_words(least: int, most: int) -> str:
+        names = NUMBERS[str(rng.choice(list(NUMBERS)))].split()[:10]
+        return " ".join(names[i] for i in rng.integers(0, 10, int(rng.integers(least, most))))
+
+    signs = {
         "email": lambda: f"{word()}{rng.choice(['.', '_', '', '-'])}{d(2)}@{word()}.{rng.choice(['com', 'org', 'example.net'])}",
         "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": lambda: rng.choice([" ", "-"]).join(d(4) for _ in range(4)),
         "phone": lambda: rng.choice(["", "+1 ", "+49 "]) + f"({d(3)}) {d(3)}-{d(4)}",
     }
-    others = [lambda: d(int(rng.integers(1, 7))), lambda: f"{d(1)}.{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(1)}",
+    forms = signs | {
+        "email": lambda: spelled() if rng.random() < 0.6 else signs["email"](),
+        "phone": lambda: in_words(7, 12) if rng.random() < 0.5 else signs["phone"]()}
+    others = [lambda: in_words(4, 6), lambda: f"{word()} at {word()} {word()} the dot {word()} {word()}",
+              lambda: d(int(rng.integers(1, 7))), lambda: f"{d(1)}.{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(1)}",
               lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f'"{"".join(rng.choice(list("0123456789abcdef"), 40))}"',
               lambda: f"{d(3)},{d(3)}", lambda: f"{d(4)}-{d(4)}", lambda: f"@{word()}"]
     found = []
@@ -366,14 +466,15 @@ def written_spans(seed: int = 4, n: int = 240) -> list[tuple[str, list[Span]]]:
 def trained(docs: DataFrame, rows: int = ROWS) -> Tagger:
     """A tagger from written labelled spans and at most ``rows`` documents, by a hash of doc_id.
 
-    Documents are labelled by the fixed patterns; of each, only stretches that the tagger would
+    Documents are labelled by the patterns; of each, only stretches that the tagger would
     read are brought together.
     """
-    triggers = F.col("text").rlike("[0-9@]")
+    read = F.col("text").rlike(f"[0-9@]|(?iu)[\\[(]\\s?({AT})\\s?[\\])]|\\b({DOT})\\b")
     short = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(
-        triggers & (F.length("text") < 20_000))
+        read & (F.length("text") < 20_000))
     sample = bounded_sample(short, "doc_id", "text", rows).collect()
-    return fitted(written_spans() + [(r["text"], base_spans(r["text"])) for r in sample])
+    return fitted(written_spans() + [
+        (r["text"], base_spans(r["text"]) + spelled_spans(r["text"])) for r in sample])
 
 
 def digest(spans: list[Span]) -> str:

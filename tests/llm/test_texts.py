@@ -231,6 +231,39 @@ def test_tagger_finds_unseen_spans(tagger):
     assert right >= 0.9 * len(unseen) and wrong <= 0.1 * len(unseen)
 
 
+SPELLED = [
+    ("you can write to anna at example dot org for help", "anna at example dot org"),
+    ("the post is open, mail miller (at) firma (dot) de for help", "miller (at) firma (dot) de"),
+    ("the post is open, mail john[at]host.com for help", "john[at]host.com"),
+    ("her number is five five five one two three four five six seven", "five five five one two three four five six seven"),
+]
+
+
+@pytest.mark.parametrize("text, span", SPELLED)
+def test_spelled_forms_are_found(tagger, text, span):
+    _, found = pii_spans.all_spans([text], tagger)[0]
+    assert [text[a:b] for a, b, _ in found] == [span]
+    assert span not in pii_spans.redact(text, found)
+
+
+@pytest.mark.parametrize("text", ["we met at noon. It is red.", "one of two and three more", "", "at"])
+def test_plain_text_has_no_runs(text):
+    assert pii_spans.runs(text) == [] == pii_spans.spelled_spans(text)
+
+
+def test_spelled_runs_are_read_once():
+    began = time.process_time()
+    for part in ("at ", "one ", "(at", "at x.y ", "dot at ", "one one one x "):
+        pii_spans.runs(part * 100_000)
+        pii_spans.spelled_spans(part * 100_000)
+    assert time.process_time() - began < 30
+
+
+def test_spans_end_with_words():
+    assert pii_spans.whole_words("ab cdef. x", 4, 8) == (3, 7)
+    assert pii_spans.whole_words("x" * 100, 40, 60) == (40, 60)
+
+
 def test_gradients(tagger):
     import numpy as np
 
