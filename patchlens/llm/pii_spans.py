@@ -6,7 +6,9 @@ read in overlapping windows around what personal data can't do without: a digit,
 ``@`` with one for a dot after it, or four number words in a row. Common spelled-out forms ('name
 at host dot org', seven number words or more) are added by patterns of their own. Scores of a character from several windows are averaged,
 by its distance from the window's ends, and each run of joined windows is then decoded as a
-whole, so windows can't disagree. Added spans overlap neither each other nor those of patterns.
+whole, so windows can't disagree. Added spans
+don't overlap each other; of one that overlaps a pattern's, what touches that without a space is
+kept (a local part whose first letters aren't ASCII), and what is personal data by itself.
 
 Defined results: a null text is an empty one; offsets are code points, the end is exclusive;
 equal spans of one kind occur once; repeated rows give equal rows; no documents give no rows;
@@ -325,7 +327,7 @@ def spelled_spans(text: str) -> list[Span]:
         return []
     found = [(*m.span(), "email") for m in _ADDRESS.finditer(text)]
     found += [(*m.span(), "phone") for m in _DIALLED.finditer(text)
-              if sum(c.isalpha() for c in m[0]) > 2 * len(_TRIGGER.findall(m[0]))]
+              if len(set(m[0].lower().split())) > 2 and sum(c.isalpha() for c in m[0]) > 2 * len(_TRIGGER.findall(m[0]))]
     return sorted(found)
 
 
@@ -400,8 +402,26 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     return out
 
 
-def _free(added: list[Span], taken: list[Span]) -> list[Span]:
-    return [s for s in added if all(s[1] <= b[0] or s[0] >= b[1] for b in taken)]
+def _beyond(text: str, added: list[Span], taken: list[Span]) -> list[Span]:
+    """What added spans hold beside the taken ones; words that only stand next to those are left."""
+    found = []
+    for start, end, kind in added:
+        over = [t for t in taken if t[0] < end and start < t[1]]
+        if not over:
+            found.append((start, end, kind))
+            continue
+        a, b = min(t[0] for t in over), max(t[1] for t in over)
+        left, right = text[start:a], text[b:end]
+        before = re.search(r"\S*\Z", left)[0] if left else ""
+        after = re.match(r"\S*", right)[0]
+        if any(c.isalnum() for c in before + after):
+            found.append((a - len(before), b + len(after), kind))
+        for at, part in ((start, left[: len(left) - len(before)]), (b + len(after), right[len(after):])):
+            own = part.strip()
+            at += len(part) - len(part.lstrip())
+            if len(own) >= 7 and _EVIDENT.search(own):
+                found.append((at, at + len(own), kind))
+    return found
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
@@ -410,8 +430,8 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span],
     out = []
     for text, added in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
-        spelled = _free(spelled_spans(text), base)
-        free = spelled + _free(added, base + spelled)
+        spelled = _beyond(text, spelled_spans(text), base)
+        free = spelled + _beyond(text, added, base + spelled)
         out.append((base, sorted(base + free, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
@@ -438,11 +458,18 @@ def written_spans(seed: int = 4, n: int = 1200) -> list[tuple[str, list[Span]]]:
         return " ".join(names[i] for i in rng.integers(0, 10, int(rng.integers(least, most))))
 
     signs = {
-        "email": lambda: f"{word()}{rng.choice(['.', '_', '', '-'])}{d(2)}@{word()}.{rng.choice(['com', 'org', 'example.net'])}",
+        "email": lambda: f"{local()}{rng.choice(['.', '_', '', '-'])}{d(2)}@{word()}.{rng.choice(['com', 'org', 'example.net'])}",
         "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": lambda: rng.choice([" ", "-"]).join(d(4) for _ in range(4)),
         "phone": lambda: rng.choice(["", "+1 ", "+49 "]) + f"({d(3)}) {d(3)}-{d(4)}",
     }
+    def local() -> str:
+        own = word()
+        if rng.random() < 0.4:  # a letter that the patterns don't take
+            at = int(rng.integers(len(own)))
+            own = own[:at] + str(rng.choice(list("äöüßéèêñçíó"))) + own[at + 1:]
+        return own
+
     forms = signs | {
         "email": lambda: spelled() if rng.random() < 0.6 else signs["email"](),
         "phone": lambda: in_words(7, 12) if rng.random() < 0.5 else signs["phone"]()}
