@@ -105,11 +105,13 @@ def line_findings(patches: DataFrame) -> DataFrame:
 def review_stream(patches: DataFrame, out: str) -> StreamingQuery:
     """The full review per micro-batch; a patch never spans batches.
 
-    Each batch writes its own folder with overwrite, so a repeated batch adds nothing.
+    Each batch writes its own folder with overwrite, so a repeated batch adds nothing. Patches
+    that can't be reviewed go to ``rejected`` beside ``findings``, with their reason.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        good, _ = split_patches(batch)
+        good, bad = split_patches(batch)
+        bad.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
         lines = lines_of_patches(good).persist()
         try:
             found = review(lines)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from patchlens.operators.findings import findings_of
 from patchlens.operators.line_rules import line_hits
 from patchlens.plans.review import review
-from patchlens.sources.lines import lines_of_patches
+from patchlens.sources.lines import lines_of_patches, split_patches
 from patchlens.streaming import streams as ST
 
 PATCH = "--- a/{0}.go\n+++ b/{0}.go\n@@ -0,0 +1,2 @@\n+t := time.Tick(d)\n+f := os.Open(p)\n"
@@ -37,6 +37,19 @@ def test_review_stream_equals_batch(spark, tmp_path):
     assert places(got) == places(review(lines_of_patches(df)))
 
 
+def test_review_stream_keeps_rejected_patches(spark, tmp_path):
+    rows = [("empty", ""), ("none", None), ("hunk", "--- a/x.go\n+++ b/x.go\n@@ -x +1 @@\n+a := 1\n"),
+            ("deleted", "--- a/x.go\n+++ b/x.go\n@@ -1 +0,0 @@\n-a := 1\n"),
+            ("good", "--- a/x.go\n+++ b/x.go\n@@ -0,0 +1 @@\n+a := 1\n")]
+    df = spark.createDataFrame(rows, "task_id string, diff_text string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    ST.review_stream(stream, str(tmp_path / "out"))
+    got = {r.task_id: r.reason for r in spark.read.parquet(str(tmp_path / "out" / "rejected")).collect()}
+    want = {r.task_id: r.reason for r in split_patches(df)[1].collect()}
+    assert got == want and {"empty", "hunk", "deleted"} <= set(got) and "good" not in got
+
+
 def test_watchdog_over_batches(spark, tmp_path):
     rows = [
         ("slow", "running", "2024-01-01 00:00:00"), ("fast", "running", "2024-01-01 00:00:00"),
