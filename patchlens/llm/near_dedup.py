@@ -330,6 +330,11 @@ def _confirmed_blocks(lists: DataFrame, docs: DataFrame, classes: DataFrame) ->
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, component_id and kept of every row."""
+    return _with_first(docs).drop("first")
+
+
+def _with_first(docs: DataFrame) -> DataFrame:
+    """The same, and whether a row is the first of its component by doc_id, nulls last, and text_key."""
     marks = written(sketches(docs), "sketches")
     full = marks.filter("n_shingles > 0")
     # copies of a text have one class; its document is the least of them
@@ -355,13 +360,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = components(links.union(_confirmed_blocks(more, docs, classes)))
     named = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "digest", F.coalesce("root", "digest").alias("root"), F.col("doc_id").alias("own"))
-    least = named.groupBy("root").agg(F.min("own").alias("component_id"))
-    of_class = named.join(least, "root").select("digest", "component_id")
+        "digest", F.coalesce("root", "digest").alias("root"), F.col("doc_id").alias("own"),
+        F.struct(F.col("doc_id").isNull(), "doc_id", "text_key").alias("name"))
+    least = named.groupBy("root").agg(
+        F.min("own").alias("component_id"), F.min("name").alias("top"))
+    of_class = named.join(least, "root").select(
+        "digest", "component_id", F.col("top.doc_id").alias("_top"), F.col("top.text_key").alias("_top_key"))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return marks.drop("signature").join(of_class, "digest", "left").select(
         "doc_id", "text_key", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("_top")) & (F.col("text_key") == F.col("_top_key"))).alias("first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -369,10 +378,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that are repeated with equal doc_id and text one stays.
     """
-    found = written(near_duplicates(docs), "near").filter("n_shingles > 0")
+    found = written(_with_first(docs), "near").filter("n_shingles > 0")
     doc, key = fresh_name(docs, "_id"), fresh_name(docs, "_key")
     keys = written(found.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(
-        F.max("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 or not kept"),
+        F.max("first").alias("kept"), F.count("*").alias("n")).filter("n > 1 or not kept"),
         "changed")
     gone, again = keys.filter("not kept").select(doc, key), keys.filter("kept").select(doc, key)
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))

@@ -111,6 +111,14 @@ def test_deduplicated(spark, edge_docs, no_docs):
     assert near_dedup.deduplicated(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None, None), (7, 7, 7), (None, 7, 7)])
+def test_one_of_near_copies_without_an_own_id_stays(spark, ids):
+    own = words(random.Random(5), 200)
+    rows = [(i, " ".join([*own, f"end{k}"])) for k, i in enumerate(ids)] + [(9, "other words here and there now")]
+    left = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"][:5] for r in left) == sorted([rows[0][1][:5], "other"])
+
+
 def test_containment_against_brute_force(spark):
     rng = random.Random(3)
     items = [words(rng, n) for n in (2, 5, 11, 20, 40, 59)] + [[]]
