@@ -9,9 +9,12 @@ from patchlens.llm import (
     chat_format,
     decontaminate,
     feistel_shards,
+    hard_negatives,
     near_dedup,
     packing,
     page_text,
+    periodic_runs,
+    phrase_prints,
     pii_spans,
     quality_rules,
     token_codes,
@@ -123,3 +126,24 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in pii_spans.KINDS),
         F.sha2(named("base").cast("binary"), 256).alias("base_sha256"),
         named("spans").alias("spans"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best rows of other labels just below each anchor's positives, by spanning-tree bounds."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantized(rows.withColumn("label", moved))
+    return hard_negatives.mined(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lempel-Ziv phrase signatures of all documents, beside an edited text and the next one."""
+    return phrase_prints.compared(documents(spark, sf_dir))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of them rewritten to have one."""
+    return periodic_runs.periodic(documents(spark, sf_dir), periodic_runs.planted)
