@@ -91,17 +91,19 @@ def findings_of(
     )
 
 
+def has_nolint(content: Column) -> Column:
+    return content.contains("nolint") & content.rlike(r"//\s*nolint(?::|\s|\z)")
+
+
 def drop_nolint(hits: DataFrame, lines: DataFrame) -> DataFrame:
     """Without hits on added lines that carry a ``//nolint`` mark (single-file rules only)."""
-    marked = (
-        lines.filter(
-            (F.col("line_type") == "added")
-            & F.col("content").contains("nolint")
-            & F.col("content").rlike(r"//\s*nolint(?::|\s|\z)")
-        )
-        .select(*FILE_KEY, F.col("new_line").alias("marked_line"))
-        .distinct()
-    )
+    marked = lines.filter((F.col("line_type") == "added") & has_nolint(F.col("content")))
+    return drop_marked(hits, marked.select(*FILE_KEY, F.col("new_line").alias("line")))
+
+
+def drop_marked(hits: DataFrame, marked: DataFrame) -> DataFrame:
+    """The same for marked lines given by file and ``line``."""
+    marked = marked.select(*FILE_KEY, F.col("line").alias("marked_line")).distinct()
     multi = [k for k, c in CHECKS.items() if c.rule_id in MULTI_FILE_RULES]
     asked = F.when(~F.col("check").isin(multi), F.col("line"))
     return hits.withColumn("marked_line", asked).join(

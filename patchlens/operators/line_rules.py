@@ -374,7 +374,7 @@ def line_hits(
     gates = [r.gate(x) for r in chosen]
     source = source.filter(any_of(gates))
     if type_facts is not None:
-        source = _with_types(source, type_facts)
+        source = with_types(source, type_facts)
     staged = source
     if any(r.uses_facts for r in chosen):
         need = any_of(g for g, r in zip(gates, chosen) if r.uses_facts)
@@ -395,7 +395,7 @@ def line_hits(
     )
 
 
-def _with_types(source: DataFrame, type_facts: DataFrame) -> DataFrame:
+def with_types(source: DataFrame, type_facts: DataFrame) -> DataFrame:
     known = type_facts.groupBy("task_id", "file", "line").agg(
         F.map_from_entries(F.collect_set(F.struct("idx", "is_error"))).alias("known")
     )

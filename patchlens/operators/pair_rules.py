@@ -1,9 +1,10 @@
 """Rules that compare lines with other lines of the same hunk, file or task.
 
-None of them gathers a file or a task in one place: sites (lines that open something)
-are few, and what clears them is reduced to distinct keys or per-group maxima, with
-partial aggregation before the shuffle. A very large file or task only means many
-distinct keys, which spread over the cluster.
+Each has two halves: emitters, which turn single lines into narrow events (``events``), and a
+function of events to hits. None gathers a file or a task in one place: sites (lines that open
+something) are few, and what clears them is reduced to distinct keys or per-group maxima, with
+partial aggregation before the shuffle. A very large file or task only means many distinct
+keys, which spread over the cluster.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from ..functions.text import (
     trimmed,
 )
 from ..sources.lines import FILE_KEY, reviewable
-from .line_rules import cancel_name
+from .events import Emitter, Events, event, events_each, events_where, is_added
+from .line_rules import Line, cancel_name
 
 CHUNK = 4096
 # Longest name compared by equality when any ending of a longer name may match.
@@ -37,17 +39,18 @@ SUFFIX_KEY = 64
 
 
 def _hits(df: DataFrame, check: Column | str, detail: Column | None = None) -> DataFrame:
+    """Hits of events, or of rows with their columns."""
     return df.select(
         *FILE_KEY,
-        F.col("new_line").alias("line"),
+        "line",
         (F.lit(check) if isinstance(check, str) else check).alias("check"),
         (F.lit("") if detail is None else detail).alias("detail"),
-        F.col("content").alias("evidence"),
+        "evidence",
     )
 
 
-def _is_added() -> Column:
-    return F.col("line_type") == "added"
+def _go(x: Line) -> Column:
+    return P.is_go(x.path)
 
 
 # Openers and closers --------------------------------------------------------------
@@ -56,16 +59,20 @@ def _is_added() -> Column:
 @dataclass(frozen=True)
 class PairRule:
     """``site`` is the key a line opens (null when it opens nothing); ``closers`` are the
-    keys it clears. With ``suffix`` a closer also clears every ending of its key."""
+    keys it clears. With ``suffix`` a closer also clears every ending of its key. Only lines
+    with one of the hints are looked at; ``by_call`` closers are names of calls."""
 
     id: str
     check: str
     site: Callable[[Column], Column]
     closers: Callable[[Column], Column]
+    site_hints: tuple[str, ...]
+    close_hints: tuple[str, ...]
     go_only: bool = True
     all_lines_close: bool = False
     suffix: bool = False
-    detail: Callable[[Column], Column] | None = None
+    by_call: bool = False
+    named: bool = False
 
 
 # Calls that open a resource and the call that closes it.
@@ -107,14 +114,10 @@ def _closed_names(c: Column) -> Column:
 
 
 def _returned_names(c: Column) -> Column:
+    """Names a line hands to its caller."""
     tail = F.regexp_extract(c, WORD_START + "return" + WORD_END + r"([^\n]*)", 1)
     names = F.regexp_extract_all(tail, F.lit(r"[A-Za-z0-9_]++(?!\.)"), F.lit(0))
-
-    def returned_as(call):
-        return F.transform(names, lambda n: F.concat(n, F.lit(call)))
-
-    full = [returned_as(call) for call in CLOSE_CALLS]
-    return F.when(c.contains("return"), F.concat(*full)).otherwise(_nothing())
+    return F.when(c.contains("return"), names).otherwise(_nothing())
 
 
 def _called_names(c: Column) -> Column:
@@ -147,7 +150,7 @@ def _file_closer(found: Column) -> Column:
 PAIR_RULES = [
     PairRule(
         "RES-AST-001", "resource_open", _open_site, _closed_names,
-        all_lines_close=True, suffix=True, detail=lambda key: key,
+        tuple(OPEN_CALLS), ("Close()",), all_lines_close=True, suffix=True, named=True,
     ),
     PairRule(
         "DB-AST-001", "transaction_open",
@@ -156,15 +159,14 @@ PAIR_RULES = [
             & ~F.ltrim(c, F.lit(WHITE_SPACE)).startswith("//")
         ),
         lambda c: _file_closer(contains_any(c, [".Commit(", ".Rollback("])),
-        go_only=False,
+        (".Begin(", ".BeginTx("), (".Commit(", ".Rollback("), go_only=False,
     ),
     PairRule(
         "CTX-AST-001", "cancel_unused",
         lambda c: F.when(
             c.contains("context.With") & ~is_comment(c) & (cancel_name(c) != "_"), cancel_name(c)
         ),
-        _called_names,
-        detail=lambda key: key,
+        _called_names, ("context.With",), ("(",), by_call=True, named=True,
     ),
     PairRule(
         "CON-AST-001", "mutex_pair",
@@ -173,7 +175,7 @@ PAIR_RULES = [
             c.contains(".Unlock()"),
             F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_.\[\]\*]+)\.Unlock\(\)"), F.lit(1)),
         ).otherwise(_nothing()),
-        suffix=True, detail=lambda key: key,
+        (".Lock()",), (".Unlock()",), suffix=True, named=True,
     ),
     PairRule(
         "RES-AST-002", "timer_leak",
@@ -182,7 +184,7 @@ PAIR_RULES = [
             c.contains(".Stop()"),
             F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_]+)\.Stop\(\)"), F.lit(1)),
         ).otherwise(_nothing()),
-        detail=lambda key: key,
+        ("time.New",), (".Stop()",), named=True,
     ),
     PairRule(
         "DB-AST-002", "rows_err",
@@ -190,89 +192,107 @@ PAIR_RULES = [
             c.contains(".Query") & ~is_comment(c) & c.rlike(ROWS_QUERY)
         ),
         lambda c: _file_closer(c.contains("rows.Err()")),
+        (".Query",), ("rows.Err()",),
     ),
 ]
-# Handing a resource to the caller clears it by its whole name only.
-_RETURNED = PairRule("RES-AST-001", "resource_open", _open_site, _returned_names, all_lines_close=True)
 
 
-def pair_hits(
-    lines: DataFrame, only: set[str] | None = None, type_facts: DataFrame | None = None
-) -> DataFrame:
-    """Sites without a closer in the same file: one scan per side, one anti join for all rules.
-
+def _gate(rule: PairRule, hints: tuple[str, ...], added_only: bool) -> Callable[[Line], Column]:
+    def gate(x: Line) -> Column:
+        where = contains_any(x.content, hints) & ~is_blank(x.content)
+        where = _go(x) & where if rule.go_only else where
+        return is_added() & where if added_only else where
+
+    return gate
+
+
+def pair_emitters(rules: list[PairRule]) -> list[Emitter]:
+    """Sites, closers and, where resources are followed, names that are returned."""
+    found = []
+    for r in rules:
+        found.append(Emitter(
+            r.id, "site", _gate(r, r.site_hints, True),
+            lambda x, r=r: events_each(
+                F.array(r.site(x.content)),
+                lambda key: event("site", r.check, key, evidence=x.content))))
+        kind = "call" if r.by_call else "close"
+        found.append(Emitter(
+            r.id, kind, _gate(r, r.close_hints, not r.all_lines_close),
+            lambda x, r=r, kind=kind: events_each(
+                r.closers(x.content), lambda key: event(kind, r.check, key))))
+        if r.check == "resource_open":
+            found.append(Emitter(
+                r.id, "returned", _gate(r, ("return",), not r.all_lines_close),
+                lambda x, r=r: events_each(
+                    F.array_distinct(_returned_names(x.content)),
+                    lambda key: event("returned", r.check, key))))
+    return found
+
+
+def pairs_of(events: Events, calls: DataFrame | None = None,
+             type_facts: DataFrame | None = None) -> DataFrame:
+    """Sites without a closer in the same file: one anti join for all rules.
+
+    ``calls`` are the called names (by default all that are emitted). Closers of files without
+    a site of their check are dropped before they are grouped.
     ``type_facts(task_id, file, line, idx, implements_closer)`` clears resources whose first
     value is known not to be closable.
     """
-    chosen = [r for r in PAIR_RULES if only is None or r.id in only]
-    text, go = F.col("content"), P.is_go(F.col("new_path"))
-    used = reviewable(lines).filter(~is_blank(text))
-
-    def gate(rule):
-        return go if rule.go_only else F.lit(True)
-
-    sites = used.filter(_is_added()).select(
-        *FILE_KEY, "new_line", "content",
-        F.inline_outer(
-            F.array(
-                *[
-                    record(check=rule.check, key=F.when(gate(rule), rule.site(text)))
-                    for rule in chosen
-                ]
-            )
-        ),
-    ).filter(F.col("key").isNotNull())
-    sites = sites.withColumn("tail", F.right(F.col("key"), F.lit(SUFFIX_KEY)))
-
-    def endings(key):
-        top = F.least(F.length(key), F.lit(SUFFIX_KEY))
-        return F.transform(
-            F.sequence(F.lit(0), top),
-            lambda n: record(
-                tail=F.right(key, n),
-                whole=F.when((n == SUFFIX_KEY) & (F.length(key) > SUFFIX_KEY), key),
-            ),
-        )
-
-    def cleared(rule):
-        where = gate(rule) if rule.all_lines_close else gate(rule) & _is_added()
-        keys = F.when(where, rule.closers(text)).otherwise(_nothing())
-
-        def whole(key):
-            long = F.length(key) > SUFFIX_KEY
-            return record(tail=F.right(key, F.lit(SUFFIX_KEY)), whole=F.when(long, key))
-
-        tails = F.flatten(F.transform(keys, endings)) if rule.suffix else F.transform(keys, whole)
-        return F.transform(
-            tails, lambda t: record(check=F.lit(rule.check), tail=t["tail"], whole=t["whole"])
-        )
+    sites = events.of("site").select(*FILE_KEY, "line", "check", "key", "evidence").withColumn(
+        "tail", F.right(F.col("key"), F.lit(SUFFIX_KEY)))
+    asked = FILE_KEY + ["check"]
+    open_files = sites.select(*asked).distinct()
+    closing = events.of("close").select(*asked, "key")
+    # handing a resource to the caller clears it by its whole name only
+    returned = events.of("returned").select(*asked, "key").distinct().join(
+        open_files, asked, "left_semi").select(*asked, F.explode(F.array(*[
+            F.concat(F.col("key"), F.lit(call)) for call in CLOSE_CALLS])).alias("key"))
+    calls = events.of("call") if calls is None else calls
+    key, by_ending = F.col("key"), F.col("check").isin(
+        [r.check for r in PAIR_RULES if r.suffix])
+    long = F.when(F.length(key) > SUFFIX_KEY, key)
+    whole = F.array(record(tail=F.right(key, F.lit(SUFFIX_KEY)), whole=long))
+    endings = F.transform(
+        F.sequence(F.lit(0), F.least(F.length(key), F.lit(SUFFIX_KEY))),
+        lambda n: record(tail=F.right(key, n), whole=F.when(n == SUFFIX_KEY, long)),
+    )
 
-    closing = chosen + [_RETURNED] if any(r.check == "resource_open" for r in chosen) else chosen
-    if not any(r.all_lines_close for r in closing):
-        used = used.filter(_is_added())
-    closers = used.select(
-        *FILE_KEY, F.inline_outer(F.concat(*[cleared(rule) for rule in closing]))
-    ).filter(F.col("check").isNotNull()).distinct()
+    def cleared(closers: DataFrame, tails: Column) -> DataFrame:
+        near = closers.distinct().join(open_files, asked, "left_semi")
+        return near.select(*asked, F.inline(tails))
 
+    closers = (
+        cleared(closing, F.when(by_ending, endings).otherwise(whole))
+        .unionByName(cleared(calls.select(*asked, "key"), whole))
+        .unionByName(returned.select(*asked, F.inline(whole)))
+        .distinct()
+    )
     s, c = sites.alias("s"), closers.alias("c")
-    same = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in FILE_KEY + ["check", "tail"]]
-    long = F.length("s.key") > SUFFIX_KEY
+    same = [F.col(f"s.{k}") == F.col(f"c.{k}") for k in asked + ["tail"]]
+    short = F.length("s.key") <= SUFFIX_KEY
     condition = same[0]
-    for extra in same[1:] + [~long | F.endswith(F.col("c.whole"), F.col("s.key"))]:
+    for extra in same[1:] + [short | F.endswith(F.col("c.whole"), F.col("s.key"))]:
         condition = condition & extra
     left = s.join(c, condition, "left_anti")
     if type_facts is not None:
         not_closable = type_facts.filter((F.col("idx") == 0) & ~F.col("implements_closer"))
         not_closable = not_closable.select(
-            "task_id", F.col("file").alias("new_path"), F.col("line").alias("new_line"),
-            F.lit("resource_open").alias("check"),
+            "task_id", F.col("file").alias("new_path"), "line", F.lit("resource_open").alias("check"),
         ).distinct()
-        left = left.join(not_closable, ["task_id", "new_path", "new_line", "check"], "left_anti")
-    named = {r.check for r in chosen if r.detail}
-    detail = F.when(F.col("check").isin(sorted(named)), F.col("key")).otherwise("")
+        left = left.join(not_closable, ["task_id", "new_path", "line", "check"], "left_anti")
+    named = sorted(r.check for r in PAIR_RULES if r.named)
+    detail = F.when(F.col("check").isin(named), F.col("key")).otherwise("")
     return _hits(left, F.col("check"), detail)
 
 
+def pair_hits(
+    lines: DataFrame, only: set[str] | None = None, type_facts: DataFrame | None = None
+) -> DataFrame:
+    """Sites of the chosen rules without a closer in the same file."""
+    chosen = [r for r in PAIR_RULES if only is None or r.id in only]
+    return pairs_of(Events(lines, pair_emitters(chosen)), type_facts=type_facts)
+
+
 # Hunk level -----------------------------------------------------------------------
 
 EXIT_NAMES = ["ctx", "cancel", "done", "stop", "quit", "errgroup"]
@@ -280,69 +300,96 @@ GO_CALL = r"^\s*go\s+[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+\s*\("
 HUNK_KEY = FILE_KEY + ["hunk_seq"]
 
 
-def goroutine_hits(lines: DataFrame) -> DataFrame:
-    """Goroutines in a hunk without any sign of a way to stop them."""
-    text = F.col("content")
-    used = reviewable(lines).filter(P.is_go(F.col("new_path")))
-    sites = (
-        used.filter(_is_added() & text.rlike(WORD_START + "go" + WORD_END))
-        .filter(K.has_kind(K.facts(text), "go"))
-        .select(*HUNK_KEY, "pos", "new_line", "content")
-    )
-    facts = F.col("facts")
+def _go_site(x: Line) -> Column:
+    check = F.when(x.content.rlike(GO_CALL), "goroutine_qualified").otherwise("goroutine_leak")
+    closure = trimmed(x.content).rlike("^(?:go )?func")
+    return events_where(
+        K.has_kind(x.facts, "go"), event("go", check, flag=closure, evidence=x.content))
+
+
+def _flow(x: Line) -> Column:
+    """Signs that a goroutine of the hunk can end, and loops, which make a closure last."""
     stops = (
-        K.has_kind(facts, "select")
-        | K.has_kind(facts, "defer")
+        K.has_kind(x.facts, "select")
+        | K.has_kind(x.facts, "defer")
         | F.exists(
-            facts, lambda f: (f["kind"] == "identifier") & F.lower(f["value"]).isin(EXIT_NAMES)
+            x.facts, lambda f: (f["kind"] == "identifier") & F.lower(f["value"]).isin(EXIT_NAMES)
         )
     )
-    hint = "(?i)" + "|".join(EXIT_NAMES + ["select", "defer", "for"])
-    hunks = (
-        used.filter(text.rlike(hint))
-        .select(*HUNK_KEY, "pos", K.facts(text).alias("facts"))
-        .select(*HUNK_KEY, stops.alias("stops"), F.when(K.has_kind(facts, "for"), F.col("pos")).alias("loop"))
-        .filter(F.col("stops") | F.col("loop").isNotNull())
-        .groupBy(*HUNK_KEY)
-        .agg(F.max("stops").alias("stops"), F.max("loop").alias("last_loop"))
-    )
-    closure = trimmed(text).rlike("^(?:go )?func")
-    one_shot = closure & ~F.coalesce(F.col("last_loop") > F.col("pos"), F.lit(False))
+    loop = K.has_kind(x.facts, "for")
+    return events_where(stops | loop, event("flow", F.when(loop, "loop"), flag=stops))
+
+
+_FLOW_HINT = "(?i)" + "|".join(EXIT_NAMES + ["select", "defer", "for"])
+GOROUTINE_EMITTERS = [
+    Emitter(
+        "GOR-AST-001", "go",
+        lambda x: _go(x) & is_added() & x.content.rlike(WORD_START + "go" + WORD_END),
+        _go_site, uses_facts=True),
+    Emitter("GOR-AST-001", "flow", lambda x: _go(x) & x.content.rlike(_FLOW_HINT), _flow,
+            uses_facts=True),
+]
+
+
+def goroutines_of(events: Events) -> DataFrame:
+    """Goroutines in a hunk without any sign of a way to stop them."""
+    sites = events.of("go").select(*HUNK_KEY, "pos", "line", "check", "evidence",
+                                   F.col("flag").alias("closure"))
+    hunks = events.of("flow").groupBy(*HUNK_KEY).agg(
+        F.max("flag").alias("stops"),
+        F.max(F.when(F.col("check") == "loop", F.col("pos"))).alias("last_loop"))
+    one_shot = F.col("closure") & ~F.coalesce(F.col("last_loop") > F.col("pos"), F.lit(False))
     left = sites.join(hunks, HUNK_KEY, "left").filter(
         ~F.coalesce("stops", F.lit(False)) & ~one_shot
     )
-    check = F.when(text.rlike(GO_CALL), "goroutine_qualified").otherwise("goroutine_leak")
-    return _hits(left, check)
+    return _hits(left, F.col("check"))
 
 
-def swallowed_error_hits(lines: DataFrame) -> DataFrame:
+def goroutine_hits(lines: DataFrame) -> DataFrame:
+    return goroutines_of(Events(lines, GOROUTINE_EMITTERS))
+
+
+SWALLOWED_EMITTERS = [
+    Emitter(
+        "ERR-AST-001", "guard",
+        lambda x: _go(x) & is_added() & x.content.contains("if err != nil"),
+        lambda x: F.array(event("guard", evidence=x.content))),
+    Emitter(
+        "ERR-AST-001", "return",
+        lambda x: _go(x) & x.content.contains("return"),
+        lambda x: events_where(
+            trimmed(x.content).startswith("return"),
+            event("return", flag=trimmed(x.content).isin("return nil", "return nil,")))),
+]
+
+
+def swallowed_errors_of(events: Events) -> DataFrame:
     """``if err != nil`` whose next return within four lines is ``return nil``.
 
     Sites ask for the four following positions by key, so no hunk is ordered as a whole.
     Only the first hit of a hunk is kept.
     """
-    text = F.col("content")
-    used = reviewable(lines).filter(P.is_go(F.col("new_path")))
-    sites = used.filter(_is_added() & text.contains("if err != nil")).select(
-        *HUNK_KEY, F.col("pos").alias("site"), "new_line", "content",
+    sites = events.of("guard").select(
+        *HUNK_KEY, F.col("pos").alias("site"), "line", "evidence",
         F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + 4)).alias("pos"),
     )
-    returns = used.filter(text.contains("return")).select(
-        *HUNK_KEY, "pos", trimmed(text).alias("text")
-    ).filter(F.col("text").startswith("return"))
+    returns = events.of("return").select(*HUNK_KEY, "pos", F.col("flag").alias("nothing"))
     met = sites.join(returns, HUNK_KEY + ["pos"]).groupBy(*HUNK_KEY, "site").agg(
-        F.min(F.struct("pos", "text", "new_line", "content")).alias("next")
+        F.min(F.struct("pos", "nothing", "line", "evidence")).alias("next")
     )
     first = (
-        met.filter(F.col("next.text").isin("return nil", "return nil,"))
+        met.filter("next.nothing")
         .groupBy(*HUNK_KEY)
         .agg(F.min(F.struct("site", "next")).alias("hit"))
-        .select(*FILE_KEY, F.col("hit.next.new_line").alias("new_line"),
-                F.col("hit.next.content").alias("content"))
+        .select(*FILE_KEY, "hit.next.line", "hit.next.evidence")
     )
     return _hits(first, "error_swallowed")
 
 
+def swallowed_error_hits(lines: DataFrame) -> DataFrame:
+    return swallowed_errors_of(Events(lines, SWALLOWED_EMITTERS))
+
+
 # File order -----------------------------------------------------------------------
 
 
@@ -392,29 +439,45 @@ def takes_context(signature: Column) -> Column:
     )
 
 
-def context_root_hits(lines: DataFrame) -> DataFrame:
+def _is_function(x: Line) -> Column:
+    t = trimmed(x.content)
+    return t.startswith("func ") | t.startswith("func(")
+
+
+def _in_program(x: Line) -> Column:
+    return _go(x) & ~P.is_go_test(x.path)
+
+
+CONTEXT_EMITTERS = [
+    Emitter(
+        "CTX-AST-002", "func",
+        lambda x: _in_program(x) & (F.col("line_type") != "deleted") & x.content.contains("func"),
+        lambda x: events_where(
+            _is_function(x), event("func", flag=takes_context(trimmed(x.content))))),
+    Emitter(
+        "CTX-AST-002", "root",
+        lambda x: _in_program(x) & is_added() & x.content.contains("context."),
+        lambda x: events_where(
+            ~_is_function(x) & ~is_comment(x.content)
+            & x.content.rlike(r"context\.(?:Background|TODO)\("),
+            event("root", evidence=x.content))),
+]
+
+
+def context_roots_of(events: Events) -> DataFrame:
     """A root context inside a function that was given one."""
-    text = F.col("content")
-    t = trimmed(text)
-    func = t.startswith("func ") | t.startswith("func(")
-    asks = (
-        _is_added() & ~func & text.contains("context.") & ~is_comment(text)
-        & text.rlike(r"context\.(?:Background|TODO)\(")
-    )
-    path = F.col("new_path")
-    events = (
-        reviewable(lines)
-        .filter(P.is_go(path) & ~P.is_go_test(path) & (F.col("line_type") != "deleted"))
-        .filter(func | asks)
-        .select(
-            *FILE_KEY, "hunk_seq", "pos", "new_line", "content",
-            F.when(func, takes_context(t)).alias("in_context"), asks.alias("asks"),
-        )
-    )
-    found = last_before(events, FILE_KEY, ["hunk_seq", "pos"], "in_context", "asks")
+    both = events.of("func", "root").select(
+        *HUNK_KEY, "pos", "line", "evidence",
+        F.when(F.col("kind") == "func", F.col("flag")).alias("in_context"),
+        (F.col("kind") == "root").alias("asks"))
+    found = last_before(both, FILE_KEY, ["hunk_seq", "pos"], "in_context", "asks")
     return _hits(found.filter("in_context"), "context_root")
 
 
+def context_root_hits(lines: DataFrame) -> DataFrame:
+    return context_roots_of(Events(lines, CONTEXT_EMITTERS))
+
+
 def large_delete_hits(lines: DataFrame, threshold: int = 30) -> DataFrame:
     """Files that lose many lines, anchored at the last hunk's first added line."""
     gone = (F.col("line_type") == "deleted") & ~is_blank(F.col("content"))
@@ -426,7 +489,7 @@ def large_delete_hits(lines: DataFrame, threshold: int = 30) -> DataFrame:
             F.count_if(gone).alias("deleted"),
             F.min_by(F.when(gone, F.col("old_line")), F.when(gone, order)).alias("first"),
             F.max(
-                F.when(_is_added(), F.struct("hunk_seq", (-F.col("pos")).alias("pos"), "new_line"))
+                F.when(is_added(), F.struct("hunk_seq", (-F.col("pos")).alias("pos"), "new_line"))
             ).alias("anchor"),
         )
         .filter(F.col("deleted") >= threshold)
@@ -434,8 +497,8 @@ def large_delete_hits(lines: DataFrame, threshold: int = 30) -> DataFrame:
     return _hits(
         files.select(
             *FILE_KEY,
-            F.coalesce("anchor.new_line", "first").alias("new_line"),
-            F.lit("(deleted block not shown)").alias("content"),
+            F.coalesce("anchor.new_line", "first").alias("line"),
+            F.lit("(deleted block not shown)").alias("evidence"),
             "deleted",
         ),
         "large_delete",
@@ -451,61 +514,106 @@ NO_TEST_NEEDED = [
 ]
 
 
-def missing_test_hits(lines: DataFrame) -> DataFrame:
-    """Exported functions that neither their own file nor a test file of the task refers to.
+def _exported(x: Line) -> Column:
+    name = F.regexp_extract(trimmed(x.content), r"^func\s+([\p{L}_][\p{L}\p{Nd}_]*)", 1)
+    return events_each(
+        F.filter(F.array(name), lambda n: n.rlike("^[A-Z]") & ~n.isin(NO_TEST_NEEDED)),
+        lambda n: event("exported", key=n, evidence=x.content))
+
 
-    References become distinct (scope, name) keys; a scope is one file or the test files of
-    a task. Names and call endings start with a capital letter, which keeps the keys few.
+def _found(when: Column, text: Column, pattern: str) -> Column:
+    return F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(_nothing())
+
+
+def _references(x: Line) -> Column:
+    """Names a line refers to, by use: named, called, declared by a test, or work being done.
+
+    Names and call endings start with a capital letter, which keeps them few. Work has no name.
     """
-    text, path = F.col("content"), F.col("new_path")
+    text = x.content
     t = trimmed(text)
-    used = reviewable(lines).filter(P.is_go(path))
-    functions = (
-        used.filter(_is_added() & ~P.is_go_test(path) & text.contains("func "))
-        .select(
-            *FILE_KEY, "new_line", "content",
-            F.regexp_extract(t, r"^func\s+([\p{L}_][\p{L}\p{Nd}_]*)", 1).alias("name"),
-        )
-        .filter(F.col("name").rlike("^[A-Z]") & ~F.col("name").isin(NO_TEST_NEEDED))
-    )
-
     code = ~t.startswith("//")
     body = code & ~t.startswith("func ")
-
-    def found(when, pattern):
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        return F.when(when, names).otherwise(_nothing())
-
     # Capitalised words a line refers to, capitalised endings of longer names it calls, and
     # the subjects of the test functions it declares.
-    refers = found(body, WORD_START + r"([A-Z][A-Za-z0-9_]*+)")
+    refers = _found(body, text, WORD_START + r"([A-Z][A-Za-z0-9_]*+)")
     # names with other letters inside; word borders are those of ASCII words
-    accented = found(
-        body & text.rlike(r"[A-Za-z0-9_][^\x00-\x7f]"),
+    accented = _found(
+        body & text.rlike(r"[A-Za-z0-9_][^\x00-\x7f]"), text,
         WORD_START + r"([A-Z][A-Za-z0-9_]*+[^\x00-\x7f][\p{L}\p{Nd}_]*[A-Za-z0-9_])(?![A-Za-z0-9_])",
     )
     longer = F.filter(
-        found(body & text.contains("("), r"([A-Za-z0-9_]+)\("), lambda w: w.rlike(".[A-Z]")
+        _found(body & text.contains("("), text, r"([A-Za-z0-9_]+)\("), lambda w: w.rlike(".[A-Z]")
     )
     call_ends = F.flatten(
         F.transform(longer, lambda w: _endings(F.split(w, "(?=[A-Z])"), ""))
     )
     declares = code & text.contains("func Test")
-    declared = found(declares, r"func Test([A-Z][A-Za-z0-9_]*)\(")
+    declared = _found(declares, text, r"func Test([A-Z][A-Za-z0-9_]*)\(")
     grouped = F.flatten(
         F.transform(
-            found(declares, r"func Test([A-Z][A-Za-z0-9_]*_)"),
+            _found(declares, text, r"func Test([A-Z][A-Za-z0-9_]*_)"),
             lambda w: F.transform(
                 F.sequence(F.lit(1), F.size(F.split(w, "_")) - 1),
                 lambda n: index_substring(w, "_", n),
             ),
         )
     )
+    brace_only = t.isin("}", "{", "} {", "}{")
+    works = (t != "") & ~is_comment(text) & ~brace_only & ~t.contains("t.Skip")
+
+    def used(names, use):
+        return F.transform(F.array_distinct(names), lambda n: event("name", use, n))
+
+    return F.concat(
+        used(F.concat(refers, accented, grouped), "named"), used(call_ends, "called"),
+        used(declared, "declared"),
+        F.when(works, F.array(event("name", "works", F.lit("")))).otherwise(
+            F.array().cast("array<struct<kind:string,check:string,key:string,flag:boolean,evidence:string>>")),
+    )
 
-    def keyed(names, **flags):
-        given = {f: flags.get(f, False) for f in ("named", "called", "declared")}
-        return F.transform(names, lambda n: record(name=n, **given))
 
+TEST_EMITTERS = [
+    Emitter(
+        "TST-AST-001", "exported",
+        lambda x: _in_program(x) & is_added() & x.content.contains("func "), _exported),
+    Emitter("TST-AST-001", "name", _go, _references),
+]
+
+
+def wanted_names(events: Events) -> DataFrame:
+    """task_id, kind, key: the names that exported functions and cancel functions ask for.
+
+    A task with exported functions also asks for work, which has the empty name.
+    """
+    exported = events.of("exported").select("task_id", "key")
+    cancels = events.of("site").filter(F.col("check") == "cancel_unused")
+    return (
+        exported.unionByName(exported.select("task_id", F.lit("").alias("key")))
+        .withColumn("kind", F.lit("name"))
+        .unionByName(cancels.select("task_id", "key", F.lit("call").alias("kind")))
+        .distinct()
+    )
+
+
+def names_of(events: Events, wanted: DataFrame) -> DataFrame:
+    """Distinct files, uses and names among the called and referred-to ones that are wanted."""
+    return (
+        events.of("call", "name").select(*FILE_KEY, "kind", "check", "key")
+        # most words name nothing that is asked for: drop them before they are grouped
+        .join(wanted, ["task_id", "kind", "key"], "left_semi")
+        .distinct()
+    )
+
+
+def missing_tests_of(events: Events, names: DataFrame) -> DataFrame:
+    """Exported functions that neither their own file nor a test file of the task refers to.
+
+    References are distinct (scope, name) keys; a scope is one file or the test files of a task.
+    """
+    path = F.col("new_path")
+    functions = events.of("exported").select(
+        *FILE_KEY, "line", "evidence", F.col("key").alias("name"))
     # Test files serve their whole task; other files serve themselves.
     in_test = P.is_go_test(path)
     scope = [
@@ -515,22 +623,13 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
         F.when(in_test, "").otherwise(path).alias("scope_path"),
     ]
     scope_key = ["task_id", "scope", "scope_seq", "scope_path"]
-    names = F.concat(
-        keyed(F.concat(refers, accented, grouped), named=True), keyed(call_ends, called=True),
-        keyed(declared, declared=True),
-    )
-    marks = (
-        used.select(*scope, F.inline_outer(names))
-        .filter(F.col("name").isNotNull())
-        # most words name no function of the task: drop them before they are grouped
-        .join(functions.select("task_id", "name").distinct(), ["task_id", "name"], "left_semi")
-        .groupBy(*scope_key, "name")
-        .agg(*[F.max(f).alias(f) for f in ("named", "called", "declared")])
-    )
+    used = names.filter(F.col("kind") == "name").select(
+        *scope, F.col("key").alias("name"), F.col("check").alias("use"))
+    marks = used.filter(F.col("use") != "works").groupBy(*scope_key, "name").agg(
+        *[F.max(F.col("use") == use).alias(use) for use in ("named", "called", "declared")])
     # A test body counts only in a scope with code that is not skipped.
-    brace_only = t.isin("}", "{", "} {", "}{")
-    works = (t != "") & ~is_comment(text) & ~brace_only & ~t.contains("t.Skip")
-    working = used.filter(works).select(*scope).distinct().withColumn("works", F.lit(True))
+    working = used.filter(F.col("use") == "works").select(*scope_key).distinct().withColumn(
+        "works", F.lit(True))
     tested = F.col("named") | (F.col("declared") & F.col("called") & F.col("works"))
     known = (
         marks.filter(F.col("named") | (F.col("declared") & F.col("called")))
@@ -556,7 +655,20 @@ def missing_test_hits(lines: DataFrame) -> DataFrame:
     return _hits(left, "missing_test", F.col("name"))
 
 
+def missing_test_hits(lines: DataFrame) -> DataFrame:
+    events = Events(lines, TEST_EMITTERS)
+    wanted = wanted_names(events).filter(F.col("kind") == "name")
+    return missing_tests_of(events, names_of(events, wanted))
+
+
+#: All emitters; those of names are read apart, with a filter by the names that are wanted.
+EMITTERS = [
+    *pair_emitters(PAIR_RULES), *GOROUTINE_EMITTERS, *SWALLOWED_EMITTERS, *CONTEXT_EMITTERS,
+    *TEST_EMITTERS,
+]
+NAME_KINDS = ("call", "name")
+
 __all__ = [
-    "pair_hits", "goroutine_hits", "swallowed_error_hits", "context_root_hits",
+    "EMITTERS", "NAME_KINDS", "pair_hits", "goroutine_hits", "swallowed_error_hits", "context_root_hits",
     "large_delete_hits", "missing_test_hits", "last_before",
 ]

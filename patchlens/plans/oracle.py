@@ -491,8 +491,7 @@ FROM (
          CASE WHEN strlen(secret) > 8 AND contains(content, secret)
               THEN content[:strpos(content, secret) - 1] || secret[:4] || '***REDACTED***'
                    || content[strpos(content, secret) + len(secret):] ELSE content END AS shown,
-         CASE "check" WHEN 'secret_assigned' THEN 'sensitive identifier + assignment + string literal'
-              ELSE 'sensitive identifier in non-assignment context' END AS fact,
+         {check_case('fact')} AS fact,
          CASE "check" WHEN 'secret_assigned' THEN '0.90' ELSE '0.70' END AS conf
   FROM (SELECT h.*, a.value AS secret FROM hard h JOIN assigned a USING (path, line)
         UNION ALL
@@ -500,7 +499,7 @@ FROM (
                      lambda z: z <> s.name AND NOT {not_secret('z')})[1] AS secret FROM soft s)
   UNION ALL
   SELECT l.task_id, l.path, l.line, 'SEC-GEN-001', c."check", l.content,
-         CASE c."check" WHEN 'config_url' THEN 'URL with embedded credentials' ELSE 'key with unquoted value' END,
+         {check_case('fact').replace('CASE "check"', 'CASE c."check"')},
          CASE c."check" WHEN 'config_url' THEN '0.85' ELSE '0.80' END
   FROM {sub('config_credentials')} c JOIN lines l ON l.path = c.file AND l.line = c.line)""",
   more=f"{CODE},\n{ASSIGNED},\n{SECRETS}")

@@ -3,38 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.checks import Check
+from ..operators.events import Emitter, Events, event, is_added, isolated, of_line_rule
 from ..operators.findings import (
     apply_marks,
     dampen_by_role,
     deduplicate,
-    drop_nolint,
+    drop_marked,
     findings_of,
+    has_nolint,
 )
-from ..operators.line_rules import line_hits
+from ..operators.line_rules import HIT_COLUMNS, LINE_RULES, LineRule
 from ..operators.pair_rules import (
-    context_root_hits,
-    goroutine_hits,
+    EMITTERS,
+    NAME_KINDS,
+    context_roots_of,
+    goroutines_of,
     large_delete_hits,
-    missing_test_hits,
-    pair_hits,
-    swallowed_error_hits,
+    missing_tests_of,
+    names_of,
+    pairs_of,
+    swallowed_errors_of,
+    wanted_names,
 )
 from ..operators.scoring import risk_score
 from ..operators.user_rules import UserRule, user_checks, user_hits
+from .workspace import written
 
+NOLINT = Emitter(
+    "nolint", "nolint", lambda x: is_added() & x.content.contains("nolint"),
+    lambda x: F.when(has_nolint(x.content), F.array(event("nolint"))))
 
-def all_hits(
-    lines: DataFrame, user_rules: list[UserRule] | None = None, type_facts: DataFrame | None = None
-) -> DataFrame:
-    """Hits of every rule. Only sites and closers are shuffled, never the lines."""
+
+def reviewed_hits(
+    lines: DataFrame,
+    user_rules: list[UserRule] | None = None,
+    type_facts: DataFrame | None = None,
+    line_rules: list[LineRule] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Hits of every rule, and the rules that failed with the lines they failed on.
+
+    ``lines`` are read three times: once for the events of all rules, which are written as a
+    narrow table; once for the names that sites in it ask for; once for the sizes of deletions.
+    User rules add one pass. Only events are shuffled, never the lines.
+    """
+    rules = [of_line_rule(r) for r in [*LINE_RULES, *(line_rules or [])]]
+    chosen = [*rules, *EMITTERS, NOLINT]
+    table, errors = isolated(
+        lines, [e for e in chosen if e.kind not in NAME_KINDS],
+        lambda df: written(df, "events"), type_facts)
+    events = Events(lines, chosen, type_facts, table)
+    wanted = written(wanted_names(events), "wanted-names")
+    called = Events(lines, [e for e in EMITTERS if e.kind in NAME_KINDS])
+    names = written(names_of(called, wanted), "names")
     parts = [
-        line_hits(lines, type_facts=type_facts),
-        pair_hits(lines, type_facts=type_facts),
-        goroutine_hits(lines),
-        swallowed_error_hits(lines),
-        context_root_hits(lines),
-        missing_test_hits(lines),
+        events.of("hit").withColumn("detail", F.col("key")).select(*HIT_COLUMNS),
+        pairs_of(events, names.filter(F.col("kind") == "call"), type_facts),
+        goroutines_of(events),
+        swallowed_errors_of(events),
+        context_roots_of(events),
+        missing_tests_of(events, names),
         large_delete_hits(lines),
     ]
     if user_rules:
@@ -42,7 +72,12 @@ def all_hits(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return drop_nolint(out, lines)
+    return drop_marked(out, events.of("nolint")), errors
+
+
+def all_hits(lines: DataFrame, user_rules: list[UserRule] | None = None,
+             type_facts: DataFrame | None = None) -> DataFrame:
+    return reviewed_hits(lines, user_rules, type_facts)[0]
 
 
 def raw_findings(
@@ -64,13 +99,31 @@ def review(
 ) -> DataFrame:
     """Findings and warnings of all tasks: one row per file, line, category and rule.
 
-    The rules read ``lines`` several times. For a large corpus give a line table that was
-    written once (``sources.tables.write_lines``) instead of the parsing plan itself.
+    For a large corpus give a line table that was written once (``sources.tables.write_lines``)
+    instead of the parsing plan itself. A rule that fails is logged and left out on that line.
+    """
+    return reviewed(lines, marks, user_rules, type_facts, found_at)[0]
+
+
+def reviewed(
+    lines: DataFrame,
+    marks: DataFrame | None = None,
+    user_rules: list[UserRule] | None = None,
+    type_facts: DataFrame | None = None,
+    found_at: Column | None = None,
+    line_rules: list[LineRule] | None = None,
+    checks: dict[str, Check] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The findings of ``review`` and the errors of rules (``events.ERRORS``).
+
+    ``line_rules`` run beside the built-in ones and report by ``checks``.
     """
-    found = raw_findings(lines, user_rules, type_facts, found_at)
+    hits, errors = reviewed_hits(lines, user_rules, type_facts, line_rules)
+    known = user_checks(user_rules or []) | (checks or {})
+    found = dampen_by_role(findings_of(hits, found_at, known))
     if marks is not None:
         found = apply_marks(found, marks)
-    return deduplicate(found)
+    return deduplicate(found), errors
 
 
 def review_scores(lines: DataFrame, **options) -> DataFrame:
