@@ -1,4 +1,4 @@
-"""Rules written in YAML, compiled to line rules."""
+"""Rules written in YAML: rows of an index (``rule_index``), or single line rules."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_of, any_of, contains_any, ends_any, starts_any, trimmed
-from ..sources.lines import FILE_KEY
+from ..functions.text import all_of, contains_any, ends_any, starts_any, trimmed
 from .checks import Check
-from .line_rules import Line, LineRule, hit, line_hits
+from .line_rules import Line, LineRule, hit
+from .rule_index import indexed_hits
 
 # What a rule gets when it does not say.
 DEFAULT_SEVERITY, DEFAULT_CATEGORY, DEFAULT_CONFIDENCE = "medium", "security", 0.80
@@ -139,23 +139,8 @@ def compile_rule(rule: UserRule) -> LineRule:
 
 
 def user_hits(lines: DataFrame, rules: list[UserRule]) -> DataFrame:
-    """Hits of all rules in one pass; files with forbidden text are taken out by an anti join."""
-    hits = line_hits(lines, rules=[compile_rule(r) for r in rules])
-    fussy = [r for r in rules if r.exclude_file_contains]
-    if not fussy:
-        return hits
-    low = F.lower(F.col("content"))
-    barred = [
-        F.when(contains_any(low, _lowered(r.exclude_file_contains)), F.lit(r.id)) for r in fussy
-    ]
-    words = [w for r in fussy for w in _lowered(r.exclude_file_contains)]
-    files = (
-        lines.filter(any_of(low.contains(w) for w in words))
-        .select(*FILE_KEY, F.explode_outer(F.array(*barred)).alias("check"))
-        .filter(F.col("check").isNotNull())
-        .distinct()
-    )
-    return hits.join(files, FILE_KEY + ["check"], "left_anti").select(*hits.columns)
+    """Hits of all rules; the plan doesn't grow with their number."""
+    return indexed_hits(lines, rules)
 
 
 def user_checks(rules: list[UserRule]) -> dict[str, Check]:
