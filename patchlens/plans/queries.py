@@ -29,6 +29,7 @@ from ..streaming import streams as ST
 from . import corpus as C
 from .review import review
 from .review import review_scores as scored_review
+from .stored_queries import STORED
 from .workspace import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -770,7 +771,7 @@ def stream_trend(spark, sf_dir):
     out = shared_folder(spark, "trend")
     trend = ST.trend_stream(events)
     ST.run_to_table(trend, out)
-    rows = spark.read.schema(trend.schema).parquet(f"{out}/rows")
+    rows = ST.newest_table(spark, out, trend.schema)
     return rows.withColumn("avg_risk", F.round("avg_risk", 6))
 
 
@@ -843,3 +844,6 @@ def stream_watchdog(spark, sf_dir):
     ST.closing_row(events, "at").write.mode("append").parquet(folder)
     ST.run_to_files(late, out)
     return spark.read.schema(late.schema).parquet(f"{out}/rows").select("task_id", "status", "at")
+
+
+QUERIES.update(STORED)

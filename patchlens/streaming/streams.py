@@ -7,6 +7,7 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -64,14 +65,37 @@ def run_to_files(stream: DataFrame, out: str, mode: str = "append") -> Streaming
 
 
 def run_to_table(stream: DataFrame, out: str) -> StreamingQuery:
-    """Keep a small aggregate below ``out`` up to date: each batch replaces the whole table."""
+    """Keep a small aggregate below ``out`` up to date: each batch writes the whole table anew.
+
+    A batch has a folder of its own, so a reader (``newest_table``) always sees a whole table,
+    also while the next one is written or after a crash. The one before the last is kept.
+    """
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        _drop(batch.sparkSession, f"{out}/rows/batch={batch_id - 2}")
 
     return run_batches(stream, out, replace, "complete")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def newest_table(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """The last whole table that ``run_to_table`` wrote below ``out``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(f"{out}/rows")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(root) if fs.exists(root) else []
+    whole = [f.getPath() for f in found if fs.exists(path(f.getPath(), "_SUCCESS"))]
+    if not whole:
+        return spark.createDataFrame([], schema)
+    last = max(whole, key=lambda p: int(p.getName().split("=")[1]))
+    return spark.read.schema(schema).parquet(last.toString())
+
+
 def closing_row(events: DataFrame, at: str, after: str = "INTERVAL 3650 DAYS") -> DataFrame:
     """One row without content, long after all others: it moves the watermark past them."""
     last = events.agg((F.max(at) + F.expr(after)).alias(at))
@@ -98,10 +122,18 @@ def run_batches(
 
 
 def line_findings(patches: DataFrame) -> DataFrame:
-    """Findings of the line rules over a stream of patches. Needs no state at all."""
+    """Findings of the line rules over a stream of patches. Needs no state at all.
+
+    Patches that can't be reviewed give no rows here; ``rejected_patches`` has their reasons.
+    """
     return findings_of(line_hits(lines_of_patches(patches)))
 
 
+def rejected_patches(patches: DataFrame) -> DataFrame:
+    """Patches of a stream that can't be reviewed, with the reason; needs no state either."""
+    return split_patches(patches)[1]
+
+
 def review_stream(patches: DataFrame, out: str) -> StreamingQuery:
     """The full review per micro-batch; a patch never spans batches.
 
@@ -158,6 +190,125 @@ def audit_stream(commands: DataFrame, at: str = "decided_at") -> DataFrame:
     return audit_entries(decide_commands(commands), F.col(at))
 
 
+AUDIT = ("timestamp timestamp, command string, decision string, risk_level string, "
+         "rule_id string, reason string")
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def audit_log(commands: DataFrame, out: str, at: str = "decided_at") -> StreamingQuery:
+    """Append the decisions on a command stream to an audit log of JSON lines, once each.
+
+    A batch has a folder of its own, which it writes as a whole; when it is run again after a
+    crash it replaces what it had written, and adds nothing.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("timestampFormat", _MICROS).json(
+            f"{out}/entries/batch={batch_id}")
+
+    return run_batches(audit_stream(commands, at), out, work)
+
+
+def read_audit(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(AUDIT).option("timestampFormat", _MICROS).json(f"{out}/entries").select(
+        *(c.split()[0] for c in AUDIT.split(", ")))
+
+
+# Jobs -------------------------------------------------------------------------------
+
+# The states of a job in order, and which may follow which.
+JOB_STATES = ["queued", "running", "completed", "failed"]
+JOB_MOVES = {"queued": ["running"], "running": ["completed", "failed"]}
+#: An ended job is remembered this long; the same id is a new job after it.
+JOB_MEMORY = timedelta(hours=1)
+MOVE = ("task_id STRING, from_status STRING, to_status STRING, at_us BIGINT, held_ms BIGINT, "
+        "legal BOOLEAN")
+_MEMORY_US = JOB_MEMORY // timedelta(microseconds=1)
+
+
+class Lifecycle(StatefulProcessor):
+    """Follows the states of a job: each report with the state before it and its duration.
+
+    State is one status and one time per job. It goes by a timer when a job has ended long ago;
+    a job that never ends keeps its row until the watchdog's end event comes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status STRING, at_us BIGINT")
+
+    def handleInputRows(
+        self, key, rows: Iterator[pd.DataFrame], timerValues
+    ) -> Iterator[pd.DataFrame]:
+        reports = pd.concat(list(rows))
+        reports["rank"] = reports["status"].map({s: i for i, s in enumerate(JOB_STATES)})
+        reports = reports.sort_values(["at_us", "rank"], na_position="last")
+        status, since = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for to, at in zip(reports["status"], reports["at_us"].astype(int), strict=True):
+            if status not in JOB_MOVES and since is not None and at - since > _MEMORY_US:
+                status, since = None, None
+            legal = to == "queued" if status is None else to in JOB_MOVES.get(status, ())
+            held = None if since is None else (at - since) // 1000
+            out.append((key[0], status, to, at, held, legal))
+            status, since = to, at
+        self.last.update((status, since))
+        if status not in JOB_MOVES:
+            self.handle.registerTimer((since + _MEMORY_US) // 1000)
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in MOVE.split(", ")])
+        yield frame.astype({"held_ms": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            status, since = self.last.get()
+            over = (since + _MEMORY_US) // 1000 <= expiredTimerInfo.getExpiryTimeInMs()
+            if status not in JOB_MOVES and over:
+                self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Moves of jobs between states, with illegal ones marked, by event time."""
+    moves = (
+        events.withWatermark("at", late)
+        .select("task_id", "status", "at", F.unix_micros("at").alias("at_us"))
+        .groupBy("task_id")
+        .transformWithStateInPandas(
+            statefulProcessor=Lifecycle(), outputStructType=MOVE, outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+    return _moves(moves)
+
+
+def _moves(moves: DataFrame) -> DataFrame:
+    return moves.select("task_id", "from_status", "to_status",
+                        F.timestamp_micros("at_us").alias("at"), "held_ms", "legal")
+
+
+def lifecycle(events: DataFrame) -> DataFrame:
+    """The same over a finished table: the report before decides."""
+    rank = F.coalesce(*[F.when(F.col("status") == s, i) for i, s in enumerate(JOB_STATES)],
+                      F.lit(len(JOB_STATES)))
+    order = W.partitionBy("task_id").orderBy("at_us", "rank")
+    seen = events.select("task_id", "status", F.unix_micros("at").alias("at_us"),
+                         rank.alias("rank")).select(
+        "task_id", F.col("status").alias("to_status"), "at_us",
+        F.lag("status").over(order).alias("before"), F.lag("at_us").over(order).alias("since"))
+    ended = ~F.col("before").isin(*JOB_MOVES)
+    fresh = F.col("before").isNull() | (ended & (F.col("at_us") - F.col("since") > _MEMORY_US))
+    allowed = F.coalesce(
+        *[F.when(F.col("before") == s, F.col("to_status").isin(to)) for s, to in JOB_MOVES.items()],
+        F.lit(False))
+    return _moves(seen.select(
+        "task_id", F.when(~fresh, F.col("before")).alias("from_status"), "to_status", "at_us",
+        F.when(~fresh, F.floor((F.col("at_us") - F.col("since")) / 1000)).alias("held_ms"),
+        F.when(fresh, F.col("to_status") == "queued").otherwise(allowed).alias("legal")))
+
+
 # Watchdog ---------------------------------------------------------------------------
 
 WATCHDOG_OUTPUT = "task_id STRING, status STRING, at_us BIGINT"

@@ -115,8 +115,55 @@ def test_trend_counts_rows_of_all_batches(spark, tmp_path):
     stream = ST.stream_session(spark).readStream.schema(rows.schema).option(
         "maxFilesPerTrigger", 1).parquet(folder)
     ST.run_to_table(ST.trend_stream(stream), str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out" / "rows"))
+    got = ST.newest_table(spark, str(tmp_path / "out"), spark.range(0).select(
+        F.current_date().alias("day"), F.col("id").alias("tasks"), F.lit(0.5).alias("avg_risk")).schema)
     assert got.agg(F.sum("tasks")).first()[0] == 400
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "rows").glob("batch=*"))
+    assert len(kept) == 2 and kept[1] == kept[0] + 1
+
+
+def test_repeated_audit_batches_add_nothing(spark, tmp_path):
+    at = F.lit("2024-01-01 00:00:00.123456").cast("timestamp")
+    df = spark.createDataFrame([("go test ./...",), ("rm -rf /",), ("",)], "arguments string").withColumn("decided_at", at)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.coalesce(1).write.parquet(folder)
+    stream = lambda: spark.readStream.schema(df.schema).parquet(folder)
+    ST.audit_log(stream(), out)
+    for commit in (tmp_path / "out" / "checkpoint" / "commits").iterdir():
+        commit.unlink()  # as if the driver had died before the end of the batch
+    ST.audit_log(stream(), out)
+    rows = ST.read_audit(spark, out).collect()
+    assert sorted(r["decision"] for r in rows) == ["allow", "deny", "deny"]
+    assert {r["timestamp"].microsecond for r in rows} == {123456}
+
+
+def test_lifecycle_stream_equals_batch(spark, tmp_path):
+    rows = [
+        [("a", "queued", 0), ("b", "running", 0), ("c", "queued", 0)],
+        [("a", "running", 10), ("c", "running", 5), ("c", "running", 6)],
+        [("a", "completed", 30), ("c", "failed", 20), ("b", "queued", 9)],
+        [("a", "queued", 40), ("c", "queued", 20 + 7200), ("a", "completed", 50)],
+        [("c", "running", 20 + 7300)],
+    ]
+    schema = "task_id string, status string, s long"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in rows:
+        spark.createDataFrame(part, schema).select(
+            "task_id", "status", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at")
+        ).coalesce(1).write.mode("append").parquet(folder)
+        stream = ST.lifecycle_stream(ST.stream_session(spark).readStream.schema(
+            "task_id string, status string, at timestamp").parquet(folder), "1 hour")
+        ST.run_to_files(stream, out)
+    got = spark.read.schema(stream.schema).parquet(f"{out}/rows").collect()
+    want = ST.lifecycle(spark.read.parquet(folder)).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 13
+    moves = {(r.task_id, r.from_status, r.to_status): (r.legal, r.held_ms) for r in want}
+    assert moves["a", "queued", "running"] == (True, 10_000)
+    assert moves["b", None, "running"] == (False, None)
+    assert moves["c", "running", "running"] == (False, 1000)
+    assert moves["a", "completed", "queued"] == (False, 10_000)  # not forgotten yet
+    assert moves["c", None, "queued"] == (True, None)
 
 
 def test_watchdog_keeps_an_end_that_comes_first(spark, tmp_path):
