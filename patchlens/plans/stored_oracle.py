@@ -91,7 +91,7 @@ SELECT 'd' || regexp_extract(file, '/f([0-9]+)[._]', 1) AS task_id, file, line,
        severity, confidence, bucket
 FROM reviewed WHERE rule_id <> 'TST-AST-001'""", S.RAW, O.REVIEWED)
 _JOBS = """jobs AS (
-  SELECT event_id::VARCHAR AS task_id, 'queued' AS status, ts::TIMESTAMP AS at FROM events
+  SELECT event_id::VARCHAR AS task_id, 'queued' AS status, ts::TIMESTAMP AS moment FROM events
   UNION ALL SELECT event_id::VARCHAR, 'running', ts::TIMESTAMP + INTERVAL 10 SECOND FROM events WHERE event_id % 13 <> 0
   UNION ALL SELECT event_id::VARCHAR, 'running', ts::TIMESTAMP + INTERVAL 20 SECOND FROM events WHERE event_id % 17 = 0
   UNION ALL SELECT event_id::VARCHAR, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'completed' END,
@@ -99,12 +99,12 @@ _JOBS = """jobs AS (
   UNION ALL SELECT event_id::VARCHAR, 'queued', ts::TIMESTAMP + INTERVAL 120 SECOND FROM events WHERE event_id % 19 = 0
   UNION ALL SELECT event_id::VARCHAR, 'queued', ts::TIMESTAMP + INTERVAL 9000 SECOND FROM events WHERE event_id % 23 = 0),
 seen AS (
-  SELECT *, lag(status) OVER w AS before, lag(at) OVER w AS since FROM jobs WINDOW w AS (PARTITION BY task_id ORDER BY at)),
+  SELECT *, lag(status) OVER w AS before, lag(moment) OVER w AS since FROM jobs WINDOW w AS (PARTITION BY task_id ORDER BY moment)),
 judged AS (
-  SELECT *, before IS NULL OR (before IN ('completed', 'failed') AND at > since + INTERVAL 1 HOUR) AS fresh FROM seen)"""
+  SELECT *, before IS NULL OR (before IN ('completed', 'failed') AND moment > since + INTERVAL 1 HOUR) AS fresh FROM seen)"""
 _MOVES = """
-SELECT task_id, CASE WHEN NOT fresh THEN before END AS from_status, status AS to_status, at,
-       CASE WHEN NOT fresh THEN epoch_ms(at) - epoch_ms(since) END AS held_ms,
+SELECT task_id, CASE WHEN NOT fresh THEN before END AS from_status, status AS to_status, moment AS at,
+       CASE WHEN NOT fresh THEN epoch_ms(moment) - epoch_ms(since) END AS held_ms,
        CASE WHEN fresh THEN status = 'queued' WHEN before = 'queued' THEN status = 'running'
             WHEN before = 'running' THEN status IN ('completed', 'failed') ELSE false END AS legal
 FROM judged"""
