@@ -19,24 +19,20 @@ VERDICT = r"^(\d+)\.\s*(CONFIRM|DENY)" + WORD_END + r"[:\s]*([^\n]*)"
 SUGGESTION = r"^(\d+)\.\s*([^\n]+)"
 
 
-def number_candidates(findings: DataFrame, batch_size: int = 500) -> DataFrame:
-    """Findings with ``batch`` and ``ordinal``.
+def number_candidates(findings: DataFrame, batches: int = 1) -> DataFrame:
+    """Findings with ``batch`` and ``ordinal``, numbered by severity and place inside a batch.
 
-    A task larger than ``batch_size`` is spread over batches by a hash of the finding's key,
-    so no batch, and no window, grows with the size of a task.
+    The caller says into how many batches each task's findings are dealt, by a hash of the
+    finding's key: with one, the order of the whole task. So numbers don't depend on how many
+    findings a task has, and a batch, its window and its prompt shrink as batches are added.
     """
-    sizes = findings.groupBy("task_id").agg(F.count("*").alias("__n"))
     key = F.concat_ws(":", "file", "line", "category", "rule_id")
     digest = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    batches = F.ceil(F.col("__n") / batch_size)
     w = W.partitionBy(*BATCH_KEY).orderBy(
         severity_rank(F.col("severity")).desc(), "file", "line", "rule_id", "category"
     )
-    return (
-        findings.join(sizes, "task_id")
-        .withColumn("batch", F.pmod(digest, batches).cast("bigint"))
-        .withColumn("ordinal", F.row_number().over(w))
-        .drop("__n")
+    return findings.withColumn("batch", F.pmod(digest, F.lit(batches)).cast("bigint")).withColumn(
+        "ordinal", F.row_number().over(w)
     )
 
 

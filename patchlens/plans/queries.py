@@ -363,9 +363,13 @@ def _advice_line(n, i, key):
     return F.concat(n.cast("string"), F.lit(". advice "), ((key + i) % 9).cast("string"))
 
 
+CANDIDATE_BATCHES = 16
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = FD.deduplicate(C.order_findings(spark, sf_dir), F.col("seq"))
-    return V.number_candidates(found.withColumn("recommendation", F.lit("none")))
+    return V.number_candidates(
+        found.withColumn("recommendation", F.lit("none")), CANDIDATE_BATCHES)
 
 
 @query

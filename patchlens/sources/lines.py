@@ -195,8 +195,8 @@ def _normal_text(text: Column) -> Column:
 
 
 def _has_bad_hunk(text: Column) -> Column:
-    headers = F.filter(F.split(_normal_text(text), "\n"), lambda x: x.startswith("@@ "))
-    return F.exists(headers, lambda x: ~x.rlike(HUNK_HEADER))
+    """A line that begins like a hunk header and isn't one; a search, nothing is split."""
+    return text.contains("@@ ") & text.rlike(r"(?:\A|\n)(?=@@ )(?!" + HUNK_HEADER[1:] + ")")
 
 
 def patch_problem(text: Column) -> Column:

@@ -95,9 +95,18 @@ def test_review_is_independent_of_partitioning(file_lines):
     assert a == b and len(a) == 18
 
 
+def test_numbers_do_not_depend_on_the_size_of_a_task(spark):
+    rows = [row(f"f{i:03}", task="big") for i in range(600)]
+    one = {r.file: r.ordinal for r in V.number_candidates(table(spark, rows)).collect()}
+    assert one == {f"f{i:03}": i + 1 for i in range(600)}
+    less = {r.file: r.batch for r in V.number_candidates(table(spark, rows[:400]), 7).collect()}
+    more = {r.file: r.batch for r in V.number_candidates(table(spark, rows), 7).collect()}
+    assert all(more[f] == b for f, b in less.items())
+
+
 def test_numbering_splits_large_tasks(spark):
     df = table(spark, [row(f"f{i}", task="big") for i in range(300)] + [row("g", task="small")])
-    out = V.number_candidates(df, batch_size=20)
+    out = V.number_candidates(df, 15)
     sizes = out.groupBy("task_id", "batch").agg(F.count("*").alias("n"), F.max("ordinal").alias("top"))
     rows = sizes.collect()
     assert all(r.n == r.top for r in rows)
