@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import numbered, slices, written
-from patchlens.llm.piece_cache import shared_cache
+from patchlens.llm.piece_cache import SLICE_CHARS, shared_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 Run = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = shared_cache(tokenizer, keeps_space)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, keep_caches=True):
+        for batch in slices(batches, chars=SLICE_CHARS, keep_caches=True):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(),
                                 cache.encode(batch.column("text").to_pylist()), strict=True):

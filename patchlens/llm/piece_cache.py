@@ -10,22 +10,29 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections import ChainMap
 from collections.abc import Iterable
+from itertools import filterfalse
 
 import numpy as np
 
 from patchlens.llm.common import CACHES
 
-#: Stretches kept by each Python worker, of either kind, in two generations.
-CACHE_SIZE = 400_000
+#: Bytes of stretches and ids kept by each Python worker, of either kind and generation: four
+#: times as much at most.
+CACHE_BYTES = 64_000_000
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
 #: Longer stretches aren't kept.
 CACHE_CHARS = 40
 #: White space that some versions of Unicode count and others don't.
 _BORDER = "\u180e"
 _CUT = re.compile(rf"(?<=[^\s{_BORDER}])(?= [^\s{_BORDER}])")
 #: Latin letters, digits, signs but the apostrophe, which begins endings of its own.
-_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Without the dotted capital I, whose lower case ends in a combining dot.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _SIGN = r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"(?!\n|[^\n]*\n\Z)(?:[{_LETTER}0-9{_SIGN}]|\n(?!\n))+")
 _CORE = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_SIGN}]+|\n")
@@ -35,20 +42,31 @@ _SPACED = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n")
 _BARE = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_SIGN}]+")
 
 
+#: Machine integers are what is stored; packing them is then cheaper by ``array``.
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class Generations:
     """A bounded cache: when full, what wasn't asked for since the last time is forgotten."""
 
-    def __init__(self, size: int) -> None:
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, limit: int) -> None:
+        self.limit, self.bytes, self.young, self.old = limit, 0, {}, {}
 
-    def lacks(self, keys: set[str]) -> list[str]:
+    def lacks(self, groups: Iterable[Iterable[str]]) -> list[str]:
         """The keys that aren't known; the others are in ``young`` from now on."""
-        if len(self.young) > self.size:
-            self.young, self.old = {}, self.young
-        away = keys.difference(self.young)
-        self.young.update((k, self.old[k]) for k in away if k in self.old)
+        if self.bytes > self.limit:
+            self.young, self.old, self.bytes = {}, self.young, 0
+        known, away = self.young.__contains__, set()
+        for keys in groups:
+            away.update(filterfalse(known, keys))
+        self.keep({k: self.old[k] for k in away if k in self.old})
         return [k for k in away if k not in self.old]
 
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.bytes += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(
+            map(len, found.values()))
+
 
 def tokenizer_path(name: str) -> str:
     """The installed file of a public vocabulary."""
@@ -63,16 +81,18 @@ class PieceCache:
     ``keeps_space``: the vocabulary sees the space before a word (byte-level) or drops it.
     """
 
-    def __init__(self, path: str, keeps_space: bool, size: int = CACHE_SIZE) -> None:
+    def __init__(self, path: str, keeps_space: bool, limit: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        self.known, self.cores = Generations(size), Generations(size)
+        self.known, self.cores = Generations(limit), Generations(limit)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        if _NATIVE:
+            return [array("I", e.ids).tobytes() for e in found]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     @staticmethod
@@ -85,15 +105,15 @@ class PieceCache:
     def _stretches(self, pieces: list[str]) -> list[bytes]:
         """Ids of stretches, put together from those of their runs where these are plain."""
         runs = [self._runs(p) for p in pieces]
-        found = self._of_runs({r for own in runs for r in own})
+        found = self._of_runs(runs)
         return [b"".join(map(found.__getitem__, own)) for own in runs]
 
-    def _of_runs(self, runs: set[str]):
-        """A mapping that has the ids of each of these runs."""
-        new = self.cores.lacks(runs)
+    def _of_runs(self, groups: list[list[str]]):
+        """A mapping that has the ids of each run in these lists."""
+        new = self.cores.lacks(groups)
         found = dict(zip(new, self._encode(new), strict=True))
         kept = {r: ids for r, ids in found.items() if len(r) <= CACHE_CHARS}
-        self.cores.young.update(kept)
+        self.cores.keep(kept)
         return self.cores.young if len(kept) == len(found) else ChainMap(found, self.cores.young)
 
     @staticmethod
@@ -113,7 +133,7 @@ class PieceCache:
         runs = [
             cut(t) if "<|" not in t and _PLAIN_TEXT.fullmatch(t) else None for t in texts
         ]
-        found = self._of_runs(set().union(*(r for r in runs if r is not None)))
+        found = self._of_runs([r for r in runs if r is not None])
         out = [None if r is None else b"".join(map(found.__getitem__, r)) for r in runs]
         others = [i for i, r in enumerate(runs) if r is None]
         for i, ids in zip(others, self._by_words([texts[i] for i in others]), strict=True):
@@ -124,11 +144,11 @@ class PieceCache:
         """The same for texts of any kind."""
         lead = " " if self.keeps_space else ""
         split = [t.split(" ") for t in texts]
-        words = set().union(*split) - {""}
-        new = [p for p in self.known.lacks(words) if self._inner(p)]
+        new = [p for p in self.known.lacks(split) if self._inner(p)]
         known, local = self.known.young, {}
-        for p, ids in zip(new, self._stretches([lead + p for p in new]), strict=True):
-            (known if len(p) <= CACHE_CHARS else local)[p] = ids
+        found = dict(zip(new, self._stretches([lead + p for p in new]), strict=True))
+        self.known.keep({p: ids for p, ids in found.items() if len(p) <= CACHE_CHARS})
+        local.update((p, ids) for p, ids in found.items() if len(p) > CACHE_CHARS)
         first = self._stretches([words[0] for words in split])
         out = []
         for text, words, ids in zip(texts, split, first, strict=True):
@@ -154,6 +174,10 @@ class PieceCache:
         return b"".join(parts)
 
 
+#: Texts of about this many characters are encoded together.
+SLICE_CHARS = 500_000
+
+
 def shared_cache(path: str, keeps_space: bool) -> PieceCache:
     """This worker's cache, kept from task to task."""
     key = (path, keeps_space)

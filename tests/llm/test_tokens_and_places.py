@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from patchlens.llm import feistel_shards, packing, token_codes
 from patchlens.llm.common import numbered, shared_folder
-from patchlens.llm.piece_cache import PieceCache, tokenizer_path
+from patchlens.llm.piece_cache import _LETTER, PieceCache, tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", " ", "  a", "a \n b", "a\n\nb c", " a ", "foo's  bar 's <|endoftext|> x", "a ́b", "ΣΑΣ. x",
@@ -32,6 +33,29 @@ def test_cached_ids_are_the_library_s(path, keeps, size):
         assert got == want
 
 
+@pytest.mark.parametrize(("path", "keeps"), [(BYTE, True), (WORD, False)])
+def test_letters_beside_signs(path, keeps):
+    """Every letter of the plain class, before and after each kind of run."""
+    letters = [c for c in map(chr, range(0x250)) if re.fullmatch(f"[{_LETTER}]", c)]
+    texts = [f"{a}{c}{b}" for c in letters for a, b in (
+        ("", "."), ("x", ","), ("TAKS", ". "), (".", "x"), ("9", "9"), (" ", "'s"), ("\n", "\n"))]
+    texts += ["TAKS\u0130.", "VERG\u0130, RES\u0130M", "\u0130", "a\u0130!"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in PieceCache(path, keeps).encode(texts)]
+    assert got == want
+
+
+def test_caches_are_bounded():
+    cache = PieceCache(BYTE, True, 50_000)
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(500)]
+        cache.encode([" ".join(words), " ".join(words) + "  \u3000"])
+        for own in (cache.known, cache.cores):
+            # one batch may overshoot; the next one starts a new generation
+            assert len(own.young) <= 50_000 // 200 + 1001 and len(own.old) <= 50_000 // 200 + 1001
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_codes_round_trip_and_random_access(n):
     rng = np.random.default_rng(n)
