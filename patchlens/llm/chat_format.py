@@ -9,10 +9,12 @@ that they can be read back exactly.
 Template of a turn: ``### role: text</turn>`` and a line end. In texts and roles a backslash is
 doubled and ``###`` and ``</turn>`` get one in front, in roles ``:`` too.
 
-Defined results: a null text is an empty one and a null role the empty role; fields that a
-mapping calls optional may be absent, null or empty, and then give no turn; a record that isn't
-a JSON object or has an unknown fingerprint keeps its row, with null turns and text; no records
-give no rows; other columns aren't read.
+Defined results: a null text is an empty one and a null role the empty role; a number or truth
+value counts as its JSON text, an empty list or object as an empty text; a lone surrogate
+becomes a question mark; fields that a mapping calls optional may be absent, null or empty, and
+then give no turn; a record that isn't a JSON object, is nested too deeply to be read, has an
+unknown fingerprint or something else where a list of objects belongs keeps its row, with null
+turns and text; no records give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ LAYOUTS: dict[str, list[Part]] = {
 def paths_of(value, prefix: str = "") -> set[str]:
     """Paths of the leaves: fields by name, list items by ``[]``; an empty list is a leaf."""
     if isinstance(value, dict):
-        return set().union(*(paths_of(v, f"{prefix}.{k}" if prefix else k)
+        names = {k: k if k.isalpha() else re.sub(r"([\\.\[])", r"\\\1", k) for k in value}
+        return set().union(*(paths_of(v, f"{prefix}.{names[k]}" if prefix else names[k])
                              for k, v in value.items()))
     if isinstance(value, list) and value:
         return set().union(*(paths_of(v, f"{prefix}[]") for v in value))
@@ -77,7 +80,7 @@ def paths_of(value, prefix: str = "") -> set[str]:
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def known_layouts(layouts: dict[str, list[Part]]) -> dict[str, str]:
@@ -95,15 +98,30 @@ def known_layouts(layouts: dict[str, list[Part]]) -> dict[str, str]:
     return found
 
 
+def text_of(value) -> str:
+    """A text; numbers and truth values as in JSON, nothing for null and empty values."""
+    if value is None or isinstance(value, (list, dict)):
+        return ""
+    text = value if isinstance(value, str) else json.dumps(value)
+    return text.encode("utf-8", "replace").decode()
+
+
 def turns_of(record: dict, parts: list[Part]) -> list[tuple[str, str]]:
+    """The turns of a record; a ValueError if a list of objects is something else."""
     found = []
     for part in parts:
         if part.each:
-            for item in record.get(part.each) or []:
-                role = item.get(part.role) or ""
-                found.append((ROLE_NAMES.get(role, role), item.get(part.field) or ""))
-        elif record.get(part.field) or not part.optional:
-            found.append((part.role, record.get(part.field) or ""))
+            items = record.get(part.each)
+            items = [] if items is None else items
+            if not isinstance(items, list) or not all(isinstance(i, dict) for i in items):
+                raise ValueError(f"{part.each} is no list of objects")
+            for item in items:
+                role = text_of(item.get(part.role))
+                found.append((ROLE_NAMES.get(role, role), text_of(item.get(part.field))))
+        else:
+            text = text_of(record.get(part.field))
+            if text or not part.optional:
+                found.append((part.role, text))
     # an instruction and its input are one turn of the user
     merged: list[tuple[str, str]] = []
     for role, text in found:
@@ -169,16 +187,18 @@ def format_records(records: DataFrame, key: str, record: str = "record",
             for raw in batch.column(1).to_pylist():
                 try:
                     value = json.loads(raw) if raw else None
-                except ValueError:
-                    value = None
-                if not isinstance(value, dict):
+                    paths = paths_of(value) if isinstance(value, dict) else None
+                except (ValueError, RecursionError):
+                    paths = None
+                if paths is None:
                     rows.append((None,) * 5)
                     continue
-                mark = fingerprint(paths_of(value))
-                if mark not in known:
+                mark = fingerprint(paths)
+                try:
+                    turns = turns_of(value, layouts[known[mark]])
+                except (KeyError, ValueError):  # an unknown layout, or not what it says
                     rows.append((mark, *(None,) * 4))
                     continue
-                turns = turns_of(value, layouts[known[mark]])
                 text, spans = formatted(turns)
                 rows.append((mark, known[mark],
                              [{"role": r, "text": t} for r, t in turns], text,
