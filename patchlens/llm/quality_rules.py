@@ -191,7 +191,9 @@ def thresholds(sketches: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """Measures, base_failed and kept of every row."""
     rows = written(with_ratios(measured(docs)), "measures")
-    limits = written(thresholds(sketch(rows.filter("not base_failed"))), "thresholds")
+    # counted once; languages and the whole are merged from what is written
+    sketches = written(sketch(rows.filter("not base_failed")), "sketches")
+    limits = written(thresholds(sketches), "thresholds")
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = rows.join(
         limits, F.col("lang").eqNullSafe(F.col("_lang"))
