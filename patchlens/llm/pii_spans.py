@@ -424,6 +424,51 @@ def _beyond(text: str, added: list[Span], taken: list[Span]) -> list[Span]:
     return found
 
 
+_NUMERIC = re.compile(r"[+(]?[0-9](?:[ ().-]*+[0-9])*+")
+
+
+def checked(text: str, span: Span) -> list[Span]:
+    """What an added span holds that passes the test of its kind.
+
+    Numbers written in digits: a card has 14 to 19 that pass Luhn, a phone 10 to 15, an address
+    four parts up to 255. Cards side by side are spans of their own. Words are taken as they are.
+    """
+    start, end, kind = span
+    own = text[start:end]
+    if kind == "email" or not re.search("[0-9]", own):
+        return [span]
+    found = []
+    for run in _NUMERIC.finditer(own):
+        a, b = start + run.start(), start + run.end()
+        if kind == "card":
+            found += [(a + i, a + j, kind) for i, j in _cards(run[0])]
+        elif kind == "phone":
+            if 10 <= len(re.sub("[^0-9]", "", run[0])) <= 15:
+                found.append((a, b, kind))
+        elif re.fullmatch(r"[0-9]{1,9}(\.[0-9]{1,9}){3}", run[0]) and all(
+                int(x) <= 255 for x in run[0].split(".")):
+            found.append((a, b, kind))
+    return found
+
+
+def _cards(run: str) -> list[tuple[int, int]]:
+    """Valid cards among the groups of digits of a run, leftmost and longest first."""
+    groups = list(re.finditer("[0-9]+", run))
+    found, i = [], 0
+    while i < len(groups):
+        digits, last = "", None
+        for j in range(i, len(groups)):
+            digits += groups[j][0]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 14 and _luhn(digits):
+                last = j
+        if last is not None:
+            found.append((groups[i].start(), groups[last].end()))
+        i = i + 1 if last is None else last + 1
+    return found
+
+
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Spans of the patterns, and all spans, of each text."""
     texts = [t or "" for t in texts]
@@ -431,6 +476,7 @@ def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span],
     for text, added in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
         spelled = _beyond(text, spelled_spans(text), base)
+        added = [x for span in added for x in checked(text, span)]
         free = spelled + _beyond(text, added, base + spelled)
         out.append((base, sorted(base + free, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out

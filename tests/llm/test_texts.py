@@ -9,8 +9,10 @@ import time
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from patchlens.llm import (
     chat_format,
@@ -262,6 +264,23 @@ def test_wider_spans_are_kept(tagger, name):
     assert name not in pii_spans.redact(text, found) and "<EMAIL>" in pii_spans.redact(text, found)
 
 
+@pytest.mark.parametrize(("text", "kind", "want"), [
+    ("4111111111111111 5500005555555559", "card", ["4111111111111111", "5500005555555559"]),
+    ("4111-1111-1111-1111 1234 5678 9012 3456", "card", ["4111-1111-1111-1111"]),
+    ("4111111111111112", "card", []), ("+1 (826) 555", "phone", []),
+    ("+1 (826) 555-0199", "phone", ["+1 (826) 555-0199"]), ("call (826) 555-0199 now", "phone", ["(826) 555-0199"]),
+    ("10.0.0.256", "ip", []), ("10.0.0.25", "ip", ["10.0.0.25"]),
+    ("five five five one two three four", "phone", ["five five five one two three four"]),
+    ("bob at host dot org", "email", ["bob at host dot org"]), ("1 " * 50_000 + "1", "card", None),
+])
+def test_added_spans_pass_the_test_of_their_kind(text, kind, want):
+    start = time.perf_counter()
+    got = pii_spans.checked(text, (0, len(text), kind))
+    assert time.perf_counter() - start < 5
+    if want is not None:
+        assert [text[a:b] for a, b, _ in got] == want
+
+
 def test_spans_inside_others_are_not_added():
     text = "to mü.bob@x.de or 1.2.3.4x y"
     base = [(6, 14, "email"), (18, 25, "ip")]
@@ -444,6 +463,32 @@ def test_layouts_by_fingerprint(spark):
     assert chat_format.format_records(df.filter("false"), "id").count() == 0
 
 
+def test_records_of_other_value_types(spark):
+    deep = '{"messages":' + "[" * 100_000 + "]" * 100_000 + "}"
+    rows = [
+        (1, '{"messages":[{"role":"user","content":5}]}'),
+        (2, '{"messages":[{"role":7,"content":true}]}'),
+        (3, '{"prompt":1,"completion":"b"}'), (4, deep), (5, '{"messages":5}'),
+        (6, '{"messages":"abc"}'), (7, '{"messages":[{"role":"user","content":[]}]}'),
+        (8, '{"messages[].role":"user","messages[].content":"x"}'),
+        (9, '{"prompt":"\\ud800","completion":"' + "long " * 200_000 + '"}'),
+        (10, '{"messages":[{"role":"user","content":"a"},{}]}'), (11, '{"messages":null}'),
+        (12, '{"prompt":' + "9" * 5000 + ',"completion":"b"}'), (13, '{"question":NaN,"answer":"b"}'),
+    ]
+    df = spark.createDataFrame(rows, "id long, record string")
+    got = {r["id"]: r for r in chat_format.format_records(df, "id").collect()}
+    turns = {k: None if r["turns"] is None else [tuple(t) for t in r["turns"]] for k, r in got.items()}
+    long = turns.pop(9)
+    assert long == [("user", "?"), ("assistant", "long " * 200_000)]
+    assert turns == {
+        1: [("user", "5")], 2: [("7", "true")], 3: [("user", "1"), ("assistant", "b")], 4: None,
+        5: None, 6: None, 7: [("user", "")], 8: None, 10: [("user", "a"), ("", "")], 11: [],
+        12: None, 13: [("user", "NaN"), ("assistant", "b")]}
+    assert got[5]["fingerprint"] and not got[4]["fingerprint"]
+    back = chat_format.digests(chat_format.format_records(df, "id"), "id")
+    assert back.filter("id = 1").first()["n_turns"] == 1
+
+
 def test_messages_with_ties_and_nulls(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "b"), (None, None, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -476,6 +521,72 @@ def test_pairs_of_terms_are_learned(insults):
     assert right >= 0.97 * len(scores) > 200
 
 
+def test_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(3)
+    x, w, v = rng.random((9, 6)), rng.normal(0, 1, 6), rng.normal(0, 1, (6, 3))
+    machine = toxicity_fm.Machine(np.arange(6), 0.3, w, v)
+    for row, got in zip(x, machine.scores(x), strict=True):
+        z = 0.3 + sum(w[i] * row[i] for i in range(6)) + sum(
+            (v[i] @ v[j]) * row[i] * row[j] for i in range(6) for j in range(i))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_machine_gradients():
+    rng = np.random.default_rng(5)
+    x, y = rng.random((20, 5)), (rng.random(20) < 0.4).astype(float)
+    at = {"bias": 0.2, "weights": rng.normal(0, 1, 5), "factors": rng.normal(0, 1, (5, 3))}
+    exact = toxicity_fm.gradients(toxicity_fm.Machine(np.arange(5), **at), x, y)
+    for name, value in at.items():
+        for place in np.ndindex(np.shape(value)):
+            both = []
+            for step in (1e-5, -1e-5):
+                moved = np.array(value, dtype=float)
+                moved[place] += step
+                moved = float(moved) if name == "bias" else moved
+                both.append(toxicity_fm.loss(
+                    toxicity_fm.Machine(np.arange(5), **{**at, name: moved}), x, y))
+            want = (both[0] - both[1]) / 2e-5
+            assert exact[name][place or 0] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize(("alone", "together"), [(0.05, 0.0), (0.005, 0.005), (0.008, 0.002)])
+def test_pairs_of_rare_terms(spark, alone, together):
+    """Toxic only where two rare terms meet: the machine finds it, its linear part can't."""
+    rng = np.random.default_rng(int(1000 * together))
+    rows = []
+    for i in range(20_000):
+        w = [f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}"
+             for k in rng.zipf(1.4, 25) % 1000]
+        both = rng.random() < together
+        a = both or rng.random() < alone
+        b = both or rng.random() < alone
+        w += ["scum"] * a + ["grockles"] * b
+        rows.append((i, " ".join(rng.permutation(w)), int(a and b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    docs, labels = df.drop("toxic"), df.drop("text")
+    machine = toxicity_fm.trained(docs, labels)
+    plain = toxicity_fm.Machine(
+        machine.slots, machine.bias, machine.weights, machine.factors * 0)
+    assert len(machine.slots) > 500 and 2 <= (np.abs(machine.factors).sum(1) > 0).sum() < 40
+    test = df.filter(toxicity_fm.held_out(F.col("doc_id")))
+    found = {}
+    for name, own in (("machine", machine), ("linear", plain)):
+        scores = toxicity_fm.scored(test, own, "doc_id", "toxic").collect()
+        toxic = [r for r in scores if r["toxic"]]
+        found[name] = sum(r["score"] >= 0.5 for r in toxic) / len(toxic)
+        assert sum(r["score"] >= 0.5 for r in scores if not r["toxic"]) <= 2
+    assert found["machine"] >= 0.9 and found["linear"] <= 0.2
+
+
+def test_a_column_called_score(spark, insults):
+    docs, labels = insults
+    machine = toxicity_fm.trained(docs, labels)
+    clash = docs.limit(5).withColumn("score", F.lit("x")).withColumn("_text", F.lit("y"))
+    got = toxicity_fm.scored(clash, machine, "doc_id", "score", "_text")
+    assert got.columns == ["doc_id", "_text", "score"]
+    assert all(0 <= r["score"] <= 1 and r["_text"] == "y" for r in got.collect())
+
+
 def test_toxicity_edges(spark, edge_docs, no_docs, insults):
     _, labels = insults
     machine = toxicity_fm.trained(edge_docs, labels.filter("false"))
