@@ -87,19 +87,16 @@ def declared_types(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return types, direct.unionByName(asked).distinct(), links
 
 
-def closable_types(types: DataFrame, direct: DataFrame, links: DataFrame,
+def closable_types(direct: DataFrame, links: DataFrame,
                    write: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All types that can be closed: methods and, level by level, what is embedded.
+    """All declared types that can be closed: methods and, level by level, what is embedded.
 
     ``write`` keeps an intermediate table and reads it back.
     """
-    standard = types.sparkSession.createDataFrame(
-        [tuple(t.split(".")) for t in STANDARD_CLOSERS], "package string, type string")
-    tasks = types.select("task_id").distinct()
-    found = write(direct.unionByName(
-        links.select(*KEY).distinct().join(F.broadcast(standard), ["package", "type"]).select(*KEY)
-    ).distinct())
     links = write(links)
+    named = F.concat_ws(".", "package", "type")
+    standard = links.filter(named.isin(STANDARD_CLOSERS)).select(*KEY)
+    found = write(direct.unionByName(standard).distinct())
     newest, parts = found, [found]
     while newest.head(1):
         above = links.join(newest, KEY).select(
@@ -113,8 +110,7 @@ def closable_types(types: DataFrame, direct: DataFrame, links: DataFrame,
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    everywhere = tasks.join(F.broadcast(standard))  # a fixed list beside each task
-    return out.unionByName(everywhere.select(*KEY)).distinct()
+    return out.distinct()
 
 
 def closer_facts(lines: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -147,19 +143,20 @@ def closer_facts(lines: DataFrame, write: Callable[[DataFrame], DataFrame]) -> D
     ).join(results, ["task_id", "of", "function"])
     values = shown.select("task_id", "file", "line", *KEY[1:]).unionByName(
         calls.select("task_id", "file", "line", *KEY[1:]))
-    others = types.sparkSession.createDataFrame(
-        [tuple(t.split(".")) for t in STANDARD_CLOSERS + STANDARD_OTHERS],
-        "package string, type string").withColumn("standard", F.lit(True))
-    closable = closable_types(types, direct, links, write).withColumn("closes", F.lit(True))
+    closable = closable_types(direct, links, write).withColumn("closes", F.lit(True))
+    # what the lines declare goes before the standard library
+    named = F.concat_ws(".", "package", "type")
+    standard = F.when(named.isin(STANDARD_CLOSERS), True).when(named.isin(STANDARD_OTHERS), False)
     known = (
         values.join(types.withColumn("declared", F.lit(True)), KEY, "left")
-        .join(F.broadcast(others), KEY[1:], "left")
-        .filter(F.col("declared") | F.col("standard"))
         .join(closable, KEY, "left")
+        .withColumn("implements_closer", F.when(
+            F.col("declared"), F.coalesce("closes", F.lit(False))).otherwise(standard))
+        .filter(F.col("implements_closer").isNotNull())
     )
     return known.select(
         "task_id", "file", "line", F.lit(0).alias("idx"), F.lit(False).alias("is_error"),
-        F.coalesce("closes", F.lit(False)).alias("implements_closer")).distinct()
+        "implements_closer").distinct()
 
 
 __all__ = ["closable_types", "closer_facts", "declared_types"]

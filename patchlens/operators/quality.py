@@ -84,3 +84,31 @@ def compare_configurations(
         a, b = a.withColumnRenamed(m, f"{m}_first"), b.withColumnRenamed(m, f"{m}_second")
     filled = [f"{m}_{side}" for m in measures for side in ("first", "second")]
     return a.join(b, "rule_id", "full").na.fill(0, filled)
+
+
+def gate_report(cases: DataFrame, expected: DataFrame, found: DataFrame,
+                gates: dict | None = None) -> DataFrame:
+    """Each gate with its limit, the value reached over all cases and whether it passes.
+
+    ``found(case_id, rule_id, file, line, evidence, evidence_chain)``. Recall and precision have
+    lower limits, the share of negative cases with findings and the leaks upper ones.
+    """
+    limits = GATES if gates is None else gates
+    matched = match_expected(expected, found)
+    measured = [
+        (quality(matched), ["recall", "precision"]),
+        (negative_rate(cases, found, matched), ["negative_rate"]),
+        (leaks(cases, found).agg(F.coalesce(F.sum("leaks"), F.lit(0)).alias("leaks")), ["leaks"]),
+    ]
+    out = None
+    for values, names in measured:
+        rows = F.array(*[
+            F.struct(F.lit(g).alias("gate"), F.lit(float(limits[g])).alias("limit"),
+                     F.coalesce(F.col(g).cast("double"), F.lit(0.0)).alias("value"))
+            for g in names if g in limits])
+        own = values.select(F.inline(rows))
+        out = own if out is None else out.unionByName(own)
+    at_least = F.col("gate").isin("recall", "precision")
+    passed = F.when(at_least, F.col("value") >= F.col("limit")).otherwise(
+        F.col("value") <= F.col("limit"))
+    return out.select("gate", "limit", "value", passed.alias("passed"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
+from ..functions import paths as P
 from ..operators.checks import CHECKS
+from ..operators.scoring import DIMENSIONS
 from ..operators.user_rules import load_rules
 from . import oracle as O
 from . import oracle_parts as S
@@ -124,3 +126,90 @@ SELECT file, line, shape, count(*) AS n FROM (
     SELECT path, line, trim(unnest(regexp_split_to_array(content, '[ \\t,;()]+')), '"''`') AS word
     FROM raw_lines))
 WHERE shape IS NOT NULL GROUP BY ALL""", S.RAW)
+
+# Files, labels and settings -----------------------------------------------------------
+
+q("patch_files", """
+SELECT task_id, count(*) FILTER (line_type = 'added') AS added, count(*) FILTER (line_type = 'deleted') AS deleted
+FROM patch GROUP BY task_id""", S.RAW, O.PATCH)
+_CASES = f"""got AS (SELECT file, line FROM ({O.ORACLE['hardcoded_secrets']})),
+want AS (SELECT path AS file, line FROM raw_lines WHERE contains(content, 'hunter-Winter')),
+places AS (
+  SELECT coalesce(w.file, g.file) AS file, count(*) FILTER (w.line IS NOT NULL AND g.line IS NOT NULL) AS tp,
+         count(*) FILTER (g.line IS NULL) AS fn, count(*) FILTER (w.line IS NULL) AS fp
+  FROM want w FULL JOIN got g ON w.file = g.file AND w.line = g.line GROUP BY 1),
+cases AS (
+  SELECT path AS file, regexp_extract(task_id, '(\\d+)', 1)::INT % 2 = 1 AS negative FROM docs WHERE len(parts) > 0),
+negatives AS (
+  SELECT count(*) AS n, count(*) FILTER (tp + fp > 0) AS flagged FROM cases LEFT JOIN places USING (file) WHERE negative),
+totals AS (SELECT sum(tp) AS tp, sum(fn) AS fn, sum(fp) AS fp FROM places)"""
+q("labelled_cases", """
+SELECT gate, "limit", value, CASE WHEN gate IN ('recall', 'precision') THEN value >= "limit" ELSE value <= "limit" END AS passed
+FROM (
+  SELECT 'recall' AS gate, 0.85::DOUBLE AS "limit",
+         (CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END)::DOUBLE AS value FROM totals
+  UNION ALL SELECT 'precision', 0.9, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END FROM totals
+  UNION ALL SELECT 'negative_rate', 0.1, CASE WHEN n > 0 THEN flagged / n ELSE 0 END FROM negatives
+  UNION ALL SELECT 'leaks', 0, 0)""", S.RAW, _CASES)
+q("relative_paths", """
+SELECT doc_id, CASE WHEN starts_with(path, 'pkg/') THEN path[5:] ELSE path END AS path FROM docs""", S.DOCS)
+
+
+def _picked(labels: dict[str, str]) -> str:
+    shown = [*labels.values(), "other"]
+    return f"{S.lst(shown)}[(doc_id % {len(shown)}) + 1]"
+
+
+q("labels_shown", f"""
+SELECT doc_id, {_picked(P.INPUT_TYPE_LABELS)} AS input_type,
+       CASE WHEN doc_id % 2 = 0 THEN 'web submission' ELSE path END AS input_path,
+       {_picked(P.SKIP_LABELS)} AS reason, {_picked(P.SEVERITY_LABELS)} AS severity,
+       CASE WHEN doc_id % 3 = 0 THEN '(root)' ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS folder
+FROM docs""", S.DOCS)
+q("configured_commands", """
+SELECT event_id, command, CASE rule_id WHEN 'DEFAULT' THEN 'deny' ELSE action END AS action, rule_id FROM (
+  SELECT event_id, command,
+         CASE WHEN rule_id IN ('NET_ALLOWED', 'NET_DENIED')
+              THEN CASE WHEN contains(command, '//files.local') THEN 'NET_ALLOWED' ELSE 'NET_DENIED' END
+              ELSE rule_id END AS rule_id,
+         CASE WHEN rule_id IN ('NET_ALLOWED', 'NET_DENIED')
+              THEN CASE WHEN contains(command, '//files.local') THEN 'allow' ELSE 'deny' END
+              ELSE action END AS action FROM decided)""", O.LOG, O.JUDGED)
+q("key_hints", """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '••••'
+       ELSE c_name[:4] || '••••' || c_name[-4:] END AS hint FROM customer""")
+
+# Findings shown ------------------------------------------------------------------------
+
+q("finding_lines", """
+SELECT task_id, bucket, '[' || severity || '][' || category || '] ' || file || ':' || line || ' - ' || evidence AS text
+FROM best WHERE bucket = 'warning' OR severity = 'high'""", O.BEST)
+_WEIGHTS = ", ".join(f"({S.lit(c)}, {S.lit(n)}, {w}::DOUBLE)" for c, (n, w) in DIMENSIONS.items())
+q("dimension_findings", f"""
+SELECT d.category, d.name, d.weight, count(b.file) AS findings
+FROM (VALUES {_WEIGHTS}) d(category, name, weight) LEFT JOIN best b USING (category) GROUP BY ALL""", O.BEST)
+_FIRST = min(DIMENSIONS, key=lambda c: DIMENSIONS[c][0])
+q("score_reports", f"""
+SELECT task_id, {1 + len(DIMENSIONS)}::BIGINT AS lines,
+       'Risk ' || printf('%.2f', score) || ' (' || {O.GRADE} || ')' AS headline,
+       '  {DIMENSIONS[_FIRST][0]} [' || repeat('█', filled) || repeat('░', 10 - filled) || ']' AS first_bar
+FROM (SELECT task_id, round({O.TOTAL}, 2) AS score, floor({O.mean_of(_FIRST)} / 10)::INT AS filled
+      FROM best GROUP BY task_id)""", O.BEST)
+q("task_details", """
+SELECT 'task' AS section, '{"status":"running"}' AS body, count(*) AS n FROM events WHERE event_id = 7 GROUP BY ALL
+UNION ALL SELECT 'report', '{"json_report":"{}"}', count(*) FROM events WHERE event_id = 7 GROUP BY ALL
+UNION ALL SELECT 'run', '{"command":"' || event_type || '"}', count(*) FROM events WHERE event_id % 10 = 7 GROUP BY ALL
+UNION ALL SELECT 'decision', '{"output_bytes":' || (event_id % 11 * 600000) || '}', count(*)
+FROM events WHERE event_id % 20 = 7 GROUP BY ALL""")
+q("review_counters", """
+SELECT bucket, count(*) AS rows, (SELECT count(*) FROM best) AS findings,
+       (SELECT count(*) FROM best WHERE severity = 'high') AS high
+FROM best GROUP BY bucket""", O.BEST)
+
+# Logs ------------------------------------------------------------------------------------
+
+q("stored_logs", """
+SELECT user_id::VARCHAR AS task_id, 'run' AS kind, event_type AS what,
+       CASE WHEN event_id % 2 = 0 THEN '0' END AS how, count(*) AS n
+FROM events GROUP BY ALL
+UNION ALL SELECT task_id, 'decision', command, action, count(*) FROM decided GROUP BY ALL""", O.LOG, O.JUDGED)

@@ -10,16 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import masking as M
+from ..functions import paths as P
 from ..functions.sql_names import register_functions
 from ..functions.text import literal_array
 from ..operators import closers as CL
+from ..operators import commands as CM
+from ..operators import findings as FD
 from ..operators import pair_rules as PR
+from ..operators import quality as Q
+from ..operators import reports as R
+from ..operators import scoring as SC
 from ..operators.checks import Check, rule_catalog
-from ..operators.line_rules import Line, LineRule, hit
+from ..operators.findings import findings_of
+from ..operators.line_rules import Line, LineRule, hit, line_hits
 from ..operators.user_rules import load_rules
+from ..sources import cases as CS
 from ..sources import lines as L
 from ..sources import listing
+from ..sources import snapshots as SN
 from ..sources import store as ST
+from ..sources import tables as TB
 from ..streaming import streams as SM
 from . import corpus as C
 from .review import review, reviewed
@@ -350,3 +361,181 @@ def sql_leaks(spark, sf_dir):
         "path", F.array_join("lines", "\n").alias("body")).createOrReplaceTempView("patchlens_bodies")
     return spark.sql("SELECT path AS file, CAST(l.line AS BIGINT) AS line, l.shape, count(*) AS n "
                      "FROM patchlens_bodies, LATERAL leaks_in(body) AS l GROUP BY ALL")
+
+
+# Files, labels and settings ----------------------------------------------------------
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Files below a folder that all machines see: rows (name, body)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+                with open(f"{root}/{name}", "w", encoding="utf-8", newline="") as f:
+                    f.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows.select("name", "body").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+@query
+def patch_files(spark, sf_dir):
+    """Patches read from files: added and deleted lines of each."""
+    root = urlparse(shared_folder(spark, "patch-files")).path
+    patches = C.document_patches(spark, sf_dir)
+    _write_files(patches.select(
+        F.concat(F.substring("task_id", -1, 1), F.lit("/"), "task_id", F.lit(".diff")).alias("name"),
+        F.col("diff_text").alias("body")), root)
+    read = SN.read_patches(spark, f"{root}/*/*.diff")
+    lines = L.lines_of_patches(read).withColumn(
+        "task_id", F.regexp_extract("task_id", r"([^/]*)\.diff\z", 1))
+    return lines.groupBy("task_id").agg(
+        F.count_if(F.col("line_type") == "added").alias("added"),
+        F.count_if(F.col("line_type") == "deleted").alias("deleted"))
+
+
+@query
+def labelled_cases(spark, sf_dir):
+    """Cases of label and patch files against the gates of recall, precision and false alarms.
+
+    A source is a case; odd ones have a name that says nothing should be found there.
+    """
+    root = urlparse(shared_folder(spark, "cases")).path
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    case = F.concat(F.when(number % 2 == 1, "neg_").otherwise("pos_"), "source", F.lit("_"), "doc_id")
+    files = C.document_files(spark, sf_dir).filter(F.size("lines") > 0).join(
+        table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    numbered = F.transform("lines", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("line")))
+    places = F.transform(F.filter(numbered, lambda r: r["x"].contains("hunter-Winter")), lambda r: F.struct(
+        F.lit("SEC-AST-001").alias("rule_id"), F.col("path").alias("file"), r["line"].cast("bigint").alias("line")))
+    label = F.to_json(F.struct(
+        case.alias("id"), places.alias("expected_findings"),
+        F.array(F.lit("hunter-Winter-0042")).alias("sensitive_literals")))
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("+"), x)), "\n")
+    patch = F.concat(F.lit("--- /dev/null\n+++ b/"), "path", F.lit("\n@@ -0,0 +1,"), F.size("lines"),
+                     F.lit(" @@\n"), body, F.lit("\n"))
+    for ending, text in ((".json", label), (".diff", patch)):
+        _write_files(files.select(F.concat(F.col("source"), F.lit("/c"), "doc_id", F.lit(ending)).alias("name"),
+                                  text.alias("body")), root)
+    cases = written(CS.read_cases(spark, root), "cases")
+    lines = L.lines_of_patches(cases.select(F.col("case_id").alias("task_id"), "diff_text"))
+    found = written(findings_of(line_hits(lines, only={"SEC-AST-001"})).select(
+        F.col("task_id").alias("case_id"), "rule_id", "file", F.col("line").cast("bigint").alias("line"),
+        "evidence", "evidence_chain"), "found")
+    return Q.gate_report(cases, CS.expected(cases), found)
+
+
+@query
+def relative_paths(spark, sf_dir):
+    files = C.document_files(spark, sf_dir)
+    return files.select("doc_id", P.relative_to(F.col("path"), "pkg").alias("path"))
+
+
+@query
+def labels_shown(spark, sf_dir):
+    """Display texts of inputs, reasons, severities and folders, by document."""
+    doc = F.col("doc_id")
+    pick = lambda names: F.get(literal_array(names), (doc % len(names)).cast("int"))
+    kinds, reasons = [*P.INPUT_TYPE_LABELS, "other"], [*P.SKIP_LABELS, "other"]
+    return C.document_files(spark, sf_dir).select(
+        "doc_id", P.input_type_label(pick(kinds)).alias("input_type"),
+        P.input_path_label(F.when(doc % 2 == 0, "api-upload").otherwise(F.col("path"))).alias("input_path"),
+        P.skip_label(pick(reasons)).alias("reason"),
+        P.severity_label(pick([*P.SEVERITY_LABELS, "other"])).alias("severity"),
+        P.directory_label(F.when(doc % 3 == 0, ".").otherwise(P.directory(F.col("path")))).alias("folder"))
+
+
+@query
+def configured_commands(spark, sf_dir):
+    """Commands judged by settings read from a file: one more domain, deny what no rule names."""
+    path = urlparse(shared_folder(spark, "settings")).path + "/safety.json"
+    CM.save_config(CM.SafetyConfig(allowed_domains=["files.local"], default_policy="deny"), path)
+    decided = CM.decide_commands(C.event_commands(spark, sf_dir), CM.load_config(path))
+    return decided.select("event_id", "command", "action", "rule_id")
+
+
+@query
+def key_hints(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 5 == 0, "").when(
+        F.col("c_custkey") % 5 == 1, "short").otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", M.key_hint(name).alias("hint"))
+
+
+# Findings shown -----------------------------------------------------------------------
+
+
+@query
+def finding_lines(spark, sf_dir):
+    """One line of text a finding, with its place in the order of its task."""
+    found = FD.deduplicate(C.order_findings(spark, sf_dir), F.col("seq")).withColumn("title", F.col("evidence"))
+    listed = R.listed(found, "high").unionByName(R.listed(found, warnings=True))
+    return FD.ordered(listed).select(
+        "task_id", "bucket", FD.summary_line().alias("text"))
+
+
+@query
+def dimension_findings(spark, sf_dir):
+    """The dimensions of the score with their weights and findings."""
+    found = FD.deduplicate(C.order_findings(spark, sf_dir), F.col("seq"))
+    counts = found.groupBy("category").agg(F.count("*").alias("findings"))
+    return SC.dimensions(spark).join(counts, "category", "left").na.fill(0)
+
+
+@query
+def score_reports(spark, sf_dir):
+    """The score of each task as text: a headline, then a bar for each dimension."""
+    scores = SC.risk_score(FD.deduplicate(C.order_findings(spark, sf_dir), F.col("seq")))
+    text = F.split(SC.score_text(), "\n")
+    return scores.select(
+        "task_id", F.size(text).cast("bigint").alias("lines"), text[0].alias("headline"),
+        F.regexp_replace(text[1], r" [0-9.]+\z", "").alias("first_bar"))
+
+
+@query
+def task_details(spark, sf_dir):
+    """What is stored about one task, as tagged rows."""
+    tasks = _tasks(spark, sf_dir)
+    runs = table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 10).cast("string").alias("task_id"), F.col("event_type").alias("command"))
+    decisions = C.event_commands(spark, sf_dir).select(
+        (F.col("event_id") % 20).cast("string").alias("task_id"), "output_bytes")
+    reports = tasks.select("task_id", F.lit("{}").alias("json_report"))
+    detail = R.task_detail(tasks.select("task_id", "status"), reports, runs, decisions, "7")
+    return detail.groupBy("section", "body").agg(F.count("*").alias("n"))
+
+
+@query
+def review_counters(spark, sf_dir):
+    """Counters that an action fills on the way, beside the same numbers from the result."""
+    found, seen = R.observed(FD.deduplicate(C.order_findings(spark, sf_dir), F.col("seq")), "review")
+    counted = written(found, "observed").groupBy("bucket").agg(F.count("*").alias("rows"))
+    own = seen.get
+    return counted.select(
+        "bucket", "rows", F.lit(own["findings"]).cast("bigint").alias("findings"),
+        F.lit(own["high"]).cast("bigint").alias("high"))
+
+
+# Logs ---------------------------------------------------------------------------------
+
+
+@query
+def stored_logs(spark, sf_dir):
+    """Runs and decisions appended to their tables, one of them from before a column was added."""
+    base = shared_folder(spark, "logs")
+    events = table(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    runs = events.select(
+        F.col("user_id").cast("string").alias("task_id"), F.col("event_type").alias("command"),
+        (F.col("event_id") % 2).cast("int").alias("exit_code"), at.alias("started_at"))
+    TB.append(runs.filter("exit_code = 0"), base, "runs")
+    old = runs.filter("exit_code = 1").drop("exit_code").withColumn("on", F.to_date("started_at"))
+    old.write.mode("append").partitionBy("on").parquet(f"{base}/runs")
+    decided = CM.decide_commands(C.event_commands(spark, sf_dir)).join(events.select("event_id", "ts"), "event_id")
+    TB.append(decided.withColumn("decided_at", at), base, "decisions")
+    both = TB.read(spark, base, "runs").select(
+        "task_id", F.lit("run").alias("kind"), F.col("command").alias("what"), F.col("exit_code").cast("string").alias("how"))
+    both = both.unionByName(TB.read(spark, base, "decisions").select(
+        "task_id", F.lit("decision").alias("kind"), "command", "action").toDF("task_id", "kind", "what", "how"))
+    return both.groupBy("task_id", "kind", "what", "how").agg(F.count("*").alias("n"))
