@@ -10,11 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
 from collections import ChainMap
 from collections.abc import Iterable
-from itertools import filterfalse
 
 import numpy as np
 
@@ -40,10 +37,10 @@ _CORE = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_SIGN}]+|\n")
 _PLAIN_TEXT = re.compile(rf"(?:[{_LETTER}0-9{_SIGN}]++|[ \n](?=[{_LETTER}0-9{_SIGN}]))*+")
 _SPACED = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[{_SIGN}]+|\n")
 _BARE = re.compile(rf"[{_LETTER}]+|[0-9]+|[{_SIGN}]+")
-
-
-#: Machine integers are what is stored; packing them is then cheaper by ``array``.
-_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Runs of letters or digits: many of them are encoded as one text, with a sign between that
+#: has one id of its own and ends the run before it.
+_WORD = re.compile(rf" ?(?:[{_LETTER}]+|[0-9]+)")
+_BETWEEN, _TOGETHER = "!", 2000
 
 
 class Generations:
@@ -56,9 +53,7 @@ class Generations:
         """The keys that aren't known; the others are in ``young`` from now on."""
         if self.bytes > self.limit:
             self.young, self.old, self.bytes = {}, self.young, 0
-        known, away = self.young.__contains__, set()
-        for keys in groups:
-            away.update(filterfalse(known, keys))
+        away = set().union(*groups).difference(self.young)
         self.keep({k: self.old[k] for k in away if k in self.old})
         return [k for k in away if k not in self.old]
 
@@ -88,12 +83,31 @@ class PieceCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
         self.known, self.cores = Generations(limit), Generations(limit)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        if _NATIVE:
-            return [array("I", e.ids).tobytes() for e in found]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece; a call of the library costs more than a short word."""
+        found: dict[str, bytes] = {}
+        words = [p for p in pieces if _WORD.fullmatch(p)] if len(self.between) == 1 else []
+        for at in range(0, len(words), _TOGETHER):
+            found.update(self._encode_words(words[at: at + _TOGETHER]))
+        if len(found) < len(pieces):
+            others = [p for p in pieces if p not in found]
+            for p, e in zip(others, self.tokenizer.encode_batch_fast(
+                    others, add_special_tokens=False), strict=True):
+                found[p] = np.array(e.ids, dtype="<u4").tobytes()
+        return found
+
+    def _encode_words(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        text = _BETWEEN.join([*words, ""])
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.between[0])
+        if len(ends) != len(words):
+            raise ValueError("a run of letters has the id of the sign between runs")
+        raw, starts = ids.tobytes(), [0, *(4 * ends[:-1] + 4).tolist()]
+        return zip(words, [raw[a:b] for a, b in zip(starts, (4 * ends).tolist(), strict=True)],
+                   strict=True)
 
     @staticmethod
     def _inner(piece: str) -> bool:
@@ -110,8 +124,7 @@ class PieceCache:
 
     def _of_runs(self, groups: list[list[str]]):
         """A mapping that has the ids of each run in these lists."""
-        new = self.cores.lacks(groups)
-        found = dict(zip(new, self._encode(new), strict=True))
+        found = self._encode(self.cores.lacks(groups))
         kept = {r: ids for r, ids in found.items() if len(r) <= CACHE_CHARS}
         self.cores.keep(kept)
         return self.cores.young if len(kept) == len(found) else ChainMap(found, self.cores.young)
@@ -175,13 +188,13 @@ class PieceCache:
 
 
 #: Texts of about this many characters are encoded together.
-SLICE_CHARS = 500_000
+SLICE_CHARS = 1_000_000
 
 
-def shared_cache(path: str, keeps_space: bool) -> PieceCache:
+def shared_cache(path: str, keeps_space: bool, limit: int = CACHE_BYTES) -> PieceCache:
     """This worker's cache, kept from task to task."""
-    key = (path, keeps_space)
+    key = (path, keeps_space, limit)
     if key not in CACHES:
         CACHES.clear()  # one vocabulary at a time
-        CACHES[key] = PieceCache(path, keeps_space)
+        CACHES[key] = PieceCache(path, keeps_space, limit)
     return CACHES[key]

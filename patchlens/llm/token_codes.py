@@ -31,6 +31,8 @@ MAGIC = b"DAC1"
 #: Bits of each level: ids of 32 bits at most.
 WIDTHS = (8, 8, 16)
 RANK_BLOCK = 512
+#: Kept stretches of a worker: nothing else holds memory here.
+CACHE_BYTES = 96_000_000
 #: Tokens after which a segment ends with the document.
 SEGMENT_TOKENS = 1 << 18
 SEGMENTS = ("part long, segment long, first_token long, n_tokens long, doc_ids array<long>, "
@@ -126,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
     """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = shared_cache(tokenizer, keeps_space)
+        cache = shared_cache(tokenizer, keeps_space, CACHE_BYTES)
         end = np.array([end_id], dtype="<u4").tobytes()
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         keys, held, sizes, n = [], [], [], 0
