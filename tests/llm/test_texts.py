@@ -622,6 +622,11 @@ def test_pipeline(spark):
         if name != names[-1]:
             assert docs.columns == list(seen[""].columns)
         seen[name] = docs.toPandas()
+    # toxicity: what the same machine, fitted again, scores below one half stays
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    first = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    scores = toxicity_fm.scored(first, toxicity_fm.trained(first, labels), "doc_id").toPandas()
+    assert set(seen["toxicity"].doc_id) == set(scores[scores.score < 0.5].doc_id)
     # near duplicates: one of each component of what toxicity kept
     before = seen["toxicity"].sort_values("doc_id").text.tolist()
     assert len(seen["near_dedup"]) == len(set(_components(before)))
@@ -646,3 +651,25 @@ def test_pipeline(spark):
     packed = seen["packing"]
     assert set(packed.doc_id) == set(seen["pii"].doc_id)
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
+
+
+@tables
+@pytest.mark.parametrize("rows", ["edge_docs", "no_docs"])
+def test_pipeline_edges(spark, request, tmp_path, rows):
+    """Null ids and texts, repeated rows, clashing names, no rows at all: every stage goes through."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    if rows == "no_docs":
+        assert packed.empty
+        return
+    # texts without words are kept, one of each group of equal others
+    assert packed.doc_id.isna().sum() == 1 and 3 in set(packed.doc_id)
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096
+    places = packed.sort_values(["sequence_id", "offset"])
+    ends = (places.offset + places.length).groupby(places.sequence_id).shift().fillna(0)
+    assert (places.offset == ends).all()
