@@ -84,32 +84,69 @@ def of_line_rule(rule: LineRule) -> Emitter:
         rule.uses_facts)
 
 
+@dataclass(frozen=True)
+class Built:
+    """The columns of some emitters: whether a line is looked at, needs tokens, and its events."""
+
+    looked_at: Column
+    needs_facts: Column | None
+    found: Column
+
+
+_BUILT: dict[tuple, Built] = {}
+
+
+def _line() -> Line:
+    return Line(*[F.col("new_path" if f.name == "path" else f.name) for f in fields(Line)])
+
+
+def _build(chosen: list[Emitter], left_out: dict[Emitter, list]) -> Built:
+    x = _line()
+    gates = [
+        all_of([~any_of(_is_line(k) for k in left_out[e]), e.gate(x)]) if e in left_out
+        else e.gate(x) for e in chosen]
+    need = [g for g, e in zip(gates, chosen) if e.uses_facts]
+    nothing = F.array().cast(f"array<{_EVENT}>")
+    found = F.concat(nothing, *[
+        F.coalesce(F.when(g, e.emit(x).cast(f"array<{_EVENT}>")), nothing)
+        for g, e in zip(gates, chosen)])
+    return Built(any_of(gates), any_of(need) if need else None, found)
+
+
+def _built(application: str, chosen: list[Emitter], left_out: dict[Emitter, list]) -> Built:
+    """Columns don't belong to a table: those of a set of emitters are put together once."""
+    if left_out:
+        return _build(chosen, left_out)
+    if any(key[0] != application for key in _BUILT):
+        _BUILT.clear()
+    key = (application, *chosen)
+    if key not in _BUILT:
+        _BUILT[key] = _build(chosen, {})
+        if len(_BUILT) > 50:
+            del _BUILT[next(iter(_BUILT))]
+    return _BUILT[key]
+
+
 def emitted(lines: DataFrame, emitters: Iterable[Emitter],
             type_facts: DataFrame | None = None,
             without: dict[Emitter, list] | None = None) -> DataFrame:
     """All events in one pass. ``without`` has the keys of lines an emitter must not look at."""
-    chosen, left_out = list(emitters), without or {}
+    application = lines.sparkSession.sparkContext.applicationId
+    own = _built(application, list(emitters), without or {})
     source = reviewable(lines).withColumn("types", F.lit(None).cast("map<int,boolean>"))
-    x = Line(*[F.col("new_path" if f.name == "path" else f.name) for f in fields(Line)])
-    gates = [
-        all_of([~any_of(_is_line(k) for k in left_out.get(e, [])), e.gate(x)]) if e in left_out
-        else e.gate(x) for e in chosen]
-    source = source.filter(any_of(gates))
+    source = source.filter(own.looked_at)
     if type_facts is not None:
         source = with_types(source, type_facts)
-    if any(e.uses_facts for e in chosen):
-        need = any_of(g for g, e in zip(gates, chosen) if e.uses_facts)
-        source = source.withColumn("facts", F.when(need, K.facts(x.content))).withColumns({
-            "assigned": K.assigned_value(x.facts),
-            "sensitive": K.sensitive_identifier(x.facts),
-            "literals": K.string_literals(x.facts)})
-    nothing = F.array().cast(f"array<{_EVENT}>")
-    found = F.concat(nothing, *[
-        F.coalesce(F.when(g, e.emit(x).cast(f"array<{_EVENT}>")), nothing)
-        for g, e in zip(gates, chosen)])
+    if own.needs_facts is not None:
+        facts = F.col("facts")
+        source = source.withColumn(
+            "facts", F.when(own.needs_facts, K.facts(F.col("content")))).withColumns({
+                "assigned": K.assigned_value(facts),
+                "sensitive": K.sensitive_identifier(facts),
+                "literals": K.string_literals(facts)})
     # The outer form keeps the optimizer from filtering on, and so repeating, the whole array.
     return (
-        source.select(*LINE_KEY, F.col("new_line").alias("line"), found.alias("found"))
+        source.select(*LINE_KEY, F.col("new_line").alias("line"), own.found.alias("found"))
         .select(*LINE_KEY, "line", F.inline_outer("found"))
         .filter(F.col("kind").isNotNull())
         .select(*EVENT_COLUMNS)
