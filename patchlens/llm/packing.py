@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import numbered, slices, written
-from patchlens.llm.piece_cache import SLICE_CHARS, shared_cache
+from patchlens.llm.piece_cache import CACHE_BYTES, shared_cache, slice_chars
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 Run = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
@@ -150,14 +150,14 @@ def slots(runs: list[Run]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), table.T.copy(), strict=True))
 
 
-def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int,
-           bound: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, keeps_space: bool, end_id: int, bound: int,
+           cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Ids of each whole text and the end id, cut only where longer than the bound."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = shared_cache(tokenizer, keeps_space)
+        cache = shared_cache(tokenizer, keeps_space, cache_bytes)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, chars=SLICE_CHARS, keep_caches=True):
+        for batch in slices(batches, chars=slice_chars(cache_bytes), keep_caches=True):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(),
                                 cache.encode(batch.column("text").to_pylist()), strict=True):
@@ -211,9 +211,12 @@ def packed(cut: DataFrame, bound: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id: int = 1,
-         bound: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """The written pieces with their ids, and where each goes (keys and crc32 of the ids)."""
-    own = written(pieces(docs, tokenizer, keeps_space, end_id, bound), "pieces")
+         bound: int = 4096, cache_bytes: int = CACHE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The written pieces with their ids, and where each goes (keys and crc32 of the ids).
+
+    A larger cache of ids (``cache_bytes``, per worker and kind) saves time and takes memory.
+    """
+    own = written(pieces(docs, tokenizer, keeps_space, end_id, bound, cache_bytes), "pieces")
     keys = own.select("doc_id", "piece", "start", "length",
                       F.crc32("ids").cast("long").alias("ids_crc32"))
     return own, packed(keys, bound)

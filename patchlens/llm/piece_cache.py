@@ -187,8 +187,9 @@ class PieceCache:
         return b"".join(parts)
 
 
-#: Texts of about this many characters are encoded together.
-SLICE_CHARS = 1_000_000
+def slice_chars(limit: int) -> int:
+    """Texts of about this many characters are encoded together beside a cache of that size."""
+    return max(limit // 48, 100_000)
 
 
 def shared_cache(path: str, keeps_space: bool, limit: int = CACHE_BYTES) -> PieceCache:

@@ -57,7 +57,8 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens at most: dominance reduction, then best fit."""
-    _, places = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    _, places = packing.pack(
+        documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), cache_bytes=96_000_000)
     return places.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

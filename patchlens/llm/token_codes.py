@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import part_offsets, slices
-from patchlens.llm.piece_cache import SLICE_CHARS, shared_cache
+from patchlens.llm.piece_cache import shared_cache, slice_chars
 
 MAGIC = b"DAC1"
 #: Bits of each level: ids of 32 bits at most.
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool =
                 pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([encoded(ids)], pa.binary())], names=names)
 
-        for batch in slices(batches, chars=SLICE_CHARS, keep_caches=True):
+        for batch in slices(batches, chars=slice_chars(CACHE_BYTES), keep_caches=True):
             texts = batch.column("text").to_pylist()
             for key, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(texts),
                                 strict=True):
