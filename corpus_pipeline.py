@@ -37,7 +37,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences."""
-    _, places = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    # workers of the stages before still hold memory: a small cache of ids
+    _, places = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), cache_bytes=32_000_000)
     return places
 
 
