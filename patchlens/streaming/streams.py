@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ValueState
 from pyspark.sql.types import StructType
 
 from ..operators.commands import audit_entries, decide_commands
@@ -225,47 +226,97 @@ MOVE = ("task_id STRING, from_status STRING, to_status STRING, at_us BIGINT, hel
         "legal BOOLEAN")
 _MEMORY_US = JOB_MEMORY // timedelta(microseconds=1)
 
+# Jobs are kept by the bucket of their id: a call of a processor, its timer and its access to
+# state serve all jobs of one. The number is part of a stream's state and can't change later.
+BUCKETS = 1024
+JOBS_STATE = "task_id ARRAY<STRING>, status ARRAY<STRING>, at_us ARRAY<BIGINT>"
+
+
+def _bucket() -> Column:
+    return F.pmod(F.hash("task_id"), F.lit(BUCKETS)).alias("bucket")
+
+
+def _columns(state: ValueState, schema: str) -> pd.DataFrame:
+    """The state of a bucket, one row a job."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    values = state.get() if state.exists() else [[]] * len(names)
+    whole = {n: pd.Series(list(v), dtype="int64" if n.endswith("_us") else object)
+             for n, v in zip(names, values, strict=True)}
+    return pd.DataFrame(whole)
+
+
+def _store(handle: StatefulProcessorHandle, state: ValueState, jobs: pd.DataFrame, schema: str,
+           due: pd.Series) -> None:
+    """Keeps the state of a bucket and sets its timer to the first time (ms) in ``due``."""
+    if len(jobs):
+        state.update(tuple(jobs[c.split()[0]].tolist() for c in schema.split(", ")))
+    elif state.exists():
+        state.clear()
+    if len(due):
+        handle.registerTimer(int(due.min()))
+
+
+def _starts(task_id: pd.Series) -> pd.Series:
+    """Whether a row is the first of its job in a sorted column; ids may be null."""
+    text = task_id.fillna("")
+    same = (text == text.shift()) & (task_id.isna() == task_id.isna().shift())
+    return ~same
+
 
 class Lifecycle(StatefulProcessor):
-    """Follows the states of a job: each report with the state before it and its duration.
+    """Follows the states of jobs: each report with the state before it and its duration.
 
-    State is one status and one time per job. It goes by a timer when a job has ended long ago;
-    a job that never ends keeps its row until the watchdog's end event comes.
+    A key is a bucket of jobs, whose reports are compared as columns. State is one status and one
+    time per job. It goes by a timer when a job has ended long ago; a job that never ends keeps
+    its place until the watchdog's end event comes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "status STRING, at_us BIGINT")
+        self.jobs = handle.getValueState("jobs", JOBS_STATE)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
-        reports = pd.concat(list(rows))
-        reports["rank"] = reports["status"].map({s: i for i, s in enumerate(JOB_STATES)})
-        reports = reports.sort_values(["at_us", "rank"], na_position="last")
-        status, since = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for to, at in zip(reports["status"], reports["at_us"].astype(int), strict=True):
-            if status not in JOB_MOVES and since is not None and at - since > _MEMORY_US:
-                status, since = None, None
-            legal = to == "queued" if status is None else to in JOB_MOVES.get(status, ())
-            held = None if since is None else (at - since) // 1000
-            out.append((key[0], status, to, at, held, legal))
-            status, since = to, at
-        self.last.update((status, since))
-        if status not in JOB_MOVES:
-            self.handle.registerTimer((since + _MEMORY_US) // 1000)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in MOVE.split(", ")])
-        yield frame.astype({"held_ms": "Int64"})
+        reports = pd.concat([frame[["task_id", "status", "at_us"]] for frame in rows])
+        reports["at_us"] = reports["at_us"].astype("int64")
+        rank = reports["status"].map({s: i for i, s in enumerate(JOB_STATES)})
+        reports["rank"] = rank.fillna(len(JOB_STATES))
+        known = _columns(self.jobs, JOBS_STATE)
+        known["rank"] = -1.0
+        # what is known of a job comes before its reports, whatever their times
+        both = pd.concat([known, reports], ignore_index=True)
+        both["new"] = both["rank"] >= 0
+        both = both.sort_values(["task_id", "new", "at_us", "rank"], kind="stable", ignore_index=True)
+        first = _starts(both["task_id"])
+        before = both["status"].shift().mask(first)
+        held = both["at_us"] - both["at_us"].shift(fill_value=0)
+        fresh = before.isna() | (~before.isin(list(JOB_MOVES)) & (held > _MEMORY_US))
+        to = both["status"]
+        moved = pd.Series(False, index=both.index)
+        for status, ends in JOB_MOVES.items():
+            moved |= (before == status) & to.isin(ends)
+        out = pd.DataFrame({
+            "task_id": both["task_id"], "from_status": before.mask(fresh).astype(object),
+            "to_status": to, "at_us": both["at_us"],
+            "held_ms": (held // 1000).astype("Int64").mask(fresh),
+            "legal": (to == "queued").where(fresh, moved)})
+        last = both[first.shift(-1, fill_value=True)]
+        self._keep(last, timerValues.getCurrentWatermarkInMs())
+        out = out[both["new"]]
+        yield out.where(out.notna(), None).astype({"held_ms": "Int64", "at_us": "int64", "legal": bool})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            status, since = self.last.get()
-            over = (since + _MEMORY_US) // 1000 <= expiredTimerInfo.getExpiryTimeInMs()
-            if status not in JOB_MOVES and over:
-                self.last.clear()
+        self._keep(_columns(self.jobs, JOBS_STATE), timerValues.getCurrentWatermarkInMs())
         return iter([])
 
+    def _keep(self, jobs: pd.DataFrame, watermark: int) -> None:
+        """Forgets jobs that ended long before the watermark; the next to go sets the timer."""
+        ended = ~jobs["status"].isin(list(JOB_MOVES))
+        due = (jobs["at_us"] + _MEMORY_US) // 1000
+        kept = ~ended | (due > watermark)
+        _store(self.handle, self.jobs, jobs[kept], JOBS_STATE, due[ended & kept])
+
     def close(self) -> None:
         pass
 
@@ -274,8 +325,8 @@ def lifecycle_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Moves of jobs between states, with illegal ones marked, by event time."""
     moves = (
         events.withWatermark("at", late)
-        .select("task_id", "status", "at", F.unix_micros("at").alias("at_us"))
-        .groupBy("task_id")
+        .select("task_id", "status", "at", F.unix_micros("at").alias("at_us"), _bucket())
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=Lifecycle(), outputStructType=MOVE, outputMode="Append",
             timeMode="EventTime",
@@ -312,61 +363,66 @@ def lifecycle(events: DataFrame) -> DataFrame:
 # Watchdog ---------------------------------------------------------------------------
 
 WATCHDOG_OUTPUT = "task_id STRING, status STRING, at_us BIGINT"
-WATCHDOG_STATE = "deadline_us BIGINT"
-ENDED_STATE = "at_us BIGINT"
+WATCHDOG_STATE = "task_id ARRAY<STRING>, deadline_us ARRAY<BIGINT>, ended_us ARRAY<BIGINT>"
+_DEADLINE_US = DEADLINE // timedelta(microseconds=1)
+#: For a job without a deadline or an end.
+NEVER = 2**62
 
 
 class Watchdog(StatefulProcessor):
     """Reports a task as failed when no end arrives within the deadline after its start.
 
-    One timer and one number per running task; both go away when the task ends. An end that
-    arrives before its start is remembered until the start could no longer be in time.
+    A key is a bucket of tasks. Two numbers per running task, which go away when it ends. An end
+    that arrives before its start is remembered until the start could no longer be in time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deadline = handle.getValueState("deadline", WATCHDOG_STATE)
-        self.ended = handle.getValueState("ended", ENDED_STATE)
+        self.tasks = handle.getValueState("tasks", WATCHDOG_STATE)
 
     def handleInputRows(
         self, key, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
         # Reduce the whole batch of a task before touching its state: batches are unordered.
-        started, ended = [], []
-        for frame in rows:
-            begins = frame.loc[frame["status"] == "running", "at_us"]
-            ends = frame.loc[frame["status"].isin(["completed", "failed"]), "at_us"]
-            started += [int(begins.min())] if len(begins) else []
-            ended += [int(ends.min())] if len(ends) else []
-        if started and not self.deadline.exists():
-            limit = min(started) + DEADLINE // timedelta(microseconds=1)
-            self.deadline.update((limit,))
-            self.handle.registerTimer(limit // 1000)
-        if ended and self.ended.exists():
-            ended.append(self.ended.get()[0])
-        known = self.ended.get()[0] if not ended and self.ended.exists() else None
-        end = min(ended) if ended else known
-        if end is not None and self.deadline.exists():
-            limit = self.deadline.get()[0]
-            if end <= limit:
-                self.deadline.clear()
-                self.handle.deleteTimer(limit // 1000)
-                if self.ended.exists():
-                    self.ended.clear()
-        elif ended:
-            # the start may still come; a start so late that it matters is gone by then
-            self.ended.update((end,))
-            self.handle.registerTimer((end + DEADLINE // timedelta(microseconds=1)) // 1000)
-        return iter([])
+        events = pd.concat([f.loc[f["at_us"].notna(), ["task_id", "status", "at_us"]] for f in rows])
+        at, status = events["at_us"].astype("int64"), events["status"]
+        known = _columns(self.tasks, WATCHDOG_STATE)
+        both = pd.concat([known, pd.DataFrame({
+            "task_id": events["task_id"],
+            "start": at.where(status == "running", NEVER),
+            "end": at.where(status.isin(["completed", "failed"]), NEVER)})], ignore_index=True)
+        both = both.fillna({c: NEVER for c in ("deadline_us", "ended_us", "start", "end")})
+        tasks = both.groupby("task_id", dropna=False, sort=False, as_index=False).min()
+        tasks = tasks.astype({c: "int64" for c in ("deadline_us", "ended_us", "start", "end")})
+        begins = (tasks["deadline_us"] == NEVER) & (tasks["start"] != NEVER)
+        limit = tasks["deadline_us"].mask(begins, tasks["start"] + _DEADLINE_US)
+        end = tasks[["end", "ended_us"]].min(axis=1)
+        in_time = (limit != NEVER) & (end <= limit)
+        # the start may still come; a start so late that it matters is gone by then
+        early = (limit == NEVER) & (tasks["end"] != NEVER)
+        ended = tasks["ended_us"].mask(early, end).mask(in_time, NEVER)
+        yield from self._keep(
+            pd.DataFrame({"task_id": tasks["task_id"], "deadline_us": limit.mask(in_time, NEVER),
+                          "ended_us": ended}), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        if self.ended.exists():
-            self.ended.clear()
-        if self.deadline.exists() and self.deadline.get()[0] // 1000 <= expired:
-            limit = self.deadline.get()[0]
-            self.deadline.clear()
-            yield pd.DataFrame({"task_id": [key[0]], "status": ["failed"], "at_us": [limit]})
+        yield from self._keep(
+            _columns(self.tasks, WATCHDOG_STATE), timerValues.getCurrentWatermarkInMs())
+
+    def _keep(self, tasks: pd.DataFrame, watermark: int | None) -> Iterator[pd.DataFrame]:
+        """Reports tasks whose deadline has passed and forgets ends whose start is too late."""
+        limit, ended = tasks["deadline_us"], tasks["ended_us"]
+        if watermark is not None:
+            failed = (limit != NEVER) & (limit // 1000 <= watermark)
+            old = failed | ((ended != NEVER) & ((ended + _DEADLINE_US) // 1000 <= watermark))
+            if failed.any():
+                yield pd.DataFrame({"task_id": tasks["task_id"][failed], "status": "failed",
+                                    "at_us": limit[failed]})
+            tasks = tasks.assign(deadline_us=limit.mask(failed, NEVER), ended_us=ended.mask(old, NEVER))
+        limit, ended = tasks["deadline_us"], tasks["ended_us"]
+        due = limit.where(ended == NEVER, limit.clip(upper=ended + _DEADLINE_US)) // 1000
+        held = (limit != NEVER) | (ended != NEVER)
+        _store(self.handle, self.tasks, tasks[held], WATCHDOG_STATE, due[held])
 
     def close(self) -> None:
         pass
@@ -376,8 +432,8 @@ def watchdog_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
     """Failures of tasks that run longer than ten minutes, by event time."""
     failed = (
         events.withWatermark("at", late)
-        .withColumn("at_us", F.unix_micros("at"))
-        .groupBy("task_id")
+        .select("task_id", "status", "at", F.unix_micros("at").alias("at_us"), _bucket())
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=Watchdog(),
             outputStructType=WATCHDOG_OUTPUT,

@@ -185,3 +185,11 @@ def test_watchdog_keeps_an_end_that_comes_first(spark, tmp_path):
     ST.run_to_files(stream, out)
     got = {r["task_id"] for r in spark.read.parquet(f"{out}/rows").collect()}
     assert got == {"b", "c"}
+
+
+def test_a_call_of_a_processor_serves_many_jobs(spark):
+    """Calls, timers and accesses to state are bounded by the buckets, not by the jobs."""
+    events = spark.range(50_000).select(
+        F.col("id").cast("string").alias("task_id"), F.lit("running").alias("status"),
+        F.timestamp_seconds("id").alias("at"))
+    assert events.select(ST._bucket()).distinct().count() == ST.BUCKETS
