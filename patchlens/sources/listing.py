@@ -9,6 +9,9 @@ Columns: ``path`` relative to the root, ``length``, ``reason`` (null for files t
 with the option ``content``, the ``content`` of those. A skipped folder is one row. Filters on
 ``reason`` and on ``length`` reach the walk: no file is opened that they rule out.
 
+With the option ``every`` nothing is left out by name, size or content: all regular files, also those
+that links to files lead to, have no reason and their content as it is.
+
 Defined results: names that aren't valid text are given with replacement characters; entries that
 are neither files, folders nor links (pipes, sockets, devices), and files or folders that can't
 be opened, are ``unreadable``; an empty or missing root gives no rows, a missing one an error.
@@ -17,6 +20,7 @@ be opened, are ``unreadable``; an empty or missing root gives no rows, a missing
 from __future__ import annotations
 
 import os
+import re
 import stat
 import zlib
 from collections.abc import Iterable, Iterator
@@ -56,7 +60,7 @@ class Part(InputPartition):
 
 
 class Tree(DataSource):
-    """Options: ``path`` (the root), ``content``, ``parts`` (tasks, 32 by default)."""
+    """Options: ``path`` (the root), ``content``, ``every``, ``parts`` (tasks, 32 by default)."""
 
     @classmethod
     def name(cls) -> str:
@@ -67,11 +71,14 @@ class Tree(DataSource):
         return f"path string, length long, reason string{extra}"
 
     def _with_content(self) -> bool:
-        return str(self.options.get("content", "false")).lower() == "true"
+        return self._set("content")
+
+    def _set(self, option: str) -> bool:
+        return str(self.options.get(option, "false")).lower() == "true"
 
     def reader(self, schema) -> TreeReader:
         return TreeReader(os.path.abspath(self.options["path"]), self._with_content(),
-                          int(self.options.get("parts", 32)))
+                          int(self.options.get("parts", 32)), self._set("every"))
 
 
 def _entries(folder: str) -> list[os.DirEntry] | None:
@@ -88,8 +95,9 @@ def _share(name: str, of: int) -> int:
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, with_content: bool, parts: int) -> None:
+    def __init__(self, root: str, with_content: bool, parts: int, every: bool = False) -> None:
         self.root, self.with_content, self.parts = root, with_content, max(parts, 1)
+        self.every = every
         self.reasons: str | bool | None = None  # None: all; True: only kept files; else a reason
         self.longest: int | None = None
 
@@ -125,10 +133,10 @@ class TreeReader(DataSourceReader):
                  for i in range(self.parts)]
         return [p for p in parts if p.folders or p.shares] or [Part([], [])]
 
-    @staticmethod
-    def _walked(entry: os.DirEntry) -> bool:
+    def _walked(self, entry: os.DirEntry) -> bool:
         try:
-            return entry.is_dir(follow_symlinks=False) and entry.name not in P.SKIPPED_DIRECTORIES
+            return entry.is_dir(follow_symlinks=False) and (
+                self.every or entry.name not in P.SKIPPED_DIRECTORIES)
         except OSError:
             return False
 
@@ -151,6 +159,9 @@ class TreeReader(DataSourceReader):
         for e in entries:
             if of > 1 and _share(e.name, of) != share:
                 continue
+            if self.every:
+                yield from self._whole(e)
+                continue
             try:
                 found = e.stat(follow_symlinks=False)
             except OSError:
@@ -172,6 +183,13 @@ class TreeReader(DataSourceReader):
             else:
                 yield from self._opened(e.path, found.st_size)
 
+    def _whole(self, entry: os.DirEntry) -> Iterator[tuple]:
+        """A file with all its content; one that can't be read is an error, not a missing row."""
+        if entry.is_file():
+            with open(entry.path, "rb") as f:
+                content = f.read() if self.with_content else b""
+            yield from self._row(entry.path, entry.stat().st_size, None, content)
+
     def _opened(self, path: str, length: int) -> Iterator[tuple]:
         try:
             with open(path, "rb") as f:
@@ -193,9 +211,11 @@ class TreeReader(DataSourceReader):
         yield (*row, content if reason is None else None) if self.with_content else row
 
 
-def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def tree(spark: SparkSession, root: str, content: bool = False, every: bool = False) -> DataFrame:
     """The file tree below ``root``, a folder that every machine of the cluster sees.
 
+    ``every`` gives all regular files, whatever their name, size and content.
+
     Turns on filter push-down to Python sources in this session; Spark has it off by default.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -203,11 +223,30 @@ def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return (
         spark.read.format("snapshot_tree")
         .option("content", str(content).lower())
+        .option("every", str(every).lower())
         .option("parts", spark.sparkContext.defaultParallelism)
         .load(root)
     )
 
 
+def mounted(path: str) -> str | None:
+    """The local path of an address that tasks can list themselves, else None."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):", path)
+    if scheme is None:
+        return path if path.startswith("/") else None
+    return "/" + path[5:].lstrip("/") if scheme[1].lower() == "file" else None
+
+
+def all_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, content)`` of all files below ``root`` but hidden ones, as Spark's readers see them.
+
+    Tasks list the folders, so the number of files is no burden on the driver.
+    """
+    files = tree(spark, root, True, True)
+    return files.filter(~F.col("path").rlike(r"(?:^|/)[._]")).select(
+        "path", F.col("content").cast("string").alias("content"))
+
+
 def tree_files(spark: SparkSession, root: str, task_id: str, max_files: int | None = None) -> DataFrame:
     """The files to review: ``files(task_id, path, content)``.
 

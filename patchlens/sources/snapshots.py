@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .listing import all_files, mounted
 
 SNIFF_BYTES = 8000
 
@@ -16,8 +19,21 @@ def _source_path() -> Column:
     return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
+#: A path of plain folders, then patterns of names made of ``*`` and ``?`` only.
+_PATTERN = re.compile(r"(/[^*?\[\]{}\\]+)((?:/[^/\[\]{}\\]*[*?][^/\[\]{}\\]*)+)")
+
+
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    """Patch files, one row each: ``patches(task_id, diff_text)``, named by their path."""
+    """Patch files, one row each: ``patches(task_id, diff_text)``, named by their path.
+
+    Where tasks can list the files themselves, their number is no burden on the driver.
+    """
+    plain = _PATTERN.fullmatch(mounted(path) or "")
+    if plain:
+        root, names = plain[1].rstrip("/"), plain[2][1:]
+        wanted = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in names)
+        return all_files(spark, root).filter(F.col("path").rlike(rf"\A(?s:{wanted})\z")).select(
+            F.concat(F.lit(f"{root}/"), "path").alias("task_id"), F.col("content").alias("diff_text"))
     return spark.read.text(path, wholetext=True).select(
         _source_path().alias("task_id"), F.col("value").alias("diff_text")
     )

@@ -146,3 +146,27 @@ def test_bad_user_rules(text):
 def test_rule_subset_reads_lines_once(file_lines):
     plan = line_hits(file_lines({"a.go": "x"}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ") == 1 and "Exchange" not in plan
+
+
+def test_tasks_list_case_and_patch_files(spark, tmp_path):
+    """The driver lists no file; rows are those of Spark's own readers."""
+    from patchlens.sources import cases as CS
+    from patchlens.sources import snapshots as SN
+
+    (tmp_path / "a" / "vendor").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    for name, key in (("a/x 1+", "1"), ("a/vendor/y", "2"), ("_hidden/z", "3")):
+        (tmp_path / f"{name}.json").write_text('{"id": "c%s", "expected_findings": [{"line": 2}]}' % key)
+        (tmp_path / f"{name}.diff").write_text(f"+\x00é{key}\n" + "x" * (1 << 20))
+    (tmp_path / "a" / "bad.json").write_text("{")
+    (tmp_path / "a" / "bad.diff").write_text("+bad\n")
+    root = str(tmp_path)
+    labels, patches = CS._cases(spark, root)
+    want = labels.join(patches, "stem").drop("stem").withColumnRenamed("id", "case_id").collect()
+    got = CS.read_cases(spark, root)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 3
+    read = SN.read_patches(spark, f"{root}/a/*.diff")
+    assert sorted((r.task_id, r.diff_text[:2]) for r in read.collect()) == [
+        (f"{root}/a/bad.diff", "+b"), (f"{root}/a/x 1+.diff", "+\x00")]
+    for df in (got, read):
+        assert not df.inputFiles() and "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
