@@ -223,8 +223,9 @@ def stored_status(spark, sf_dir):
 def stored_results(spark, sf_dir):
     """Findings, tasks and reports of two runs in one commit each, as of each version."""
     store = ST.Store(spark, shared_folder(spark, "store"))
-    found = C.order_findings(spark, sf_dir).select(
-        "task_id", "severity", "category", "rule_id", "file", "line", "evidence", "confidence", "year")
+    found = written(C.order_findings(spark, sf_dir).select(
+        "task_id", "severity", "category", "rule_id", "file", "line", "evidence", "confidence", "year"),
+        "findings")
     for n in (0, 1, 1):
         own = found.filter(F.col("year") % 2 == n)
         tasks = own.select("task_id").distinct().withColumn("status", F.lit(f"run {n}"))
