@@ -57,3 +57,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_run_comparison_joins_its_tables_once(spark):
+    """Both sides read findings written once."""
+    files = entry_point.queries()["run_comparison"](spark, str(SF_DIR)).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
