@@ -33,6 +33,9 @@ ERRORS = ("rule_id string, task_id string, file_seq int, file string, hunk_seq i
           "line int, condition string, message string")
 #: Lines on which a rule may fail before it is left out as a whole.
 FAILING_LINES = 20
+#: Gates tested in one step. Java doesn't compile a method of more than 8,000 bytes, and the gates of
+#: a step are one method.
+GATES = 3
 # Classes of SQLSTATE that blame the data or the expression, not the cluster:
 # data exceptions, external routines, errors raised on purpose.
 _BLAMED = r"SQLSTATE: (?:22|38|39|P0)"
@@ -86,10 +89,13 @@ def of_line_rule(rule: LineRule) -> Emitter:
 
 @dataclass(frozen=True)
 class Built:
-    """The columns of some emitters: whether a line is looked at, needs tokens, and its events."""
+    """The columns of some emitters: their gates, which lines need tokens, or values made of them,
+    and the events. All but the gates refer to the gates by name."""
 
+    gates: list[Column]
     looked_at: Column
     needs_facts: Column | None
+    needs_values: Column
     found: Column
 
 
@@ -102,15 +108,20 @@ def _line() -> Line:
 
 def _build(chosen: list[Emitter], left_out: dict[Emitter, list]) -> Built:
     x = _line()
-    gates = [
+    tests = [
         all_of([~any_of(_is_line(k) for k in left_out[e]), e.gate(x)]) if e in left_out
         else e.gate(x) for e in chosen]
+    gates = [F.col(f"__gate{n}") for n in range(len(chosen))]
     need = [g for g, e in zip(gates, chosen) if e.uses_facts]
+    # the values made of tokens are columns of line rules only
+    values = [g for g, e in zip(gates, chosen) if e.uses_facts and e.kind == "hit"]
     nothing = F.array().cast(f"array<{_EVENT}>")
     found = F.concat(nothing, *[
         F.coalesce(F.when(g, e.emit(x).cast(f"array<{_EVENT}>")), nothing)
         for g, e in zip(gates, chosen)])
-    return Built(any_of(gates), any_of(need) if need else None, found)
+    named = [t.alias(f"__gate{n}") for n, t in enumerate(tests)]
+    steps = [F.struct(*named[n: n + GATES]) for n in range(0, len(named), GATES)]
+    return Built(steps, any_of(gates), any_of(need) if need else None, any_of(values), found)
 
 
 def _built(application: str, chosen: list[Emitter], left_out: dict[Emitter, list]) -> Built:
@@ -134,6 +145,9 @@ def emitted(lines: DataFrame, emitters: Iterable[Emitter],
     application = lines.sparkSession.sparkContext.applicationId
     own = _built(application, list(emitters), without or {})
     source = reviewable(lines).withColumn("types", F.lit(None).cast("map<int,boolean>"))
+    # The outer form keeps the gates in steps of their own, so each is tested once a line.
+    for step in own.gates:
+        source = source.select("*", F.inline_outer(F.array(step)))
     source = source.filter(own.looked_at)
     if type_facts is not None:
         source = with_types(source, type_facts)
@@ -141,9 +155,11 @@ def emitted(lines: DataFrame, emitters: Iterable[Emitter],
         facts = F.col("facts")
         source = source.withColumn(
             "facts", F.when(own.needs_facts, K.facts(F.col("content")))).withColumns({
-                "assigned": K.assigned_value(facts),
-                "sensitive": K.sensitive_identifier(facts),
-                "literals": K.string_literals(facts)})
+                "assigned": F.when(own.needs_values, K.assigned_value(facts)),
+                "sensitive": F.when(
+                    own.needs_values & K.is_sensitive_name(F.col("content")),
+                    K.sensitive_identifier(facts)),
+                "literals": F.when(own.needs_values, K.string_literals(facts))})
     # The outer form keeps the optimizer from filtering on, and so repeating, the whole array.
     return (
         source.select(*LINE_KEY, F.col("new_line").alias("line"), own.found.alias("found"))
