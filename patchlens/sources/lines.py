@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths as P
-from ..functions.text import WHITE_SPACE, is_blank, is_comment, record, starts_any, trimmed
+from ..functions.text import WHITE_SPACE, is_blank, is_comment, record, starts_any, trimmed, without_first
 
 LINE_SCHEMA = T.StructType(
     [
@@ -41,14 +41,21 @@ LINE_COLUMNS = LINE_SCHEMA.fieldNames()
 FILE_KEY = ["task_id", "file_seq", "new_path"]
 GENERATED_WINDOW = 10
 
+# Lines of a header, a hunk and an added one, in this order: each group takes the first and no other.
+HAS_ADDED_LINE = (
+    r"\A(?>(?:[\s\S]*?\n)??--- )(?>[\s\S]*?\n@@ )(?>[\s\S]*?\n\+(?!\+\+ ))"
+)
 HUNK_HEADER = r"^@@ .(\d+)(?:,(\d+))? .(\d+)(?:,(\d+))? @@"
 
 
 # File-level flags over the array of a file's visible lines --------------------
 
 
-def is_generated(path: Column, body: Column) -> Column:
-    """Generated by name, or marked so in the first ten non-blank lines."""
+def is_generated(path: Column, body: Column, text: Column | None = None) -> Column:
+    """Generated by name, or marked so in the first ten non-blank lines.
+
+    ``text``, if given, holds all lines: one search in it tells whether any is a mark.
+    """
 
     def marker(line):
         return F.ltrim(line, F.lit(WHITE_SPACE)).startswith("//") & line.rlike(
@@ -56,7 +63,8 @@ def is_generated(path: Column, body: Column) -> Column:
         ) & line.rlike("(?i)do not edit")
 
     head = F.slice(F.filter(body, lambda x: ~is_blank(x)), 1, GENERATED_WINDOW)
-    marked = F.exists(body, lambda x: x.rlike("(?i)code generated"))
+    hint = "[cC](?i:ode generated)"
+    marked = F.exists(body, lambda x: x.rlike(hint)) if text is None else text.rlike(hint)
     return P.has_generated_name(path) | F.when(marked, F.exists(head, marker)).otherwise(False)
 
 
@@ -68,16 +76,16 @@ def declares_main(body: Column) -> Column:
     return F.coalesce(trimmed(F.get(lines, F.lit(0))) == "package main", F.lit(False))
 
 
-def defer_lines_in_loops(raw: Column, patch: bool) -> Column:
+def defer_lines_in_loops(raw: Column, patch: bool, whole: Column | None = None) -> Column:
     """New-side numbers of the lines with a ``defer`` inside a ``for`` body.
 
     One fold over the file's lines keeps brace depth (never below zero), the depth of
     the outermost open loop and that of a goroutine literal. For patches, hunk headers
-    reset the line counter and only added lines are looked at.
+    reset the line counter and only added lines are looked at. ``whole`` is their text, if at hand.
     """
 
     def features(line):
-        text = F.substring(line, 2, 1 << 30) if patch else line
+        text = without_first(line) if patch else line
         first = F.substring(line, 1, 1) if patch else F.lit("+")
         t = trimmed(text)
         code = ~is_comment(text)
@@ -120,7 +128,11 @@ def defer_lines_in_loops(raw: Column, patch: bool) -> Column:
         return F.when((x["side"] == "+") & x["used"], worked).otherwise(moved)
 
     start = record(no=1, depth=0, loop=-1, go=-1, hits=F.array().cast("array<int>"))
-    worth = F.exists(raw, lambda x: x.contains("defer")) & F.exists(raw, lambda x: x.contains("for"))
+    if whole is None:
+        worth = F.exists(raw, lambda x: x.contains("defer")) & F.exists(
+            raw, lambda x: x.contains("for"))
+    else:
+        worth = whole.contains("defer") & whole.contains("for")
     folded = F.aggregate(F.transform(raw, features), start, step, lambda s: s["hits"])
     return F.when(worth, folded)
 
@@ -187,33 +199,27 @@ def lines_of_files(files: DataFrame) -> DataFrame:
 
 
 def _normal_text(text: Column) -> Column:
-    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    text = F.when(
+        text.contains("\r\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+    # the last sign is one byte
     return F.when(
         text.endswith("\n") | text.endswith("\r"),
-        F.substring(text, F.lit(1), F.length(text) - 1),
+        F.substring(text.cast("binary"), F.lit(1), F.octet_length(text) - 1).cast("string"),
     ).otherwise(text)
 
 
 def _has_bad_hunk(text: Column) -> Column:
     """A line that begins like a hunk header and isn't one; a search, nothing is split."""
-    return text.contains("@@ ") & text.rlike(r"(?:\A|\n)(?=@@ )(?!" + HUNK_HEADER[1:] + ")")
+    return text.contains("@@ ") & text.rlike(
+        r"@@ (?<![^\n]@@ )(?!" + HUNK_HEADER.removeprefix("^@@ ") + ")")
 
 
 def patch_problem(text: Column) -> Column:
     """Why a patch cannot be reviewed, null when it can."""
-    # header, hunk, added line, in this order: one pass over the lines
-    found = F.aggregate(
-        F.split(_normal_text(text), "\n"),
-        F.lit(0),
-        lambda seen, x: F.when((seen == 0) & x.startswith("--- "), 1)
-        .when((seen == 1) & x.startswith("@@ "), 2)
-        .when((seen == 2) & x.startswith("+") & ~x.startswith("+++ "), 3)
-        .otherwise(seen),
-    )
     return (
         F.when(F.coalesce(is_blank(text), F.lit(True)), "empty")
         .when(_has_bad_hunk(text), "bad_hunk_header")
-        .when(found < 3, "no_added_lines")
+        .when(~text.rlike(HAS_ADDED_LINE), "no_added_lines")
     )
 
 
@@ -242,52 +248,54 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
     file_start = r"\n(?=--- )" if strict else r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*(?:\n@@ |\z))"
     files = (
         patches.filter(F.col("diff_text").contains("--- ") & ~_has_bad_hunk(F.col("diff_text")))
-        .select(
-            "task_id", F.posexplode_outer(F.split(_normal_text(F.col("diff_text")), file_start))
-        )
+        .select("task_id", _normal_text(F.col("diff_text")).alias("text"))
+        .select("task_id", F.posexplode_outer(
+            F.when(F.col("text").contains("\n--- "), F.split("text", file_start))
+            .otherwise(F.array("text"))))
         .toDF("task_id", "file_seq", "section")
         .filter(F.col("section").startswith("--- "))
     )
     section = F.col("section")
+    # The first two lines, so that a pattern for them doesn't read the whole section.
+    head = F.substring_index(section, "\n", 2)
     if strict:
         plus = F.regexp_extract_all(section, F.lit(r"(?:^|\n)\+\+\+ ([^\n]*)"), F.lit(1))
         new_path = F.coalesce(F.try_element_at(plus, F.lit(-1)), F.lit(""))
     else:
-        new_path = F.regexp_extract(section, r"^--- [^\n]*\n\+\+\+ ([^\n]*)", 1)
+        new_path = F.regexp_extract(head, r"^--- [^\n]*\n\+\+\+ ([^\n]*)", 1)
     raw = F.split(section, "\n")
     body = F.transform(
         F.filter(
             raw,
             lambda x: ~(x.startswith("--- ") | x.startswith("+++ ") | x.startswith("@@ ")),
         ),
-        lambda x: F.substring(x, 2, 1 << 30),
+        without_first,
     )
     go = P.is_go(P.strip_side(new_path))
     files = files.select(
         "task_id",
         "file_seq",
-        P.strip_side(F.regexp_extract(section, r"^--- ([^\n]*)", 1)).alias("old_path"),
+        P.strip_side(F.regexp_extract(head, r"^--- ([^\n]*)", 1)).alias("old_path"),
         P.strip_side(new_path).alias("new_path"),
-        is_generated(P.strip_side(new_path), body).alias("generated"),
+        is_generated(P.strip_side(new_path), body, section).alias("generated"),
         F.when(go, declares_main(body)).otherwise(False).alias("package_main"),
-        F.when(go, defer_lines_in_loops(raw, True)).alias("defer_lines"),
+        F.when(go, defer_lines_in_loops(raw, True, section)).alias("defer_lines"),
         F.split(section, r"\n(?=@@ )").alias("hunks"),
     )
     files = files.select(
         *[c for c in files.columns if c != "hunks"],
         F.posexplode_outer("hunks").alias("hunk_seq", "hunk"),
-    ).filter(F.col("hunk").startswith("@@ ") & F.col("hunk").rlike(HUNK_HEADER))
-
+    )
     hunk = F.col("hunk")
+    first = F.substring_index(hunk, "\n", 1)
+    files = files.filter(hunk.startswith("@@ ") & first.rlike(HUNK_HEADER))
 
     def number(group, default):
-        g = F.regexp_extract(hunk, HUNK_HEADER, group)
+        g = F.regexp_extract(first, HUNK_HEADER, group)
         return F.when(g == "", default).otherwise(g.cast("int"))
 
-    rest = F.when(
-        hunk.contains("\n"),
-        F.split(F.substring(hunk, F.instr(hunk, "\n") + 1, F.length(hunk)), "\n"),
-    ).otherwise(F.array().cast("array<string>"))
+    rest = F.split(hunk, "\n")
+    rest = F.slice(rest, F.lit(2), F.size(rest))
     rest = F.filter(rest, lambda x: ~x.startswith("+++ " if strict else "\\"))
     hunks = files.select(
         *[c for c in files.columns if c != "hunk"],
@@ -295,7 +303,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
         number(2, 1).alias("old_lines"),
         number(3, 0).alias("new_start"),
         number(4, 1).alias("new_lines"),
-        trimmed(F.regexp_extract(hunk, r"^@@ [^\n]*? @@([^\n]*)", 1)).alias("hunk_context"),
+        trimmed(F.regexp_extract(first, r"^@@ [^\n]*? @@([^\n]*)", 1)).alias("hunk_context"),
         rest.alias("body"),
     )
 
@@ -377,7 +385,7 @@ def lines_of_patches(patches: DataFrame, strict: bool = False) -> DataFrame:
         (F.col("offset") + F.col("at") + 1).alias("pos"),
         F.when(F.col("kind") == "+", "added").when(F.col("kind") == "-", "deleted")
         .otherwise("context").alias("line_type"),
-        F.substring("row", 2, 1 << 30).alias("content"),
+        without_first(F.col("row")).alias("content"),
         F.when(F.col("kind") != "+", old_no).otherwise(0).alias("old_line"),
         new_line.alias("new_line"),
         "generated",
